@@ -85,8 +85,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null and a > b").distinct()
     now, path = written(now, "components")
-    before = None
-    for _ in range(max_rounds):
+    before = (0, None)  # of no links
+    for _ in range(max_rounds if now.limit(1).count() else 0):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = star(both, True).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -98,7 +98,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         before = mark
     else:
-        raise RuntimeError("components did not converge")
+        if before != (0, None):
+            raise RuntimeError("components did not converge")
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, pii, tokens, urls
+from . import html, packing, pii, quality, simhash, tokens, urls
 
 #: The vocabulary file of the token counts.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -17,6 +17,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, folder, "labels")))
+
+
 def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract_main_text(table(spark, folder, "pages"))
 
@@ -25,6 +30,10 @@ def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.filter_urls(table(spark, folder, "pages"), urls.train(urls.labelled_urls(spark)))
 
 
+def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"))
+
+
 def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find_pii(table(spark, folder, "documents"))
 
@@ -33,6 +42,10 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(table(spark, folder, "documents"), VOCABULARY)
 
 
+def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query by name."""
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
