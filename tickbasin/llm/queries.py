@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, packing, pii, quality, simhash, tokens, urls, warc
+from . import decontaminate, embeddings, html, packing, pii, quality, simhash, tokens, urls, warc
 
 #: The vocabulary file of the token counts.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -34,6 +34,10 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+def op5_embedding_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
 
