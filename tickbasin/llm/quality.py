@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import islice
+from operator import eq
 from zlib import crc32
 
 import numpy as np
@@ -31,11 +33,18 @@ HELD_OUT = 4
 TEXT_DIM, SOURCE_DIM = 512, 64
 ROUNDS, SURE, GROWTH = 4, 0.95, 0.05
 RIDGE = 1e-3
+#: Trigrams at which a text's features have half their weight.
+FEW = 60
 
 
 def text_features(text: str) -> np.ndarray:
-    """Square roots of the shares of hashed byte trigrams."""
+    """Square roots of the shares of hashed byte trigrams, and the share of words that repeat the one before.
+
+    Both shrink towards 0 for texts of few trigrams, which say little.
+    """
     out = np.zeros(TEXT_DIM, dtype=np.float32)
+    words = text.split()
+    repeats = sum(map(eq, words, islice(words, 1, None))) / max(1, len(words))
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
     total = 0
     for at in range(0, max(0, len(data) - 2), 1 << 20):  # blocks overlap by two bytes
@@ -43,7 +52,9 @@ def text_features(text: str) -> np.ndarray:
         h = (b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA6B)) ^ (b[2:] * np.uint32(0xC2B2AE35))
         out += np.bincount(h >> np.uint32(23), minlength=TEXT_DIM).astype(np.float32)
         total += len(h)
-    return np.sqrt(out / total) * 4 if total else out
+    if total:
+        out = np.sqrt(out / total) * 4
+    return np.append(out, np.float32(8 * math.sqrt(repeats))) * np.float32(total / (total + FEW))
 
 
 def meta_features(lang: str | None, source: str | None, n_chars: float | None, text: str) -> np.ndarray:
