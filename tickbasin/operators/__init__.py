@@ -1,0 +1 @@
+"""Operators on the six datasets."""

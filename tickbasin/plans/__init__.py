@@ -1,0 +1 @@
+"""Guards and the SQL workbench."""

@@ -1,0 +1 @@
+"""Storage, test views and sources."""
