@@ -56,18 +56,28 @@ def parsed(messages: DataFrame) -> DataFrame:
     return m.where(book | change | trade).withColumn("exchange_timestamp_us", feed_timestamp_us(F.col("m.timestamp")))
 
 
-def with_session(messages: DataFrame, feed: str | None = None) -> DataFrame:
-    """Adds the session of the last successful connection so far, along one feed or each of the column's feeds.
+#: Arrivals of a bucket in which a message looks up its session.
+SESSION_BUCKET = 1_000_000
 
-    Connection changes are few, so every message looks up the latest one in a
-    sorted list of its feed instead of sorting all messages in one task.
+
+def with_session(messages: DataFrame) -> DataFrame:
+    """Adds the session of the last successful connection so far.
+
+    Connections are few, so they are listed by the buckets of arrivals that
+    they reach into, and each message looks through its own bucket's short
+    list: the messages are neither sorted nor moved.  The last connection has
+    no end and is one row for all.
     """
-    keys = [feed] if feed else []
-    changes = messages.where("kind = 'reconnect_success'").select(*keys, "arrival", "session_id")
-    listed = changes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("arrival", "session_id"))).alias("sessions"))
-    joined = messages.drop("session_id").join(listed, keys, "left") if keys else messages.drop("session_id").join(F.broadcast(listed))
-    before = F.filter(F.coalesce("sessions", F.array().cast(listed.schema["sessions"].dataType)), lambda s: s["arrival"] <= F.col("arrival"))
-    return joined.withColumn("session_id", F.get(before, F.size(before) - 1)["session_id"]).drop("sessions")
+    changes = messages.where("kind = 'reconnect_success'").select("arrival", "session_id")
+    bucket = F.call_function("div", F.col("arrival"), F.lit(SESSION_BUCKET))
+    until = F.lead(bucket).over(Window.orderBy("arrival"))
+    spans = changes.withColumns({"first": bucket, "until": until}).where("until is not null")
+    listed = spans.select("arrival", "session_id", F.explode(F.sequence("first", "until")).alias("bucket")).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("arrival", "session_id")), asc=False).alias("sessions"))
+    last = changes.agg(F.max(F.struct("arrival", "session_id")).alias("newest"))
+    joined = messages.drop("session_id").withColumn("bucket", bucket).join(listed, "bucket", "left").join(F.broadcast(last))
+    earlier = F.get(F.filter("sessions", lambda s: s["arrival"] <= F.col("arrival")), F.lit(0))["session_id"]
+    found = F.when(F.col("arrival") >= F.col("newest.arrival"), F.col("newest.session_id")).otherwise(earlier)
+    return joined.withColumn("session_id", found).drop("sessions", "bucket", "newest")
 
 
 def book_messages(rows: DataFrame) -> DataFrame:

@@ -158,7 +158,7 @@ def oracle_sql() -> dict[str, str]:
         "ws_metrics_counts": sql(BE, TE, IE, *FEED, select="""select * from (select 'messages_received' as metric, 'book' as label, count(*) as n from st union all select 'messages_received', 'price_change', count(*) from ms where event_kind = 2 union all select 'messages_received', 'last_trade_price', count(*) from te
  union all select 'snapshots_reconciled', '', count(*) from st where not stale union all select 'stale_snapshots_skipped', '', count(*) from st where stale union all select 'snapshots_applied', '', count(*) from nm where event_kind = 1 union all select 'deltas_applied', '', count(*) from nm where event_kind = 2
  union all select 'trades_received', '', count(*) from te where arrival % 37 <> 0 union all select 'reconnections', '', count(*) from ie where event_kind = 'reconnect_success') where n > 0"""),
-        "active_assets_status": sql(BE, select=f"select 'A' || i as asset_id, last_recv_timestamp_us, last_exchange_timestamp_us, coalesce(greatest({NOW_US} - last_recv_timestamp_us, 0) > 43200000000, true) as stale, coalesce(has_book, false) as has_book from range(12) t(i) left join ({STATES}) s on s.asset_id = 'A' || i"),
+        "active_assets_status": sql(BE, select=f"select 'A' || i as asset_id, last_recv_timestamp_us, last_exchange_timestamp_us, (last_recv_timestamp_us is null or {NOW_US} - last_recv_timestamp_us > 43200000000) as stale, coalesce(has_book, false) as has_book from range(12) t(i) left join ({STATES}) s on s.asset_id = 'A' || i"),
         "retained_state": sql(BE, select=f"select asset_id, last_recv_timestamp_us, sequence, has_book from ({STATES}) where asset_id in ('A3', 'A4', 'A5')"),
         "session_status": sql(IE, select="select case arg_max(event_kind, arrival) filter (event_kind in ('reconnect_start', 'reconnect_success')) when 'reconnect_start' then 'reconnecting' when 'reconnect_success' then 'connected' else 'starting' end as session_status, arg_max(source_session_id, arrival) filter (event_kind = 'reconnect_success') as current_session_id from ie"),
         "latest_warnings": sql(IE, select="select asset_id, arg_max(event_kind, arrival) as kind, arg_max(recv_timestamp_us, arrival) as recv_timestamp_us, arg_max(details, arrival) as details from ie group by 1"),
