@@ -1,7 +1,8 @@
 """WARC archives with revisit resolution.
 
-Archives are text files of Spark's own writer whose line separator is the two
-line ends between WARC records, so any file system that Spark reaches will do.
+Archives are gzip files of Spark's own text writer whose line separator is the
+two line ends between WARC records, so any file system that Spark reaches will
+do.  Each task writes the rows that it reads, so payloads are not moved.
 A record's block is an HTTP response whose payload is the page.  Reading parses
 whole files by Content-Length, so payloads may hold anything.
 
@@ -12,6 +13,7 @@ are joined to it and written as revisits with fresh headers and no payload.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -23,7 +25,7 @@ from .common import join_sized, shared_path, written
 
 #: Payload bytes from which equal payloads become revisits.
 LEAST_BYTES = 100
-#: Payload bytes of an archive file, about.
+#: Bytes of an archive file before compression, about.
 FILE_BYTES = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -62,9 +64,9 @@ def record(rows: DataFrame) -> DataFrame:
 
 
 def write_archives(rows: DataFrame, path: str, payload_bytes: int, n_rows: int) -> None:
-    """Writes records into files of about FILE_BYTES; rows are dealt evenly, whatever their keys."""
-    files = max(1, -(-payload_bytes // FILE_BYTES), -(-n_rows // 50_000))
-    record(rows.repartition(files)).write.option("lineSep", END + END).text(path)
+    """Writes records into files of about FILE_BYTES, before compression."""
+    per_file = max(1, FILE_BYTES * n_rows // max(1, payload_bytes + 1000 * n_rows))
+    record(rows).write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -99,7 +101,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
         for batch in batches:
             for content in batch["content"]:
                 out = []
-                for heads, block in parse(content):
+                for heads, block in parse(gzip.decompress(content)):
                     http, _, payload = block.partition(b"\r\n\r\n")
                     length = int(http.rsplit(b"Content-Length: ", 1)[1])
                     digest = heads["WARC-Payload-Digest"].removeprefix("sha256:")
