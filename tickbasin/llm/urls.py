@@ -13,14 +13,14 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Hash buckets of the n-grams, n-gram lengths, training rounds, step and ridge.
-DIMENSIONS, LENGTHS, ROUNDS, STEP, RIDGE = 2048, (3, 4, 5), 12, 6.0, 0.002
+#: Hash buckets of the n-grams, n-gram lengths, training rounds, step and ridge, and the probability from which a url is blocked.
+DIMENSIONS, LENGTHS, ROUNDS, STEP, RIDGE, BLOCK_AT = 2048, (3, 4, 5), 12, 0.5, 0.0005, 0.5
 
 # The rules (host, path) and what they decide.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 # Words of hosts and paths to block, and of ordinary ones.
-BLOCKED_WORDS = "adult sex porn xxx nude cam-girls escort casino bets free-bets gamble poker slots jackpot lottery pills viagra cheap-meds payday-loan warez crack keygen torrent spam click-win"
-ORDINARY_WORDS = "news blog shop school library museum garden travel recipes weather history science music sport health finance forum docs wiki archive gallery market city river"
+BLOCKED_WORDS = "adult sex porn xxx nude cam-girls escort casino bets free-bets gamble poker slots jackpot lottery big-win pills cheap-pills viagra cheap-meds payday-loan warez crack keygen torrent spam spam-farm link-farm click-win ads-track tracker popup-ads adult-x free-porn casino-win"
+ORDINARY_WORDS = "news blog shop school library museum garden travel recipes weather history science music sport health finance forum docs wiki archive gallery market city river north south green alpha delta home family smith miller studio media group food photo world life academy clinic theatre harbour station bridge forest letter paper coffee tiontion theror thanan erthe ouring"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -64,7 +64,9 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
 
 
 def train(labelled: DataFrame) -> list[float]:
-    """Weights of DIMENSIONS buckets and the bias, by full-batch gradient descent in SQL.
+    """Weights of DIMENSIONS buckets and the bias, by full-batch gradient steps in SQL.
+
+    A weight's step shrinks with the root of its summed squared gradients.
 
     labelled(url, bad): rows with a null label are left out; an empty table
     gives zero weights, which allow everything.  A round sums the gradient by
@@ -74,14 +76,16 @@ def train(labelled: DataFrame) -> list[float]:
     host, path = host_and_path(F.col("url"))
     rows = labelled.where("bad is not null").select(F.col("bad").cast("double").alias("bad"), ngram_buckets(host, path).alias("b")).persist()
     n = rows.count()
-    weights = [0.0] * (DIMENSIONS + 1)
-    for k in range(ROUNDS if n else 0):
+    weights, squares = [0.0] * (DIMENSIONS + 1), [1e-12] * (DIMENSIONS + 1)
+    for _ in range(ROUNDS if n else 0):
         error = (F.lit(1.0) / (1.0 + F.exp(-score(F.col("b"), weights))) - F.col("bad")).alias("e")
         scaled = rows.select("b", error, F.sqrt(F.size("b").cast("double")).alias("z"))
         terms = scaled.select(F.explode(F.concat("b", F.array(F.lit(DIMENSIONS)))).alias("j"), "e", "z")
         sums = terms.groupBy("j").agg(F.sum(F.when(F.col("j") == DIMENSIONS, F.col("e")).otherwise(F.col("e") / F.col("z"))).alias("g"))
         for j, g in sums.collect():
-            weights[j] -= STEP * (g / n + RIDGE * weights[j] * (j < DIMENSIONS))
+            slope = g / n + RIDGE * weights[j] * (j < DIMENSIONS)
+            squares[j] += slope * slope
+            weights[j] -= STEP * slope / squares[j] ** 0.5
     rows.unpersist()
     return weights
 
@@ -109,4 +113,4 @@ def filter_urls(pages: DataFrame, weights: list[float], rules: list[tuple[str, s
 
     p = F.lit(1.0) / (1.0 + F.exp(-score(ngram_buckets(F.col("host"), F.col("path")), weights)))
     ruled = base.select(id_col, "host", "path", pick(lambda r: r[0] + r[1]).alias("rule"), pick(lambda r: r[2]).alias("ruled"), p.alias("p_block"))
-    return ruled.select(id_col, "host", "path", "rule", F.coalesce("ruled", F.when(F.col("p_block") >= 0.5, "block").otherwise("allow")).alias("verdict"), "p_block")
+    return ruled.select(id_col, "host", "path", "rule", F.coalesce("ruled", F.when(F.col("p_block") >= BLOCK_AT, "block").otherwise("allow")).alias("verdict"), "p_block")
