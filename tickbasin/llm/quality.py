@@ -4,8 +4,9 @@ One view is the text's content (hashed byte trigrams), the other the page's
 metadata (language, source, length, line shape).  Each view has a logistic
 regression.  Over some rounds each classifier labels the unlabelled documents
 of which it is most sure, for the other view to learn from.  Held-out labelled
-documents calibrate both, a small regression combines the calibrated views,
-and every document is scored in one pass over the whole texts.
+documents calibrate both, so that sureness is a calibrated one, and turn labels
+away that worsen the learner.  A small regression combines the calibrated
+views, and every document is scored in one pass over the whole texts.
 
 Training reads a sample bounded by LABELLED and POOL, the rows of the smallest
 hashes of their ids, so its cost does not grow with the corpus.
@@ -31,7 +32,7 @@ LABELLED, POOL = 4000, 4000
 #: Every so many labelled documents one is held out for calibration.
 HELD_OUT = 4
 TEXT_DIM, SOURCE_DIM = 512, 64
-ROUNDS, SURE, GROWTH = 4, 0.95, 0.05
+ROUNDS, SURE, GROWTH = 4, 0.98, 0.05
 RIDGE = 1e-3
 #: Trigrams at which a text's features have half their weight.
 FEW = 60
@@ -116,28 +117,39 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray) -> dict[str, n
         held = known
     own = np.setdiff1d(known, held) if len(held) < len(known) else known
     given = [dict(zip(own.tolist(), y[own].tolist(), strict=True)) for _ in views]
-    weights: list[np.ndarray | None] = [None, None]
-    for turn in range(ROUNDS + 1):
-        for v, x in enumerate(views):
-            rows = np.array(sorted(given[v]))
-            weights[v] = fit(x[rows], np.array([given[v][r] for r in rows.tolist()]), weights[v])
-        if turn == ROUNDS:
-            break
-        for v, x in enumerate(views):  # what v is sure of, the other view learns
-            other = given[1 - v]
-            pool = np.array([r for r in np.flatnonzero(np.isnan(y)).tolist() if r not in other])
-            if not len(pool):
-                continue
-            p = sigmoid(logit(x[pool], weights[v]))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                share = max(1, int(GROWTH * len(pool) * (y[own] == label).mean()))
-                best = np.argsort(-sure, kind="stable")[:share]
-                other.update((int(pool[k]), label) for k in best if sure[k] >= SURE)
+    soft = np.where(y[held] == 1, (y[held].sum() + 1) / (y[held].sum() + 2), 1 / ((1 - y[held]).sum() + 2))  # keeps the odds finite
+
+    def trained(v: int, labelled: dict[int, float], start: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, float]:
+        """Weights of a view, its calibration, and its loss on the held-out documents."""
+        rows = np.array(sorted(labelled))
+        w = fit(views[v][rows], np.array([labelled[r] for r in rows.tolist()]), start)
+        z = logit(views[v][held], w)
+        ab = fit(z[:, None], soft, ridge=1e-6, steps=30)
+        p = np.clip(sigmoid(calibrated(z, ab)), 1e-9, 1 - 1e-9)
+        return w, ab, float(-np.mean(y[held] * np.log(p) + (1 - y[held]) * np.log(1 - p)))
+
+    state = [trained(v, given[v], None) for v in range(2)]
+    for _ in range(ROUNDS):
+        offered = []
+        for v in range(2):  # what v is sure of, the other view may learn
+            pool = np.array([r for r in np.flatnonzero(np.isnan(y)).tolist() if r not in given[1 - v]])
+            labels: dict[int, float] = {}
+            if len(pool):
+                p = sigmoid(calibrated(logit(views[v][pool], state[v][0]), state[v][1]))
+                for label, sure in ((1.0, p), (0.0, 1 - p)):
+                    share = max(1, int(GROWTH * len(pool) * (y[own] == label).mean()))
+                    labels |= {int(pool[k]): label for k in np.argsort(-sure, kind="stable")[:share] if sure[k] >= SURE}
+            offered.append(labels)
+        for v in range(2):
+            if offered[1 - v]:
+                more = given[v] | offered[1 - v]
+                new = trained(v, more, state[v][0])
+                if new[2] <= state[v][2]:  # labels that mislead the view are turned away
+                    given[v], state[v] = more, new
+    weights = [s[0] for s in state]
     model = {"text": weights[0], "meta": weights[1]}
+    model |= {"text_ab": state[0][1], "meta_ab": state[1][1]}
     z = [logit(x[held], w) for x, w in zip(views, weights, strict=True)]
-    soft = np.where(y[held] == 1, (y[held].sum() + 1) / (y[held].sum() + 2), 1 / ((1 - y[held]).sum() + 2))  # keeps the odds finite
-    for name, own_z in zip(("text_ab", "meta_ab"), z, strict=True):
-        model[name] = fit(own_z[:, None], soft, ridge=1e-6, steps=30)
     both = np.stack([calibrated(own_z, model[name]) for name, own_z in zip(("text_ab", "meta_ab"), z, strict=True)], axis=1)
     model["both"] = fit(both, soft, ridge=1e-4, steps=30)
     return model
