@@ -9,6 +9,9 @@ whose members are compared in double precision.  Leaves only mark pairs in the
 cell's link table, so a pair met in many leaves counts once, and tasks report
 link counts and links to the first of each local component, never pairs.
 Classes that share several cells are compared in the first of them only.
+
+Dense groups too large for a cell are taken out first, as balls whose members
+all link (see balls.py), so a group of any size keeps its links.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import balls
+from .balls import unit_rows
 from .common import connected_components, join_sized, written
 
 THRESHOLD = 0.93
@@ -91,13 +96,6 @@ def compare_blocks(unit: np.ndarray, weight: np.ndarray, threshold: float) -> tu
             return links, root
 
 
-def unit_rows(raw: pd.Series) -> np.ndarray:
-    """Unit vectors in double precision of stored ones."""
-    x = np.stack([np.frombuffer(b, dtype=np.float32) for b in raw]).astype(np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)  # keeps squares finite
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
 def usable(vector) -> bytes | None:
     """The vector's bytes, or None if it is null or zero or has a null or non-finite component."""
     if vector is None or not len(vector):
@@ -134,6 +132,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     grouped = rows.where("key is not null and id is not null").groupBy("key", "label").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("raw").alias("raw"))
     classes, _ = written(grouped, "vector-classes")
 
+    labels = classes.groupBy("label").count().where(F.col("count") > CELL).select("label")
+    large, _ = written(labels, "large-labels")
+    dense = balls.extract(join_sized(classes, large, "label", "left_semi"), CELL, threshold) if large.limit(1).count() else None
+    everything = classes
+    if dense:
+        classes = everything.join(dense[0].select("rep"), "rep", "left_anti")
     counts, _ = written(classes.groupBy("label").count().where(F.col("count") > CELL).select("label"), "large-labels")
     root = F.array(F.xxhash64("label"))
     if counts.limit(1).count():
@@ -181,11 +185,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         return pd.DataFrame({"rep": rep, "links": links, "root": rep[roots]})
 
     per_cell = dealt.select("rep", "copies", "raw", "cells", F.explode("cells").alias("cell"))
-    found, _ = written(per_cell.groupBy("cell").applyInPandas(cell_links, "rep long, links long, root long"), "cell-links")
+    found = per_cell.groupBy("cell").applyInPandas(cell_links, "rep long, links long, root long")
+    if dense:
+        near = join_sized(everything, dense[1].select("label").distinct(), "label", "left_semi")
+        found = found.unionByName(balls.links(near, *dense, threshold))
+    found, _ = written(found, "cell-links")
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = connected_components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     joined, _ = written(joined, "components")
-    named = classes.select("key", "rep", "copies").join(sums, "rep").join(joined, F.col("rep") == F.col("id"), "left")
+    named = everything.select("key", "rep", "copies").join(sums, "rep").join(joined, F.col("rep") == F.col("id"), "left")
     named, _ = written(named.select("key", (F.col("copies") - 1 + F.col("links")).alias("links"), F.coalesce("component", "rep").alias("component")), "named-classes")
     final = join_sized(rows.select("id", "key"), named, "key", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
