@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickbasin.llm import common, decontaminate, embeddings, packing, pii, quality, queries, simhash, warc
+from tickbasin.llm import balls, common, decontaminate, embeddings, packing, pii, quality, queries, simhash, warc
 
 
 def classes(n, pairs):
@@ -198,6 +198,25 @@ def test_embeddings_against_brute_force(spark, monkeypatch, cell):
     assert all(got[k].kept == (got[k].component_id == k) for k in range(len(rows)))
 
 
+def test_dense_groups_keep_all_links(spark, monkeypatch):
+    """Groups of near copies far larger than a cell: exact links, balls, rims around them and other balls near."""
+    monkeypatch.setattr(embeddings, "CELL", 40)
+    monkeypatch.setattr(embeddings, "LEAF", 40)
+    monkeypatch.setattr(balls, "BLOCK", 16)
+    rng = np.random.default_rng(12)
+    center = rng.standard_normal(32)
+    other = center + 0.35 * rng.standard_normal(32)
+    vs = [center + 0.03 * rng.standard_normal(32) for _ in range(150)] + [other + 0.05 * rng.standard_normal(32) for _ in range(90)]
+    vs += [center + s * rng.standard_normal(32) for s in (0.2, 0.3, 0.4, 0.5) for _ in range(12)] + [rng.standard_normal(32) for _ in range(60)]
+    rows = [(k, v.astype(np.float32).astype(float).tolist(), 1) for k, v in enumerate(vs)]
+    rows += [(1000, rows[0][1], 1), (1001, rows[-1][1], 1), *[(2000 + k, r[1], 2) for k, r in enumerate(rows[:20])]]
+    n, component = brute_links(rows)
+    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert all(got[r[0]].n_links <= n[k] for k, r in enumerate(rows))
+    assert all(got[rows[k][0]].n_links == n[k] for k in range(150)) and sum(r.n_links for r in got.values()) >= 0.97 * sum(n)
+    assert all(got[rows[k][0]].component_id == rows[component[k]][0] for k in range(240))
+
+
 def test_embedding_cases(spark):
     nan, inf = float("nan"), float("inf")
     one = [1.0, 0.0]
