@@ -42,7 +42,22 @@ def windows(rows: DataFrame, seeds: list[str], keep: list[str]) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Finds the documents that hold a passage of a benchmark item.
+    """Finds the documents that hold a passage of a benchmark item; see contaminated_rows().
+
+    Returns one row per document id and item: id, item_id, matched, stretch
+    and position.  Rows of one id count together, null ids as one id.
+    """
+    rows = contaminated_rows(docs, benchmark, id_col, text_col)
+    best = F.max(F.struct("matched", (-F.col("position")).alias("back"))).alias("best")
+    top = rows.groupBy("id", "item_id", "stretch").agg(best)
+    return top.select(F.col("id").alias(id_col), "item_id", "best.matched", "stretch", (-F.col("best.back")).alias("position"))
+
+
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Finds the rows whose text holds a passage of a benchmark item.
+
+    Rows are told apart by id and the text's hash, so that one hot or null id
+    does not gather the hits of different texts.
 
     An item is held if, at some shift, at least SHARE of the tokens of some
     stretch of STRETCH of its tokens (of the whole item, if it is shorter)
@@ -51,11 +66,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ones are not looked for.  Items of equal tokens count as one, named by the
     smallest item_id.
 
-    Returns one row per document id and item: id, item_id, matched, stretch
-    and position (the token of the document at which the stretch starts).
-    Rows of one id count together, null ids as one id; null and empty texts
-    hold nothing; other columns are not read; an empty table gives an empty
-    table.
+    Returns one row per id, text and item: id, text_hash, item_id, matched,
+    stretch and position (the token of the text at which the stretch starts).
+    Null and empty texts hold nothing; other columns are not read; an empty
+    table gives an empty table.
     """
     tokens = benchmark.select("item_id", token_hashes(F.col("text")).alias("tokens"))
     items = tokens.where(F.size("tokens") >= LEAST_TOKENS).groupBy("tokens").agg(F.min("item_id").alias("item_id"))
@@ -68,37 +82,40 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         wanted = wanted.unionByName(windows(items.where(F.col("n") == length), ["1" * length], ["item_id", "n"]))
     wanted, _ = written(wanted.select("item_id", "n", F.col("place").alias("item_place"), "hash"), "item-windows")
 
-    read = docs.select(F.col(id_col).alias("id"), token_hashes(F.col(text_col)).alias("tokens"))
-    found = join_sized(windows(read, [*SEEDS, *("1" * n for n in short)], ["id"]), wanted, "hash", "inner")
-    shifts = found.select("id", "item_id", "n", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
-    hits, _ = written(shifts.groupBy("id").agg(F.collect_list(F.struct("item_id", "n", "shift")).alias("hits")), "seed-hits")
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash")
+    read = docs.select(F.col(id_col).alias("id"), text_hash, token_hashes(F.col(text_col)).alias("tokens"))
+    found = join_sized(windows(read, [*SEEDS, *("1" * n for n in short)], ["id", "text_hash"]), wanted, "hash", "inner")
+    shifts = found.select("id", "text_hash", "item_id", "n", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
+    hits, _ = written(shifts.groupBy("id", "text_hash").agg(F.collect_list(F.struct("item_id", "n", "shift")).alias("hits")), "seed-hits")
 
-    again = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    hits = hits.withColumnRenamed("id", "hit_id")
-    held = join_sized(again, hits, F.col("id").eqNullSafe(F.col("hit_id")), "inner").select("id", "hits", token_hashes(F.col("text")).alias("tokens"))
+    again = docs.select(F.col(id_col).alias("id"), text_hash, F.col(text_col).alias("text"))
+    hits = hits.withColumnsRenamed({"id": "hit_id", "text_hash": "hit_hash"})
+    held = join_sized(again, hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "inner").select("id", "text_hash", "hits", token_hashes(F.col("text")).alias("tokens"))
 
     def cut(hit: Column) -> Column:
         at = F.greatest(hit["shift"], F.lit(0))
         part = F.when(F.size("tokens") > at, F.slice("tokens", at + 1, hit["n"])).otherwise(F.array().cast("array<bigint>"))
         return F.struct(hit["item_id"].alias("item_id"), hit["shift"].alias("shift"), part.alias("part"))
 
-    cuts = held.select("id", F.explode(F.transform("hits", cut)).alias("c")).select("id", "c.item_id", "c.shift", "c.part")
+    cuts = held.select("id", "text_hash", F.explode(F.transform("hits", cut)).alias("c")).select("id", "text_hash", "c.item_id", "c.shift", "c.part")
     aligned = join_sized(cuts, items.withColumnRenamed("tokens", "item"), "item_id", "inner").select(
-        "id", "item_id", "shift", "n", F.least("n", F.lit(STRETCH)).alias("stretch"),
+        "id", "text_hash", "item_id", "shift", "n", F.least("n", F.lit(STRETCH)).alias("stretch"),
         F.transform("item", lambda t, i: F.coalesce((F.get(F.col("part"), i + F.least(F.col("shift"), F.lit(0))) == t).cast("int"), F.lit(0))).alias("same"),
     )
     sums = F.transform(
         F.sequence(F.lit(0), F.col("n") - F.col("stretch")),
         lambda i: F.struct(F.aggregate(F.slice("same", i + 1, F.col("stretch")), F.lit(0), lambda a, x: a + x).alias("matched"), (-(F.col("shift") + i)).alias("back")),
     )
-    best = aligned.select("id", "item_id", "stretch", F.array_max(sums).alias("best"))
+    best = aligned.select("id", "text_hash", "item_id", "stretch", F.array_max(sums).alias("best"))
     need = F.when(F.col("stretch") < span, F.col("stretch")).otherwise(F.ceil(F.col("stretch") * SHARE))
     good = best.where(F.col("best.matched") >= need)
-    top = good.groupBy("id", "item_id", "stretch").agg(F.max("best").alias("best"))
-    return top.select(F.col("id").alias(id_col), "item_id", F.col("best.matched").cast("long").alias("matched"), F.col("stretch").cast("long").alias("stretch"), (-F.col("best.back")).cast("long").alias("position"))
+    top = good.groupBy("id", "text_hash", "item_id", "stretch").agg(F.max("best").alias("best"))
+    return top.select("id", "text_hash", "item_id", F.col("best.matched").cast("long").alias("matched"), F.col("stretch").cast("long").alias("stretch"), (-F.col("best.back")).cast("long").alias("position"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those that hold a benchmark passage; all columns stay."""
-    gone, _ = written(contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("gone_id")).distinct(), "contaminated")
-    return join_sized(docs, gone, F.col(id_col).eqNullSafe(F.col("gone_id")), "left_anti").select(docs.columns)
+    """The documents without the rows whose text holds a benchmark passage; all columns stay."""
+    rows = contaminated_rows(docs, benchmark, id_col, text_col)
+    gone, _ = written(rows.select(F.col("id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "contaminated")
+    same = F.col(id_col).eqNullSafe(F.col("gone_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("gone_hash"))
+    return join_sized(docs, gone, same, "left_anti").select(docs.columns)
