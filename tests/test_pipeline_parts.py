@@ -59,6 +59,26 @@ def test_sequences_sides_and_bad_levels(spark):
     assert n.ingest_events.count() == 1 and n.trade_events.count() == 0
 
 
+def test_numbering_across_buckets(spark, monkeypatch):
+    """Small buckets give the same sequences as one large one."""
+    import random
+
+    rng = random.Random(4)
+    texts = [book(str(10**13 + k), [("0.1", "1")] * rng.randint(0, 2), []) if rng.random() < 0.15 else change("1", *[("BUY", "0.5", "1")] * rng.randint(1, 2)) for k in range(80)]
+    m = messages(spark, *texts)
+    key = lambda n: sorted((r.recv_timestamp_us, r.sequence) for r in n.book_events.collect())
+    whole = key(normalize.normalize(m))
+    monkeypatch.setattr(normalize, "NUMBER_BUCKET", 3)
+    assert key(normalize.normalize(m)) == whole
+    following, want = 0, []
+    for k, t in enumerate(texts):
+        following = 0 if t["event_type"] == "book" else following
+        for _ in t.get("bids") or t.get("price_changes") or []:
+            want.append((BASE + k, following))
+            following += 1
+    assert whole == sorted(want)
+
+
 def test_stream_equals_batch(spark):
     m = messages(spark, book("100", [("0.2", "1"), ("0.1", "2")], [("0.3", "1")]), change("101", ("BUY", "0.15", "3"), ("BUY", "bad", "3"), ("BUY", "0.16", "3")), book("90", [("0.9", "1")], []), change("102", ("SELL", "0.3", "0")), book("110", [], []), change("103", ("BUY", "0.4", "1")))
     columns = ["asset_id", "event_kind", "side", "price", "size", "sequence", "exchange_timestamp_us"]

@@ -58,6 +58,8 @@ def parsed(messages: DataFrame) -> DataFrame:
 
 #: Arrivals of a bucket in which a message looks up its session.
 SESSION_BUCKET = 1_000_000
+#: Arrivals of a bucket in which an asset's rows are numbered.
+NUMBER_BUCKET = 1_000_000
 
 
 def with_session(messages: DataFrame) -> DataFrame:
@@ -109,14 +111,30 @@ def level_rows(books: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def numbered(levels: DataFrame, books: DataFrame) -> DataFrame:
-    """Adds the sequence: per asset from 0, anew from every accepted snapshot, empty ones too."""
+    """Adds the sequence: per asset from 0, anew from every accepted snapshot, empty ones too.
+
+    Rows are counted within buckets of arrivals first; what a bucket hands on
+    to the next follows from one small row per asset and bucket.  So an asset
+    that holds most of the feed is numbered by many tasks.
+    """
+    bucket = F.call_function("div", F.col("arrival"), F.lit(NUMBER_BUCKET))
     starts = books.where("not stale").select("asset_id", "arrival", F.lit(-1).alias("pos"), F.lit(1).alias("start"))
     columns = [c for c in levels.columns if c not in ("asset_id", "arrival", "pos")]
-    both = levels.withColumn("start", F.lit(0)).unionByName(starts, allowMissingColumns=True)
-    by_arrival = Window.partitionBy("asset_id").orderBy("arrival", "pos")
-    epochs = both.withColumn("epoch", F.sum("start").over(by_arrival.rowsBetween(Window.unboundedPreceding, 0))).where("start = 0")
-    sequence = F.row_number().over(Window.partitionBy("asset_id", "epoch").orderBy("arrival", "pos")).cast("long") - 1
-    return epochs.withColumn("sequence", sequence).select("asset_id", "arrival", "pos", *columns, "sequence", "epoch")
+    both = levels.withColumn("start", F.lit(0)).unionByName(starts, allowMissingColumns=True).withColumn("bucket", bucket)
+    inside = Window.partitionBy("asset_id", "bucket").orderBy("arrival", "pos")
+    local = both.withColumn("epoch", F.sum("start").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    rank = F.row_number().over(Window.partitionBy("asset_id", "bucket", "epoch").orderBy("arrival", "pos")).cast("long")
+    # the start of an epoch is its row 1; rows before the bucket's first start go on from the bucket before
+    placed = local.withColumn("rank", F.when(F.col("epoch") == 0, rank - 1).otherwise(rank - 2))
+
+    ends = placed.groupBy("asset_id", "bucket").agg(F.max("epoch").alias("starts"), F.max(F.struct("epoch", "rank"))["rank"].alias("last"))
+    by_bucket = Window.partitionBy("asset_id").orderBy("bucket")
+    runs = ends.withColumn("run", F.sum((F.col("starts") > 0).cast("int")).over(by_bucket.rowsBetween(Window.unboundedPreceding, 0)))
+    given = runs.withColumn("given", F.sum(F.col("last") + 1).over(Window.partitionBy("asset_id", "run").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
+    carried = given.select("asset_id", "bucket", F.coalesce(F.lag("given").over(by_bucket), F.lit(0)).alias("carry"))
+    joined = placed.where("start = 0").join(carried, ["asset_id", "bucket"])
+    sequence = F.col("rank") + F.when(F.col("epoch") == 0, F.col("carry")).otherwise(0)
+    return joined.select("asset_id", "arrival", "pos", *columns, sequence.alias("sequence"))
 
 
 def lifecycle_rows(messages: DataFrame) -> DataFrame:
