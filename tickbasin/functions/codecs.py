@@ -16,19 +16,22 @@ BUY_WORDS, SELL_WORDS = ["BUY", "buy", "Bid", "bid"], ["SELL", "sell", "Ask", "a
 
 def _stamp(text: Column) -> Column:
     """A whole non-negative number, or null."""
-    return F.when(text.rlike(r"^\+?[0-9]+$"), text.try_cast("long"))
+    return F.regexp_extract(text, r"^\+?[0-9]+$", 0).try_cast("long")
+
+
+def _microseconds(raw: Column) -> Column:
+    """Milliseconds scaled; microseconds as they are."""
+    return raw * F.when(raw < MILLISECONDS_BELOW, 1000).otherwise(1)
 
 
 def feed_timestamp_us(text: Column) -> Column:
     """Microseconds of a feed stamp: milliseconds are scaled, missing and bad stamps are 0."""
-    raw = F.coalesce(_stamp(text), F.lit(0).cast("long"))
-    return F.when((raw > 0) & (raw < MILLISECONDS_BELOW), raw * 1000).otherwise(raw)
+    return F.coalesce(_microseconds(_stamp(text)), F.lit(0).cast("long"))
 
 
 def rest_timestamp_us(text: Column, now_us: Column) -> Column:
     """Microseconds of a REST stamp: milliseconds (0 too) are scaled, missing and bad stamps are now."""
-    raw = _stamp(text)
-    return F.coalesce(F.when(raw < MILLISECONDS_BELOW, raw * 1000).otherwise(raw), now_us)
+    return F.coalesce(_microseconds(_stamp(text)), now_us)
 
 
 def side_code(text: Column) -> Column:

@@ -12,27 +12,25 @@ NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 TOO_LARGE = 9.223372036854775807e18
 
 
-def _raw(value: Column, scale: int) -> Column:
-    """value times scale, half away from zero; null for negative and non-finite values."""
-    fine = value.isNotNull() & ~F.isnan(value) & (value >= 0) & (value < TOO_LARGE / scale)
-    scaled = F.when(fine, value * F.lit(float(scale)))
-    whole = F.floor(scaled)
-    return F.when(scaled < 4503599627370496.0, (whole + (scaled - whole >= 0.5).cast("long")).cast("long")).otherwise(scaled.cast("long"))
+# The functions name their argument as rarely as they can: it may be a long
+# expression itself, and Catalyst copies it to every place.  NaN is above every
+# number, so the upper bounds turn it away too.
 
 
 def price_from_double(value: Column) -> Column:
-    """Raw price, or null if the value is negative, not finite or above 1."""
-    raw = _raw(value, PRICE_SCALE)
-    return F.when(raw <= PRICE_SCALE, raw).cast("int")
+    """Raw price, half away from zero, or null if the value is negative, not finite or above 1."""
+    scaled = value * float(PRICE_SCALE)
+    return F.when((scaled >= 0) & (scaled < PRICE_SCALE + 0.5), F.round(scaled)).cast("int")
 
 
 def size_from_double(value: Column) -> Column:
-    """Raw size, or null if the value is negative, not finite or beyond BIGINT."""
-    return _raw(value, SIZE_SCALE)
+    """Raw size, half away from zero, or null if the value is negative, not finite or beyond BIGINT."""
+    scaled = value * float(SIZE_SCALE)
+    return F.when((scaled >= 0) & (scaled < TOO_LARGE), F.round(scaled)).cast("long")
 
 
 def _number(text: Column) -> Column:
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return F.regexp_extract(text, NUMBER, 0).try_cast("double")
 
 
 def price_from_text(text: Column) -> Column:

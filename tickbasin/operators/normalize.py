@@ -48,7 +48,8 @@ def _complete(levels: Column, names: list[str]) -> Column:
 
 def parsed(messages: DataFrame) -> DataFrame:
     """Raw messages with their fields; texts that are no complete message of a known type go."""
-    m = messages.where("kind = 'raw'").withColumn("m", F.from_json("text", MESSAGE))
+    # a generator keeps the filters below from being pushed into many copies of the parser
+    m = messages.where("kind = 'raw'").select("*", F.explode(F.array(F.from_json("text", MESSAGE))).alias("m"))
     kind = F.col("m.event_type")
     book = (kind == "book") & F.col("m.asset_id").isNotNull() & _complete(F.col("m.bids"), ["price", "size"]) & _complete(F.col("m.asks"), ["price", "size"])
     change = (kind == "price_change") & _complete(F.col("m.price_changes"), ["asset_id", "price", "size", "side"])
@@ -176,7 +177,7 @@ def normalize(messages: DataFrame) -> Normalized:
 
 def metric_counts(messages: DataFrame) -> DataFrame:
     """Counters of a feed: (metric, label, n)."""
-    rows = parsed(with_session(messages))
+    rows = parsed(messages)
     books = book_messages(rows)
     levels = numbered(level_rows(books, rows), books)
 
