@@ -58,7 +58,7 @@ def parsed(messages: DataFrame) -> DataFrame:
 
 
 #: Arrivals of a bucket in which a message looks up its session.
-SESSION_BUCKET = 1_000_000
+SESSION_BUCKET = 512
 #: Arrivals of a bucket in which an asset's rows are numbered.
 NUMBER_BUCKET = 1_000_000
 

@@ -31,6 +31,13 @@ def _replay(spark: SparkSession, folder: str, mode: str = "recv_time", checkpoin
     return replay.reconstruct(views.book_events(spark, folder), points(spark), mode, LOOKBACK_US, cps)
 
 
+def _messages(spark: SparkSession, folder: str) -> DataFrame:
+    """The test feed as stored messages: written once, then read by every part of the plan."""
+    path = feed.scratch(spark, "messages")
+    feed.test_messages(spark, folder).write.parquet(path)
+    return spark.read.schema(feed.SCHEMA).parquet(path)
+
+
 def _levels(df: DataFrame) -> DataFrame:
     return df.select("query_id", "asset_id", F.col("side").cast("int").alias("side"), "price", "size")
 
@@ -231,27 +238,27 @@ def partition_counts(spark, folder):
 
 
 def normalize_sequences(spark, folder):
-    n = normalize.normalize(feed.test_messages(spark, folder))
+    n = normalize.normalize(_messages(spark, folder))
     return n.book_events.select("recv_timestamp_us", "exchange_timestamp_us", "asset_id", F.col("event_kind").cast("int").alias("event_kind"), F.col("side").cast("int").alias("side"), "price", "size", "sequence", "source_event_id", "source_session_id")
 
 
 def normalize_stale(spark, folder):
-    n = normalize.normalize(feed.test_messages(spark, folder)).ingest_events
+    n = normalize.normalize(_messages(spark, folder)).ingest_events
     return n.where("event_kind = 'stale_snapshot_skip'").select("asset_id", "recv_timestamp_us", "exchange_timestamp_us", "details", "source_event_id")
 
 
 def normalize_trades(spark, folder):
-    n = normalize.normalize(feed.test_messages(spark, folder)).trade_events
+    n = normalize.normalize(_messages(spark, folder)).trade_events
     return n.select("asset_id", "recv_timestamp_us", "exchange_timestamp_us", "price", "size", F.col("side").cast("int").alias("side"), "trade_id", "fidelity", "source_session_id")
 
 
 def lifecycle_expand(spark, folder):
-    n = normalize.normalize(feed.test_messages(spark, folder)).ingest_events
+    n = normalize.normalize(_messages(spark, folder)).ingest_events
     return n.where("asset_id is null").select("recv_timestamp_us", "event_kind", "details", "source_session_id")
 
 
 def ws_metrics_counts(spark, folder):
-    return normalize.metric_counts(feed.test_messages(spark, folder))
+    return normalize.metric_counts(_messages(spark, folder))
 
 
 def active_assets_status(spark, folder):
@@ -349,7 +356,7 @@ def normalize_stream(spark, folder):
     """The streaming normalizer's book rows after all messages have arrived."""
     from .streaming import books
 
-    n = books.stream_normalized(feed.test_messages(spark, folder))
+    n = books.stream_normalized(_messages(spark, folder))
     return n.select("recv_timestamp_us", "exchange_timestamp_us", "asset_id", F.col("event_kind").cast("int").alias("event_kind"), F.col("side").cast("int").alias("side"), "price", "size", "sequence", "source_event_id")
 
 
