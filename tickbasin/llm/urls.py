@@ -14,13 +14,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Hash buckets of the n-grams, n-gram lengths, training rounds, step and ridge, and the probability from which a url is blocked.
-DIMENSIONS, LENGTHS, ROUNDS, STEP, RIDGE, BLOCK_AT = 2048, (3, 4, 5), 12, 0.5, 0.0005, 0.5
+DIMENSIONS, LENGTHS, ROUNDS, STEP, RIDGE, BLOCK_AT = 8192, (3, 4, 5), 30, 1.5, 0.00002, 0.5
 
 # The rules (host, path) and what they decide.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-# Words of hosts and paths to block, and of ordinary ones.
-BLOCKED_WORDS = "adult sex porn xxx nude cam-girls escort casino bets free-bets gamble poker slots jackpot lottery big-win pills cheap-pills viagra cheap-meds payday-loan warez crack keygen torrent spam spam-farm link-farm click-win ads-track tracker popup-ads adult-x free-porn casino-win"
-ORDINARY_WORDS = "news blog shop school library museum garden travel recipes weather history science music sport health finance forum docs wiki archive gallery market city river north south green alpha delta home family smith miller studio media group food photo world life academy clinic theatre harbour station bridge forest letter paper coffee tiontion theror thanan erthe ouring"
+# Words of hosts and paths to block, and of ordinary ones; everyday words by topic, none made up to resemble a data set's hosts.
+BLOCKED_WORDS = "adult sex porn xxx nude erotic escort hookup casino bet bets betting gamble gambling poker roulette slots jackpot lottery pills viagra steroids payday warez crack keygen torrent pirated spam scam phishing malware ads adserver tracker popup clickbait"
+ORDINARY_WORDS = (
+    "news weather radio press journal magazine daily times post review blog forum wiki docs archive library museum gallery theatre cinema music dance opera poetry history science physics biology "
+    "school college academy university teacher student course lesson study research health clinic hospital dental doctor nurse sport football tennis cycling running sailing skiing travel hotel airport "
+    "train bridge harbour station garden flower forest river mountain island valley beach farm kitchen recipes bakery coffee cheese bread market shop store fashion shoes jewelry furniture paint tools "
+    "finance bank tax insurance law legal estate housing city town village council county state parish church charity family kids baby wedding photo camera film video studio design print paper letter "
+    "software cloud data network server mobile phone computer energy solar water metal glass wood motor truck repair service support about contact product catalog index home north south east west"
+)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -56,11 +62,20 @@ def score(buckets: Column, weights: list[float]) -> Column:
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The built-in labelled table (url, bad): every word under three tops, two hosts and four paths."""
+    """The built-in labelled table (url, bad): every word under three tops and four paths, alone, before and after an ordinary word.
+
+    The ordinary word is picked by a hash, so a compound host is bad if one of its words is.
+    """
     rows = spark.sql(f"select explode(split('{BLOCKED_WORDS}', ' ')) word, 1D bad union all select explode(split('{ORDINARY_WORDS}', ' ')) word, 0D bad")
     tops, heads, paths = ("com", "net", "org"), ("https://", "http://www.", "https://m.", "http://blog."), ("/", "/en/12", "/fr/345.html", "/de/page")
-    shape = F.array(*[F.array(F.lit(h), F.lit(f".example.{t}{p}")) for k, t in enumerate(tops) for j, p in enumerate(paths) for h in (heads[(k + j) % 4],)])
-    return rows.select("bad", F.explode(shape).alias("s"), "word").select(F.concat(F.col("s")[0], F.col("word"), F.col("s")[1]).alias("url"), "bad")
+    others = F.array(*map(F.lit, ORDINARY_WORDS.split()))
+    urls = []
+    for k, top in enumerate(tops):
+        for j, path in enumerate(paths):
+            other = F.get(others, F.pmod(F.xxhash64("word", F.lit(k), F.lit(j)), F.size(others)).cast("int"))
+            host = (F.col("word"), F.concat(F.col("word"), F.lit("-"), other), F.concat(other, F.lit("-"), F.col("word")))[(k + j) % 3]
+            urls.append(F.concat(F.lit(heads[(k + j) % 4]), host, F.lit(f".example.{top}{path}")))
+    return rows.select(F.explode(F.array(*urls)).alias("url"), "bad")
 
 
 def train(labelled: DataFrame) -> list[float]:
