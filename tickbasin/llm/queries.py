@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, embeddings, html, packing, pii, quality, simhash, tokens, urls, warc
+from .oracles import oracle_sql
+
+__all__ = ["oracle_sql", "queries"]
 
 #: The vocabulary file of the token counts.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -61,8 +64,3 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query by name."""
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
-
-
-def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL of the queries that SQL can express."""
-    return {}
