@@ -41,14 +41,19 @@ def live_books(events: DataFrame) -> DataFrame:
     """Levels of every asset's live book: (asset_id, side, price, size).
 
     The last snapshot group is the base, deltas before any snapshot count, and
-    no gap is checked.
+    no gap is checked.  The group starts after the last row before the last
+    snapshot row that is not of its group, so maxima combined before the
+    shuffle find it and no asset's rows are sorted.
     """
-    rows = snapshot_groups(events)
-    base = rows.where(F.col("event_kind") == SNAPSHOT).groupBy("asset_id").agg(F.max("group").alias("base"))
-    rows = rows.join(base, "asset_id", "left").where(F.col("base").isNull() | (F.col("group") >= F.col("base")))
+    snapshot = F.col("event_kind") == SNAPSHOT
+    clocks = F.struct("recv_timestamp_us", "exchange_timestamp_us", F.coalesce("source_event_id", F.lit("")).alias("source_event_id"))
+    last = events.where(snapshot).groupBy("asset_id").agg(F.max("arrival").alias("last_at"), F.max_by(clocks, "arrival").alias("last_clocks"))
+    other = events.join(last, "asset_id").where((F.col("arrival") < F.col("last_at")) & ~(snapshot & (clocks == F.col("last_clocks"))))
+    cut = other.groupBy("asset_id").agg(F.max("arrival").alias("cut"))
+    rows = events.join(cut, "asset_id", "left").where(F.col("cut").isNull() | (F.col("arrival") > F.col("cut")))
     rows = rows.where((F.col("size") > 0) | (F.col("event_kind") == DELTA))
-    last = rows.groupBy("asset_id", "side", "price").agg(F.max_by("size", "arrival").alias("size"))
-    return last.where("size > 0")
+    latest = rows.groupBy("asset_id", "side", "price").agg(F.max_by("size", "arrival").alias("size"))
+    return latest.where("size > 0")
 
 
 def asset_states(events: DataFrame) -> DataFrame:

@@ -130,6 +130,8 @@ def oracle_sql() -> dict[str, str]:
         "snapshot_islands": sql(BE, select="""select asset_id, ots, row_number() over (partition by asset_id, ots order by isl) as run, n, first_sequence, last_sequence from (select asset_id, ots, isl, count(*) as n, arg_min(sq, rn) as first_sequence, arg_max(sq, rn) as last_sequence from
  (select *, rn - row_number() over (partition by asset_id, event_kind, ots order by rn) as isl from (select *, row_number() over (partition by asset_id order by ots, recv_timestamp_us, sq, source_event_id, side, price, size) as rn from
  (select *, case when exchange_timestamp_us = 0 then recv_timestamp_us else exchange_timestamp_us end as ots, coalesce(sequence, 0) as sq from be))) where event_kind = 1 group by all)"""),
+        "book_series": sql(*both, *recon("recv_time", "inclusive"), TOP, select="select query_id, asset_id, at_us, sequence, last_update_us, used_checkpoint, best_bid, best_ask, (b + a) / 2 as mid, a - b as spread from hd join pts using (query_id, asset_id) left join tp using (query_id, asset_id)"),
+        "execution_append": "select epoch_us(l_shipdate) as event_timestamp_us, 'O' || l_orderkey as order_id, 'C' || l_linenumber as client_order_id, 'fill' as event_kind, case when l_orderkey % 4 < 2 then 1 else 2 end as side, cast(round(l_discount * 10000) as integer) as price, cast(round(l_quantity * 1000000) as bigint) as size, epoch_us(l_shipdate) + 500 as exchange_fill_us from lineitem",
         "top_of_book": sql(*both, *recon("recv_time"), TOP, select=f"select {TOP_COLS}, best_bid, best_bid_size, best_ask, best_ask_size from tp"),
         "mid_spread_wmid": sql(*both, *recon("exchange_time"), TOP, select=f"select {TOP_COLS} from tp"),
         "depth_totals": sql(*both, *recon("recv_time"), select="select query_id, asset_id, count(*) filter (side = 1) as bid_depth, count(*) filter (side = 2) as ask_depth, cast(coalesce(sum(size) filter (side = 1), 0) as bigint) as bid_total, cast(coalesce(sum(size) filter (side = 2), 0) as bigint) as ask_total from lv group by all"),
@@ -162,6 +164,7 @@ def oracle_sql() -> dict[str, str]:
         "retained_state": sql(BE, select=f"select asset_id, last_recv_timestamp_us, sequence, has_book from ({STATES}) where asset_id in ('A3', 'A4', 'A5')"),
         "session_status": sql(IE, select="select case arg_max(event_kind, arrival) filter (event_kind in ('reconnect_start', 'reconnect_success')) when 'reconnect_start' then 'reconnecting' when 'reconnect_success' then 'connected' else 'starting' end as session_status, arg_max(source_session_id, arrival) filter (event_kind = 'reconnect_success') as current_session_id from ie"),
         "latest_warnings": sql(IE, select="select asset_id, arg_max(event_kind, arrival) as kind, arg_max(recv_timestamp_us, arrival) as recv_timestamp_us, arg_max(details, arrival) as details from ie group by 1"),
+        "live_snapshot_groups": sql(BE, *LIVE[:2], select='select asset_id, grp as "group", count(*) as n, min(arrival) as first_arrival, max(arrival) as last_arrival from lh where event_kind = 1 group by all'),
         "live_books": sql(BE, *LIVE, select="select asset_id, side, price, size from ll"),
         "live_book_stream": sql(BE, *LIVE, select="select asset_id, side, price, size from ll"),
         "live_snapshot": sql(BE, *LIVE, select=f"select s.asset_id, s.sequence, s.last_recv_timestamp_us as last_update_us, max(price) filter (side = 1) as best_bid, min(price) filter (side = 2) as best_ask, count(*) filter (side = 1) as bid_depth, count(*) filter (side = 2) as ask_depth, {NOW_US} - s.last_recv_timestamp_us > 3600000000 as stale from ({STATES}) s join ll on ll.asset_id = s.asset_id where s.asset_id = 'A3' group by all"),

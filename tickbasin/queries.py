@@ -150,6 +150,12 @@ def top_of_book(spark, folder):
     return book.top_of_book(_replay(spark, folder).levels)
 
 
+def book_series(spark, folder):
+    """Headers and tops of every asset's book in time order, from checkpoints where there are any."""
+    rows = replay.series(views.book_events(spark, folder), points(spark), "recv_time", LOOKBACK_US, views.book_checkpoints(spark, folder))
+    return rows.select("query_id", "asset_id", "at_us", "sequence", "last_update_us", "used_checkpoint", "best_bid", "best_ask", "mid", "spread")
+
+
 def mid_spread_wmid(spark, folder):
     return book.top_of_book(_replay(spark, folder, "exchange_time").levels).select("query_id", "asset_id", "mid", "spread", "weighted_mid")
 
@@ -202,6 +208,17 @@ def execution_timeline(spark, folder):
     return rows.select("event_timestamp_us", "order_id", "client_order_id", "event_kind", "side", "price", "size", "total_count")
 
 
+def execution_append(spark, folder):
+    """Append input, texts for sides, prices and sizes, as execution events."""
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    key, stamp = F.col("l_orderkey").cast("long"), views.stamp_us("l_shipdate")
+    known = {"event_timestamp_us": stamp, "order_id": F.concat(F.lit("O"), key.cast("string")), "client_order_id": F.concat(F.lit("C"), F.col("l_linenumber").cast("string")), "event_kind": F.lit("fill"),
+             "side": F.get(F.array(*map(F.lit, ["bid", "Bid", "ask", "Ask"])), (key % 4).cast("int")), "price": F.col("l_discount").cast("string"), "size": F.col("l_quantity").cast("string"), "exchange_fill_us": stamp + 500}
+    rows = lines.select(*[(known.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in execution.INPUT.fields])
+    out = storage.with_latency(execution.from_input(rows))
+    return out.select("event_timestamp_us", "order_id", "client_order_id", "event_kind", F.col("side").cast("int").alias("side"), "price", "size", "latency.exchange_fill_us")
+
+
 def execution_latency(spark, folder):
     return execution.latency_breakdown(views.execution_events(spark, folder)).select("order_id", "client_order_id", "event_kind", "normalize_us", "decide_us", "submit_us", "ack_us", "fill_us", "total_us")
 
@@ -285,6 +302,12 @@ def live_books(spark, folder):
     return live.live_books(_arrivals(views.book_events(spark, folder))).select("asset_id", F.col("side").cast("int").alias("side"), "price", "size")
 
 
+def live_snapshot_groups(spark, folder):
+    """Snapshot rows that are one snapshot, as counts by group."""
+    rows = live.snapshot_groups(_arrivals(views.book_events(spark, folder))).where("event_kind = 1")
+    return rows.groupBy("asset_id", "group").agg(F.count("*").alias("n"), F.min("arrival").alias("first_arrival"), F.max("arrival").alias("last_arrival"))
+
+
 def live_snapshot(spark, folder):
     active = spark.range(10).select(F.concat(F.lit("A"), F.col("id").cast("string")).alias("asset_id"))
     rows = live.live_snapshot(_arrivals(views.book_events(spark, folder)), _arrivals(views.ingest_events(spark, folder)), active, "A3", 20, NOW_US, 3600)
