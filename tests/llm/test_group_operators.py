@@ -241,6 +241,21 @@ def test_blocks_equal_leaves():
     assert (table.sum(axis=1) == links).all() and (embeddings.components(table) == root).all()
 
 
+def test_blocks_leave_pairs_of_earlier_cells_out():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((30, 8)).repeat(100, axis=0) + 0.05 * rng.standard_normal((3000, 8))
+    unit, weight = x / np.linalg.norm(x, axis=1, keepdims=True), rng.integers(1, 4, 3000)
+    earlier = [rng.random(3000) < 0.4, rng.random(3000) < 0.3]
+    hit = unit @ unit.T >= 0.93
+    np.fill_diagonal(hit, False)
+    linked = hit.copy()
+    for inside in earlier:
+        linked[np.ix_(inside, inside)] = False
+    links, root = embeddings.compare_blocks(unit, weight, 0.93, earlier)
+    assert (links == linked @ weight).all() and (linked.sum() < hit.sum())
+    assert (root == embeddings.components(hit)).all()
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "<p>é€ long enough to be revisited " + "x" * 100
     pages = [(3, "http://a/3", long), (1, "http://a/1\r\nX: y", long), (2, None, long), (4, "http://a/4", "short"), (5, "http://a/5", "short"), (6, "u", None), (7, "u", ""), (8, "u", "tricky\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n" + "y" * 100), (9, "u", "z" * 99), (10, "u", "z" * 99), (11, "u", "z" * 100), (12, "u", "z" * 100)]

@@ -76,8 +76,11 @@ def compare_cell(unit: np.ndarray, threshold: float = THRESHOLD, seed: int = 0)
     return linked
 
 
-def compare_blocks(unit: np.ndarray, weight: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted links and roots of a cell that no split could make small: all rows in blocks, exactly."""
+def compare_blocks(unit: np.ndarray, weight: np.ndarray, threshold: float, earlier: list[np.ndarray] | tuple = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted links and roots of a cell that no split could make small: all rows in blocks, exactly.
+
+    earlier: for each earlier cell which rows it holds; pairs that it holds are counted there.
+    """
     n, step = len(unit), 2048
     links, root, first = np.zeros(n, dtype=np.int64), np.arange(n), True
     while True:
@@ -88,7 +91,10 @@ def compare_blocks(unit: np.ndarray, weight: np.ndarray, threshold: float) -> tu
                 if i == j:
                     np.fill_diagonal(hit, False)
                 if first:
-                    links[i : i + step] += hit @ weight[j : j + step]
+                    counted = hit.copy()
+                    for inside in earlier:
+                        counted[np.ix_(inside[i : i + step], inside[j : j + step])] = False
+                    links[i : i + step] += counted @ weight[j : j + step]
                 low = np.where(hit, root[None, j : j + step], n).min(axis=1)
                 root[i : i + step] = np.minimum(root[i : i + step], low)
         root, first = root[root], False
@@ -112,7 +118,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Returns one row per row: id, n_links (other rows linked directly),
     component_id (smallest id reachable) and kept (id = component_id).  Rows
     with a null label, a null or zero vector, or a null or non-finite component
-    link with nothing, nor do vectors of different lengths.  Ids are integers;
+    link with nothing, nor do vectors of different lengths.  Components are
+    stored as 32-bit floats and compared in double precision.  Ids are integers;
     rows of one id are one node of the components, and a null id has no
     component and is not kept.  Other columns are not read; an empty table
     gives an empty table.
@@ -171,15 +178,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         frame = frame.sort_values("rep")
         unit, copies, rep = unit_rows(frame["raw"]), frame["copies"].to_numpy(np.int64), frame["rep"].to_numpy(np.int64)
         cell = int(frame["cell"].iloc[0])
+        earlier = [{int(c) for c in cells if c < cell} for cells in frame["cells"]]
+        held = [np.array([c in cells for cells in earlier]) for c in sorted(set().union(*earlier))]
         if len(frame) > 2 * CELL:
-            links, roots = compare_blocks(unit, copies, threshold)
+            links, roots = compare_blocks(unit, copies, threshold, held)
         else:
             linked = compare_cell(unit, threshold, cell & 0x7FFFFFFF)
             roots = components(linked)
-            earlier = [[c for c in cells if c < cell] for cells in frame["cells"]]
-            names = {c: k for k, c in enumerate(sorted({c for cs in earlier for c in cs}))}
-            for c in names:  # pairs that an earlier cell holds count there
-                inside = np.array([c in cs for cs in earlier])
+            for inside in held:  # pairs that an earlier cell holds count there
                 linked[np.ix_(inside, inside)] = False
             links = np.concatenate([linked[k : k + 256] @ copies for k in range(0, len(copies), 256)])
         return pd.DataFrame({"rep": rep, "links": links, "root": rep[roots]})
