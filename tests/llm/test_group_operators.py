@@ -241,6 +241,16 @@ def test_blocks_equal_leaves():
     assert (table.sum(axis=1) == links).all() and (embeddings.components(table) == root).all()
 
 
+@pytest.mark.parametrize("size, noise, others", [(4000, 0.055, 0), (8000, 0.055, 0), (6000, 0.23, 2000)])
+def test_cells_of_one_group_are_whole(size, noise, others):
+    """A cell that is mostly one tight or loose group, at the production constants."""
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.standard_normal(64) / 8 + noise * rng.standard_normal((size, 64)) / 8, rng.standard_normal((others, 64))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = sum(int((unit[k : k + 1000] @ unit.T >= embeddings.THRESHOLD).sum()) for k in range(0, len(unit), 1000)) - len(unit)
+    assert want > size * size / 2 and abs(int(embeddings.compare_cell(unit).sum()) - want) <= 4  # a pair may lie on the threshold to the last bit
+
+
 def test_blocks_leave_pairs_of_earlier_cells_out():
     rng = np.random.default_rng(5)
     x = rng.standard_normal((30, 8)).repeat(100, axis=0) + 0.05 * rng.standard_normal((3000, 8))

@@ -3,11 +3,11 @@
 Equal vectors of a label become one class with a count.  The top levels of the
 trees deal the classes to cells: a node of more than CELL classes is split at
 the mean of a random projection, and classes near the split go to both sides,
-until every cell fits in a task; a label that fits at once is one cell.  Inside
-a cell the trees go on in memory, many of them, down to leaves of LEAF classes,
-whose members are compared in double precision.  Leaves only mark pairs in the
-cell's link table, so a pair met in many leaves counts once, and tasks report
-link counts and links to the first of each local component, never pairs.
+until every cell fits in a task; a label that fits at once is one cell.  A cell
+is a leaf of the forest: all its pairs are compared, in double precision and in
+blocks of LEAF rows.  (Splitting cells further in memory was no cheaper and
+lost most pairs of a dense group.)  Tasks report link counts and links to the
+first of each local component, never pairs.
 Classes that share several cells are compared in the first of them only.
 
 Dense groups too large for a cell are taken out first, as balls whose members
@@ -29,25 +29,8 @@ from .balls import unit_rows
 from .common import connected_components, join_sized, written
 
 THRESHOLD = 0.93
-#: Classes of a cell and of a leaf at most; trees by shuffle and in memory; spill as a share of the projections' deviation.
-CELL, LEAF, TOP_TREES, TREES, SPILL = 8192, 192, 3, 14, 0.15
-
-
-def leaves(unit: np.ndarray, index: np.ndarray, rng: np.random.Generator) -> Iterator[np.ndarray]:
-    """Leaves of one tree over the rows of index."""
-    todo = [index]
-    while todo:
-        rows = todo.pop()
-        if len(rows) <= LEAF:
-            yield rows
-            continue
-        along = unit[rows] @ rng.standard_normal(unit.shape[1])
-        cut, margin = np.median(along), SPILL * along.std()
-        left, right = rows[along <= cut + margin], rows[along > cut - margin]
-        if len(left) >= 0.9 * len(rows) or len(right) >= 0.9 * len(rows):  # spill would not end
-            order = np.argsort(along, kind="stable")
-            left, right = rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]
-        todo += [left, right]
+#: Classes of a cell at most; rows of a cell compared at once; trees; spill as a share of the projections' deviation.
+CELL, LEAF, TOP_TREES, SPILL = 8192, 1024, 3, 0.15
 
 
 def components(linked: np.ndarray) -> np.ndarray:
@@ -65,13 +48,15 @@ def components(linked: np.ndarray) -> np.ndarray:
     return root
 
 
-def compare_cell(unit: np.ndarray, threshold: float = THRESHOLD, seed: int = 0) -> np.ndarray:
-    """The link table of a cell's rows (no row links itself)."""
+def compare_cell(unit: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """The link table of a cell's rows, every pair compared (no row links itself)."""
     n = len(unit)
     linked = np.zeros((n, n), dtype=bool)
-    for tree in range(TREES if n > LEAF else 1):
-        for rows in leaves(unit, np.arange(n), np.random.default_rng([seed, tree])):
-            linked[np.ix_(rows, rows)] |= unit[rows] @ unit[rows].T >= threshold
+    for i in range(0, n, LEAF):
+        for j in range(i, n, LEAF):
+            hit = unit[i : i + LEAF] @ unit[j : j + LEAF].T >= threshold
+            linked[i : i + LEAF, j : j + LEAF] = hit
+            linked[j : j + LEAF, i : i + LEAF] = hit.T
     np.fill_diagonal(linked, False)
     return linked
 
@@ -183,7 +168,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         if len(frame) > 2 * CELL:
             links, roots = compare_blocks(unit, copies, threshold, held)
         else:
-            linked = compare_cell(unit, threshold, cell & 0x7FFFFFFF)
+            linked = compare_cell(unit, threshold)
             roots = components(linked)
             for inside in held:  # pairs that an earlier cell holds count there
                 linked[np.ix_(inside, inside)] = False
