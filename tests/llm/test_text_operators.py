@@ -57,6 +57,20 @@ def test_pii_base_spans_stay():
     assert pii.redacted(text, spans) == "[EMAIL] and [EMAIL], [IP]"
 
 
+@pytest.mark.parametrize(
+    ("text", "wide"),
+    [
+        ("vіktor@example.com x", "email:vіktor@example.com"), ("x alice@mail.exаmple.com", "email:alice@mail.exаmple.com"), ("call +1 555 123 45６7.", "phone:+1 555 123 45６7"),
+        ("(jane dot doe@example.com)", "email:jane dot doe@example.com"), ("jane [dot] doe@example.com", "email:jane [dot] doe@example.com"), ("jane dot doe@example dot com", "email:jane dot doe@example dot com"),
+    ],
+)
+def test_pii_partly_disguised(text, wide):
+    """The whole identifier stands beside the base span that it overlaps, and nothing of it is left."""
+    base, spans = pii.spans_of(text)
+    assert set(base) <= set(spans) and ",".join(f"{k}:{text[s:e]}" for k, s, e in spans if (k, s, e) not in base) == wide
+    assert pii.redacted(text, spans) == text.replace(wide.split(":")[1], f"[{wide.split(':')[0].upper()}]")
+
+
 def test_pii_long_texts_are_linear():
     for text in ("a" * 400_000, "1" * 400_000, "a@" * 200_000, "1." * 200_000, "+1" + " " * 400_000, "one " * 100_000, " at " * 100_000):
         pii.spans_of(text)

@@ -193,7 +193,7 @@ def plain_signs(text: str) -> Rewrite:
             continue
         dots = [(m.start(), m.end(), ".") for m in DOT.finditer(text, after.start(), after.end())]
         sure = at[0] == "@" or not at[0].isspace() and any(c in at[0] for c in "[({<")
-        if not dots and (not sure or at[0] == "@"):
+        if not dots and not sure:
             continue
         low = max(0, at.start() - 256)
         before = BEFORE_AT.search(text, low, at.start())
@@ -210,7 +210,7 @@ def plain_signs(text: str) -> Rewrite:
 
 
 def disguised(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans that only the rewritten text shows and that overlap no base span of their kind."""
+    """Spans that only the rewritten text shows and that no base span of their kind covers; wider ones stand beside it."""
     stages, now = [], text
     for step in (plain_characters, plain_digits, plain_signs):
         stage = step(now)
@@ -226,7 +226,7 @@ def disguised(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, in
         for stage in reversed(stages):
             touched |= stage.touches(start, end)
             start, end = stage.back(start, False)[0], stage.back(end - 1, True)[0]
-        if touched and all(end <= s or start >= e for s, e in taken[kind]):
+        if touched and not any(s <= start and end <= e for s, e in taken[kind]):
             added.append((kind, start, end))
     return added
 
