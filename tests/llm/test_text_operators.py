@@ -113,6 +113,21 @@ def test_html_hosts_vote(spark):
     assert html.extract_main_text(df).where("page_id = 9").first().text == "tiny"
 
 
+def test_html_hosts_of_nested_parts(spark):
+    """Hosts without article whose text is mostly in parts of the container: its headings and introduction stay."""
+    long = "words of the text " * 50
+    page = "<body><p>Same line on all pages</p><div class=content><h1>Title {k}</h1><p>Intro {k}</p><div class=part>{k} {long}</div><div class=part>{long}</div></div><div class=links>Link</div></body>"
+    inner = "<body><div class=post><h2>Head {k}</h2><div class=wrap><div class=body><p>{k} {long}</p></div></div></div><div class=links>Link</div></body>"
+    rows = [(k, "https://parts.example/", page.format(k=k, long=long)) for k in range(4)] + [(10 + k, "https://inner.example/", inner.format(k=k, long=long)) for k in range(4)]
+    got = {r.page_id: r.text for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(4):
+        assert got[k] == f"Title {k} Intro {k} {k} {long}{long}".strip()
+        assert got[10 + k] == f"Head {k} {k} {long}".strip()
+    assert html.extract(page.format(k=1, long=long), None).startswith("Same line on all pages Title 1 Intro 1 1 words")  # a single page has no others to compare
+    main = "<body><p>Teaser</p><main><h1>Title</h1><article><p>" + long + "</p></article></main></body>"
+    assert html.extract(main, None) == "Title " + long.strip()
+
+
 def verdict(host, path, rules):
     fits = [r for r in rules if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
     best = max(fits, key=lambda r: len(r[0] + r[1]), default=None)

@@ -6,6 +6,10 @@ classes is a candidate.  Scores are summed by host and path (map-side combined,
 so a hot host costs little), and each host's best path wins.  Second pass: the
 pages are parsed again and their text is taken from the nodes on the winning
 path, or from the page's own best container where the page lacks that path.
+
+A container whose text is mostly in parts of it can lose to those parts, so the
+winner is lifted to the outermost container above it that holds headings or
+paragraphs of its own, unless these are the same on all pages of the host.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,6 +33,8 @@ BLOCKS = frozenset("address article aside blockquote body br button caption cent
 CONTAINERS = frozenset("html body main article section div td blockquote center".split())
 DROPPED = frozenset("nav footer aside form head menu button select dialog".split())
 BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies notice notices consent gdpr popup modal overlay alert sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments commentlist disqus respond replies reply share sharing social related recommended newsletter subscribe signup footer masthead pagination pager toolbar widget hidden".split())
+#: Blocks of article text.
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote figcaption".split())
 #: Start tags that close an open element of the same group.
 CLOSES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
@@ -61,12 +68,13 @@ def is_boilerplate(tag: str, attrs: dict[str, str]) -> bool:
 class Node:
     """An element: its path, its blocks and children in page order."""
 
-    __slots__ = ("tag", "path", "items", "parent", "kept", "direct")
+    __slots__ = ("tag", "path", "items", "parent", "kept", "direct", "prose")
 
     def __init__(self, tag: str, path: str, parent: Node | None, kept: bool):
         self.tag, self.path, self.parent, self.kept = tag, path, parent, kept
         self.items: list[str | Node] = []
         self.direct = 0
+        self.prose: list[str] = []
 
 
 def parse(html: str) -> Node:
@@ -85,6 +93,8 @@ def parse(html: str) -> Node:
             if text and kept:
                 node.items.append(text)
                 node.direct += len(text)
+                if stack[-1][0] in PROSE:
+                    node.prose.append(text)
             piece.clear()
 
     def pop_to(depth: int) -> None:
@@ -137,7 +147,7 @@ def parse(html: str) -> Node:
         if tag == "header" and not any(s[0] in ("article", "main") for s in stack):
             inside = False
         if tag in CONTAINERS:
-            classes = ".".join(sorted(NUMBERS.sub("N", c) for c in attrs.get("class", "").split()))
+            classes = ".".join(sorted(NUMBERS.sub("N", c).replace("/", ":") for c in attrs.get("class", "").split()))
             child = Node(tag, f"{node.path}/{tag}" + ("." + classes if classes else ""), node, inside)
             node.items.append(child)
             node = child
@@ -146,11 +156,17 @@ def parse(html: str) -> Node:
     return root
 
 
-def scored(root: Node) -> dict[str, float]:
-    """Score by path: a container's own blocks, and four fifths of its children's; articles count half more."""
+def in_order(root: Node) -> list[Node]:
+    """All containers, parents first."""
     order = [root]
     for node in order:
         order += [x for x in node.items if isinstance(x, Node)]
+    return order
+
+
+def scored(root: Node) -> dict[str, float]:
+    """Score by path: a container's own blocks, and four fifths of its children's; articles count half more."""
+    order = in_order(root)
     worth: dict[int, float] = {}
     scores: dict[str, float] = {}
     for node in reversed(order):
@@ -191,13 +207,35 @@ def best(scores: dict[str, float]) -> str | None:
     return min(scores, key=lambda p: (-scores[p], len(p), p)) if scores else None
 
 
+def own_prose(root: Node) -> dict[str, int]:
+    """Hash of the headings and paragraphs that stand directly in a path's containers, for paths that have some."""
+    texts: dict[str, list[str]] = {}
+    for node in in_order(root):
+        if node.prose and node.kept:
+            texts.setdefault(node.path, []).extend(node.prose)
+    return {path: crc32("\n".join(t).encode("utf-8", "surrogatepass")) for path, t in texts.items()}
+
+
+def ceiling(path: str) -> str:
+    """The outermost article or main of a path, above which it is not lifted; empty if it has none."""
+    parts = path.split("/")
+    at = next((k for k, p in enumerate(parts) if p.partition(".")[0] in ("article", "main")), None)
+    return "" if at is None else "/".join(parts[: at + 1])
+
+
+def lifted(path: str | None, prose: set[str]) -> str | None:
+    """The outermost path of prose above the path and below its ceiling, or the path."""
+    above = [p for p in prose if path is not None and path.startswith(p + "/") and (p + "/").startswith(ceiling(path) + "/")]
+    return min(above, key=len) if above else path
+
+
 def extract(html: str, path: str | None) -> str:
     """The main text by the host's path, or by the page's own best container."""
     if not html:
         return ""
     root = parse(html)
     text = text_on(root, path) if path is not None else None
-    return text if text else text_on(root, best(scored(root))) or ""
+    return text if text else text_on(root, lifted(best(scored(root)), set(own_prose(root)))) or ""
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
@@ -205,19 +243,30 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sums: dict[tuple[str, str], float] = {}
+            sums: dict[tuple[str, str], list] = {}
             for host, html in zip(batch["host"], batch["html"], strict=True):
-                found = scored(parse(html)) if html else {}
+                root = parse(html) if html else None
+                found = scored(root) if root else {}
+                prose = own_prose(root) if root else {}
                 total = sum(found.values())
                 for path, value in found.items():  # a page's votes add up to one
-                    sums[host, path] = sums.get((host, path), 0.0) + value / total
-            yield pd.DataFrame([(h, p, v) for (h, p), v in sums.items()], columns=["host", "path", "votes"])
-
-    votes = pages.select("host", "html").mapInPandas(rows, "host string, path string, votes double")
-    sums = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+                    row = sums.setdefault((host, path), [0.0, 0, 0, 1 << 32, -1])
+                    row[0] += value / total
+                    row[1] += 1
+                    if path in prose:
+                        row[2:] = row[2] + 1, min(row[3], prose[path]), max(row[4], prose[path])
+            yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["host", "path", "votes", "pages", "prose", "low", "high"])
+
+    votes = pages.select("host", "html").mapInPandas(rows, "host string, path string, votes double, pages long, prose long, low long, high long")
+    sums, _ = written(votes.groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("votes", "pages", "prose")], F.min("low").alias("low"), F.max("high").alias("high")), "path-votes")
     # rounding makes the winner independent of the order in which votes are added
-    key = F.struct(F.round("votes", 6).alias("v"), (-F.length("path")).alias("n"), F.col("path"))
-    return sums.groupBy("host").agg(F.max(key)["path"].alias("path"))
+    key = F.struct(F.round("votes", 6).alias("v"), (-F.length("path")).alias("n"), F.col("path"), F.col("pages"))
+    winners = sums.groupBy("host").agg(F.max(key).alias("best")).select("host", F.col("best.path").alias("won"), F.col("best.pages").alias("of"))
+    # containers with prose of their own on half of the winner's pages, and not always the same
+    prose = (2 * F.col("prose") >= F.col("of")) & ((F.col("prose") == 1) | (F.col("low") < F.col("high")))
+    above = winners.join(sums, "host").where(prose & F.expr("startswith(won, path || '/')")).groupBy("host").agg(F.collect_set("path").alias("above"))
+    lift = F.udf(lambda won, above: lifted(won, set(above or ())), "string")
+    return winners.join(above, "host", "left").select("host", lift("won", "above").alias("path"))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
