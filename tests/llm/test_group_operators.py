@@ -1,6 +1,8 @@
 """SimHash, decontamination, embeddings, WARC, components and the pipeline: cases and brute force."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 
@@ -147,6 +149,29 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_seeds_hit_every_admitted_overlap():
+    """For each length, every choice of as many replaced tokens as the share admits leaves a seed untouched."""
+    for n in range(decontaminate.LEAST_TOKENS, decontaminate.STRETCH + 1):
+        replaced = n - math.ceil(n * decontaminate.SHARE)
+        places = [sum(1 << k for k, c in enumerate(seed) if c == "1") << at for seed in decontaminate.seeds_for(n) for at in range(n - len(seed) + 1)]
+        for gone in itertools.combinations(range(n), replaced):
+            bits = sum(1 << k for k in gone)
+            assert any(not bits & p for p in places), (n, gone)
+
+
+def test_decontamination_of_short_items(spark):
+    words = [f"u{k}" for k in range(60)]
+    items = [(1, words[:7], (3,)), (2, words[10:20], (4, 5)), (3, words[20:35], (4, 7, 10)), (4, words[40:52], (2, 6))]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w, _ in items], "item_id long, text string")
+    docs = []
+    for k, w, gone in items:
+        near = ["new" if j in gone else x for j, x in enumerate(w)]
+        far = ["new" if j in (*gone, len(w) - 1) else x for j, x in enumerate(w)]
+        docs += [(k, "before it " + " ".join(near) + " and after"), (100 + k, "before it " + " ".join(far) + " and after")]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.matched, r.stretch, r.position) for r in got) == [(k, k, len(w) - len(g), len(w), 2) for k, w, g in items]
+
+
 def test_decontamination_is_native(spark):
     df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     plan = decontaminate.contaminated(df, df.withColumnRenamed("doc_id", "item_id"))._jdf.queryExecution().executedPlan().toString()

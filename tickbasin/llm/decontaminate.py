@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from .common import join_sized, written
 
-# The seeds; 1 compares a token, 0 ignores it.  Of stretches with four of 20 tokens replaced they hit 98 %.
-SEEDS = ("1101100101", "1011000111")
+# The seeds; 1 compares a token, 0 ignores it.  Together they hit every stretch of 15 to 20 tokens that SHARE
+# admits, whichever tokens are replaced; shorter items need more seeds, by their least length (tests try all choices).
+SEEDS = ("1101100101", "1011000111", "100001001101")
+SHORT_SEEDS = {10: ("111011", "110001011"), 5: ("1111", "11101", "11011", "10111")}
 #: Shortest item that is looked for, the stretch that is verified, and the share of its tokens that must agree.
 LEAST_TOKENS, STRETCH, SHARE = 5, 20, 0.8
 
@@ -35,6 +37,11 @@ def window_hashes(tokens: Column, seed: str) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.lit(seed), *[F.get(tokens, i + k) for k in places]))
 
 
+def seeds_for(n: int) -> tuple[str, ...]:
+    """The seeds by which items of n tokens are looked for."""
+    return SEEDS if n >= 15 else SEEDS + SHORT_SEEDS[10] if n >= 10 else SHORT_SEEDS[5]
+
+
 def windows(rows: DataFrame, seeds: list[str], keep: list[str]) -> DataFrame:
     """(keep..., place, hash): the windows of every row's column tokens."""
     parts = [F.transform(window_hashes(F.col("tokens"), s), lambda h, i: F.struct(i.alias("place"), h.alias("hash"))) for s in seeds]
@@ -61,9 +68,8 @@ def contaminated_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
     An item is held if, at some shift, at least SHARE of the tokens of some
     stretch of STRETCH of its tokens (of the whole item, if it is shorter)
-    equal the document's, and a seed hits there.  Items shorter than a seed
-    must occur whole; items of fewer than LEAST_TOKENS tokens, null and empty
-    ones are not looked for.  Items of equal tokens count as one, named by the
+    equal the document's; the seeds miss none of these.  Items of fewer than
+    LEAST_TOKENS tokens, null and empty ones are not looked for.  Items of equal tokens count as one, named by the
     smallest item_id.
 
     Returns one row per id, text and item: id, text_hash, item_id, matched,
@@ -74,17 +80,22 @@ def contaminated_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     tokens = benchmark.select("item_id", token_hashes(F.col("text")).alias("tokens"))
     items = tokens.where(F.size("tokens") >= LEAST_TOKENS).groupBy("tokens").agg(F.min("item_id").alias("item_id"))
     items, _ = written(items.select("item_id", "tokens", F.size("tokens").alias("n")), "items")
-    span = max(map(len, SEEDS))
-    # lengths below a seed's, at most span of them
-    short = sorted(r[0] for r in items.where(F.col("n") < span).select("n").distinct().collect())
-    wanted = windows(items, list(SEEDS), ["item_id", "n"])
-    for length in short:
-        wanted = wanted.unionByName(windows(items.where(F.col("n") == length), ["1" * length], ["item_id", "n"]))
+    sets = [(15, None), (10, 15), (LEAST_TOKENS, 10)]
+    lengths = [r[0] for r in items.groupBy(F.when(F.col("n") >= 15, 15).when(F.col("n") >= 10, 10).otherwise(LEAST_TOKENS)).count().collect()]
+    seeds, wanted = [], None
+    for least, under in sets:
+        if least in lengths:
+            some = items.where((F.col("n") >= least) & (F.col("n") < under if under else F.lit(True)))
+            found_by = windows(some, list(seeds_for(least)), ["item_id", "n"])
+            wanted = found_by if wanted is None else wanted.unionByName(found_by)
+            seeds += [s for s in seeds_for(least) if s not in seeds]
+    if wanted is None:  # no items
+        seeds, wanted = list(SEEDS), windows(items, list(SEEDS), ["item_id", "n"])
     wanted, _ = written(wanted.select("item_id", "n", F.col("place").alias("item_place"), "hash"), "item-windows")
 
     text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash")
     read = docs.select(F.col(id_col).alias("id"), text_hash, token_hashes(F.col(text_col)).alias("tokens"))
-    found = join_sized(windows(read, [*SEEDS, *("1" * n for n in short)], ["id", "text_hash"]), wanted, "hash", "inner")
+    found = join_sized(windows(read, seeds, ["id", "text_hash"]), wanted, "hash", "inner")
     shifts = found.select("id", "text_hash", "item_id", "n", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
     hits, _ = written(shifts.groupBy("id", "text_hash").agg(F.collect_list(F.struct("item_id", "n", "shift")).alias("hits")), "seed-hits")
 
@@ -107,8 +118,7 @@ def contaminated_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
         lambda i: F.struct(F.aggregate(F.slice("same", i + 1, F.col("stretch")), F.lit(0), lambda a, x: a + x).alias("matched"), (-(F.col("shift") + i)).alias("back")),
     )
     best = aligned.select("id", "text_hash", "item_id", "stretch", F.array_max(sums).alias("best"))
-    need = F.when(F.col("stretch") < span, F.col("stretch")).otherwise(F.ceil(F.col("stretch") * SHARE))
-    good = best.where(F.col("best.matched") >= need)
+    good = best.where(F.col("best.matched") >= F.ceil(F.col("stretch") * SHARE))
     top = good.groupBy("id", "text_hash", "item_id", "stretch").agg(F.max("best").alias("best"))
     return top.select("id", "text_hash", "item_id", F.col("best.matched").cast("long").alias("matched"), F.col("stretch").cast("long").alias("stretch"), (-F.col("best.back")).cast("long").alias("position"))
 
