@@ -276,6 +276,20 @@ def test_cells_of_one_group_are_whole(size, noise, others):
     assert want > size * size / 2 and abs(int(embeddings.compare_cell(unit).sum()) - want) <= 4  # a pair may lie on the threshold to the last bit
 
 
+def test_first_shared_cell_counts_every_pair():
+    """Of two overlapping cells of one dense group the first counts the shared pairs, so no linked row is left without links."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal(64) / 8 + 0.055 * rng.standard_normal((3000, 64)) / 8
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = np.zeros(3000, dtype=np.int64)
+    first, second = np.arange(2400), np.arange(600, 3000)
+    links[first] += embeddings.compare_cell(unit[first]).sum(axis=1)
+    later = embeddings.compare_cell(unit[second])
+    later[np.ix_(second < 2400, second < 2400)] = False
+    links[second] += later.sum(axis=1)
+    assert set(links[:600]) == set(links[2400:]) == {2399} and set(links[600:2400]) == {2999}
+
+
 def test_blocks_leave_pairs_of_earlier_cells_out():
     rng = np.random.default_rng(5)
     x = rng.standard_normal((30, 8)).repeat(100, axis=0) + 0.05 * rng.standard_normal((3000, 8))
