@@ -72,12 +72,19 @@ def test_pii_partly_disguised(text, wide):
 
 
 def test_pii_long_texts_are_linear():
-    for text in ("a" * 400_000, "1" * 400_000, "a@" * 200_000, "1." * 200_000, "+1" + " " * 400_000, "one " * 100_000, " at " * 100_000):
+    for text in ("a" * 400_000, "1" * 400_000, "a@" * 200_000, "1." * 200_000, "+1" + " " * 400_000, "one " * 100_000, " at " * 100_000, "one two" + " " * 200_000, "ab dot " * 60_000 + "c at example dot com", "a dot b at " * 40_000, "(dot) " * 80_000, "plus " + " " * 200_000 + "one two"):
         pii.spans_of(text)
     long = "x " * 500_000 + "a@b.co"
     assert pii.spans_of(long)[0] == [("email", 1_000_000, 1_000_006)]
 
 
+@pytest.mark.parametrize("repeats", [0, 20, 60, 5000])
+def test_pii_disguised_address_of_any_length(repeats):
+    text = "mail " + "ab dot " * repeats + "c at example dot com or call"
+    base, spans = pii.spans_of(text)
+    assert not base and spans == [("email", 5, len(text) - len(" or call"))]
+
+
 def test_pii_table(spark):
     df = spark.createDataFrame([(1, "a@b.co", "q", 1), (2, None, None, None), (None, "", "q", 2), (1, "a@b.co", "q", 1)], "doc_id long, text string, spans string, id int")
     rows = sorted(pii.find_pii(df).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))

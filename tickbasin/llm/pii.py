@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+WORDLIKE = LOCAL - {"."}
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
@@ -61,13 +62,12 @@ ODD = re.compile("[" + "".join(map(re.escape, map(chr, sorted(TABLE)))) + "]")
 DIGIT_OF = {word: digit for digit, words in SPELLED.items() for word in words.split()}
 WORD = "(?:" + "|".join(sorted(DIGIT_OF, key=len, reverse=True)) + ")"
 #: Four or more spelled digits in a row, or spelled digits around a spelled dot.
-DIGIT_RUN = re.compile(rf"(?<!\w)(?:plus[ -]+)?{WORD}(?:(?:[ ,-]{{1,3}}|\s*[\[(]?\s*\b(?:dot|point|punkt|punto)\b\s*[\])]?\s*){WORD}){{3,}}(?!\w)", re.I)
-DIGIT_WORD = re.compile(rf"plus[ -]+|{WORD}", re.I)
+DIGIT_RUN = re.compile(rf"(?<!\w)(?:plus[ -]{{1,3}})?{WORD}(?:(?:[ ,-]{{1,3}}|\s{{0,3}}[\[(]?\s{{0,3}}\b(?:dot|point|punkt|punto)\b\s{{0,3}}[\])]?\s{{0,3}}){WORD}){{3,}}(?!\w)", re.I)
+DIGIT_WORD = re.compile(rf"plus[ -]{{1,3}}|{WORD}", re.I)
 SOME_DIGITS = re.compile(rf"(?<!\w){WORD}[ ,-]{{1,3}}{WORD}(?!\w)", re.I)
 DOT_SIGN = r"(?:\s{0,3}[\[({<]\s{0,2}(?:dot|punkt|punto|point|\.)\s{0,2}[\])}>]\s{0,3}|\s{1,3}(?:dot|punkt|punto)\s{1,3})"
 AT_SIGN = re.compile(r"\s{0,3}[\[({<]\s{0,2}(?:at|@|arroba)\s{0,2}[\])}>]\s{0,3}|\s{1,3}(?:at|arroba)\s{1,3}|@", re.I)
 AFTER_AT = re.compile(rf"[A-Za-z0-9-]+(?:(?:{DOT_SIGN}|\.)[A-Za-z0-9-]+)+", re.I)
-BEFORE_AT = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:{DOT_SIGN}|\.)[A-Za-z0-9_%+-]+)*\Z", re.I)
 DOT = re.compile(DOT_SIGN, re.I)
 BETWEEN_DIGITS = re.compile(rf"(?<=[0-9]){DOT_SIGN}(?=[0-9])", re.I)
 
@@ -184,9 +184,33 @@ def plain_digits(text: str) -> Rewrite:
     return Rewrite(text, changes)
 
 
+def local_start(text: str, at: int, dots: dict[int, int]) -> int:
+    """Where a local part that ends at `at` begins, dots plain or disguised; `at` itself if there is none.
+
+    dots: start of every disguised dot by its end.  The walk stops at the first
+    character that is neither, the previous at sign at the latest, so walks
+    from different at signs do not overlap.
+    """
+    start = at
+    while True:
+        low = start
+        while low and text[low - 1] in WORDLIKE:
+            low -= 1
+        if low == start:
+            return at if start == at else ends
+        ends = low
+        if low and text[low - 1] == ".":
+            start = low - 1
+        elif low in dots:
+            start = dots[low]
+        else:
+            return low
+
+
 def plain_signs(text: str) -> Rewrite:
     """Disguised at and dot signs to signs, only where they stand in an address."""
     changes: dict[int, tuple[int, int, str]] = {m.start(): (m.start(), m.end(), ".") for m in BETWEEN_DIGITS.finditer(text)}
+    signs = None
     for at in AT_SIGN.finditer(text):
         after = AFTER_AT.match(text, at.end())
         if not after:
@@ -195,11 +219,12 @@ def plain_signs(text: str) -> Rewrite:
         sure = at[0] == "@" or not at[0].isspace() and any(c in at[0] for c in "[({<")
         if not dots and not sure:
             continue
-        low = max(0, at.start() - 256)
-        before = BEFORE_AT.search(text, low, at.start())
-        if not before:
+        if signs is None:
+            signs = {m.end(): m.start() for m in DOT.finditer(text)}
+        start = local_start(text, at.start(), signs)
+        if start == at.start():
             continue
-        dots += [(m.start(), m.end(), ".") for m in DOT.finditer(text, before.start(), at.start())]
+        dots += [(m.start(), m.end(), ".") for m in DOT.finditer(text, start, at.start())]
         for change in [*dots, *([] if at[0] == "@" else [(at.start(), at.end(), "@")])]:
             changes.setdefault(change[0], change)
     kept: list[tuple[int, int, str]] = []
@@ -258,9 +283,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Returns one row per input row: the id, n_email, n_ip, n_card, n_phone (base
     spans), n_added (spans that only deobfuscation shows), base_sha256 and
-    spans.  Null and empty texts have no spans; repeated rows give repeated
-    rows; null ids stay null; other columns, whatever their names, are not
-    read; an empty table gives an empty table.
+    spans.  Null and empty texts have no spans; very long texts are read whole,
+    in time linear in their length; of spans that start alike the kind listed
+    first comes first; repeated rows give repeated rows; null ids stay null;
+    other columns, whatever their names, are not read; an empty table gives an
+    empty table.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -282,7 +309,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """Replaces every identifier in the text by [KIND]; other columns stay, their types too.
 
-    Null texts stay null.  length_col, if the table has it, gets the new length.
+    Null texts stay null, empty ones empty; repeated rows and null ids stay;
+    very long texts are read whole.  Overlapping spans become one, named by the
+    first, of equal starts the longest.  length_col, if the table has it, gets
+    the new length.  An empty table gives an empty table.
     """
     from pyspark.sql import types as T
 
