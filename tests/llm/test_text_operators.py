@@ -203,6 +203,69 @@ def test_quality_held_out(spark):
     assert all(np.array_equal(model[k], again[k]) for k in model)
 
 
+def two_views(n, labelled):
+    """Documents whose text and whose source both tell their quality, each wrong on some, and labels of a few."""
+    rng = random.Random(11)
+    made = ["".join(rng.choices("abcdefghijklmnoprstuvwxyz", k=rng.randint(4, 8))) for _ in range(900)]
+    rows = []
+    for k in range(n):
+        good = rng.random() < 0.5
+        seen, shown = (good if rng.random() < 0.97 else not good for _ in range(2))
+        words = rng.choices(made[:150] if seen else made[150:300], k=7) + rng.choices(made[300:], k=40)
+        rng.shuffle(words)
+        rows.append((k, " ".join(words), "en", f"{'press' if shown else 'dump'}{rng.randrange(3)}", 1000, int(good)))
+    return rows, [(k, r[5]) for k, r in enumerate(rows[:labelled])]
+
+
+def test_quality_views_teach_each_other(spark):
+    """Labels pass both ways, change both views, and do not worsen them on documents that nobody labelled."""
+    rows, labels = two_views(4000, 400)
+    docs = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int")
+    alone = quality.CoTraining.__init__
+    states = []
+
+    def watched(self, views, y):
+        alone(self, views, y)
+        states.append(list(self.weights))
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(quality.CoTraining, "__init__", watched)
+        state = quality.co_train(docs, labels)
+    taken = {view for _, view, n, took in state.history if n and took}
+    assert taken == {"text", "meta"}
+    assert all(not np.array_equal(a, b) for a, b in zip(states[0], state.weights, strict=True))
+    truth = {r[0]: r[5] for r in rows[400:]}
+    got = {r.doc_id: r for r in quality.score(docs, state.model()).collect() if r.doc_id in truth}
+    right = {c: np.mean([(got[k][c] >= 0.5) == (y == 1) for k, y in truth.items()]) for c in ("p_text", "p_meta", "p_good")}
+    features = np.stack([quality.text_features(r[1]) for r in rows[400:]])
+    before = np.mean([(z >= 0) == (r[5] == 1) for z, r in zip(quality.logit(features, states[0][0]), rows[400:], strict=True)])
+    assert right["p_text"] > before + 0.01 and right["p_meta"] > 0.95 and right["p_good"] > 0.95, (before, right)
+
+
+def test_quality_offers_cover_all_documents(spark):
+    """The summed gradients equal those of a plain loop over every document."""
+    rows, labels = two_views(600, 300)
+    docs = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    model = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    got = quality.offers(quality._read(docs, "doc_id").repartition(7), model)
+    views = [np.stack([quality.text_features(r[1]) for r in rows]), np.stack([quality.meta_features(*r[2:5]) for r in rows])]
+    p = [quality.sigmoid(quality.calibrated(quality.logit(x, model[v]), model[f"{v}_ab"])) for x, v in zip(views, quality.VIEWS, strict=True)]
+    for v in range(2):
+        for label, sure in ((1.0, p[1 - v] >= quality.SURE), (0.0, p[1 - v] <= 1 - quality.SURE)):
+            x = quality.with_bias(views[v][sure].astype(float))
+            want = x.T @ (quality.sigmoid(x @ model[quality.VIEWS[v]]) - label)
+            n, g = got[v].get(label, (0, np.zeros_like(want)))
+            assert n == sure.sum() and np.allclose(g, want, atol=1e-3)
+    assert sum(n for view in got for n, _ in view.values()) > 50
+
+
+def test_quality_reads_one_row_of_a_hot_id(spark):
+    docs = spark.range(3000).selectExpr("id % 3 * 7 as doc_id", "concat('text ', id) as text", "'en' as lang", "'s' as source", "id as n_chars", "1 as id", "2 as y", "3 as t")
+    model = quality.train(docs, spark.createDataFrame([(0, 1), (7, 0), (14, 1)], "doc_id long, quality int"))
+    assert quality.score(docs, model).count() == 3000 and quality.keep_good(docs, model).columns == docs.columns
+
+
 def test_quality_cases(spark):
     docs = spark.createDataFrame([(1, "x", None, None, None, "c"), (2, None, "en", "s", 5, "c"), (None, "", "en", "s", -1, "c"), (1, "x", None, None, None, "c"), (3, "long " * 300_000, "en", "s", 0, "c")], "doc_id long, text string, lang string, source string, n_chars long, keep string")
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, None), (None, 0), (99, 0)], "doc_id long, quality int")

@@ -1,15 +1,20 @@
 """Quality classifier by co-training on two views.
 
 One view is the text's content (hashed byte trigrams), the other the page's
-metadata (language, source, length, line shape).  Each view has a logistic
-regression.  Over some rounds each classifier labels the unlabelled documents
-of which it is most sure, for the other view to learn from.  Held-out labelled
-documents calibrate both, so that sureness is a calibrated one, and turn labels
-away that worsen the learner.  A small regression combines the calibrated
-views, and every document is scored in one pass over the whole texts.
-
-Training reads a sample bounded by LABELLED and POOL, the rows of the smallest
-hashes of their ids, so its cost does not grow with the corpus.
+metadata (language, source and stated length, nothing of the text).  Each view
+has a logistic regression, fitted to a bounded sample of labelled documents.
+In each round both classifiers judge all other documents of the corpus in one
+pass: where one is sure, by calibrated probability, its label becomes a row of
+the other's training set.  Such rows enter by their summed gradient, so a task
+returns one vector for each view and class whatever it reads; the curvature of
+the step is that of the labelled rows.  Pseudo-labels weigh as much as the
+labelled rows at most, by class.  Held-out labelled documents calibrate both
+views, so that sureness is a calibrated one, and turn steps away that worsen
+the learner.  A small regression combines the calibrated views, and every
+document is scored in one pass over the whole texts.
+
+Only the labelled sample is bounded: LABELLED documents, those of the smallest
+hashes of their ids.
 """
 
 from __future__ import annotations
@@ -25,17 +30,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_sized, written
+from .common import join_sized, workspace, written
 
-#: Labelled and unlabelled documents used for training, at most.
-LABELLED, POOL = 4000, 4000
+#: Labelled documents used for training, at most.
+LABELLED = 4000
 #: Every so many labelled documents one is held out for calibration.
 HELD_OUT = 4
-TEXT_DIM, SOURCE_DIM = 512, 64
-ROUNDS, SURE, GROWTH = 4, 0.98, 0.05
+TEXT_DIM, LANG_DIM, SOURCE_DIM, STEPS = 512, 16, 64, 20
+#: Rounds of exchange, the calibrated probability of a pseudo-label, and the weight of all of them against the labelled rows.
+ROUNDS, SURE, WEIGHT = 3, 0.95, 1.0
 RIDGE = 1e-3
 #: Trigrams at which a text's features have half their weight.
 FEW = 60
+VIEWS = ("text", "meta")
 
 
 def text_features(text: str) -> np.ndarray:
@@ -58,15 +65,13 @@ def text_features(text: str) -> np.ndarray:
     return np.append(out, np.float32(8 * math.sqrt(repeats))) * np.float32(total / (total + FEW))
 
 
-def meta_features(lang: str | None, source: str | None, n_chars: float | None, text: str) -> np.ndarray:
-    """Hashed language and source, and steps of the length, the lines and their mean length."""
-    out = np.zeros(16 + SOURCE_DIM + 3 * 20, dtype=np.float32)
-    out[crc32((lang or "").encode()) % 16] = 1
-    out[16 + crc32((source or "").encode()) % SOURCE_DIM] = 1
-    n = len(text) if n_chars is None or n_chars != n_chars or n_chars < 0 else n_chars
-    lines = text.count("\n") + 1
-    for k, value in enumerate((n, lines, len(text) / lines)):
-        out[16 + SOURCE_DIM + 20 * k + min(19, int(math.log2(1 + value)))] = 1
+def meta_features(lang: str | None, source: str | None, n_chars: float | None) -> np.ndarray:
+    """Hashed language and source, and steps of the stated length; all zero for a null or negative length."""
+    out = np.zeros(LANG_DIM + SOURCE_DIM + STEPS, dtype=np.float32)
+    out[crc32((lang or "").encode()) % LANG_DIM] = 1
+    out[LANG_DIM + crc32((source or "").encode()) % SOURCE_DIM] = 1
+    if n_chars is not None and n_chars >= 0:
+        out[LANG_DIM + SOURCE_DIM + min(STEPS - 1, int(math.log2(1 + n_chars)))] = 1
     return out
 
 
@@ -104,55 +109,89 @@ def calibrated(z: np.ndarray, ab: np.ndarray) -> np.ndarray:
     return ab[0] * z + ab[1]
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray) -> dict[str, np.ndarray] | float:
-    """Trains on rows with y 0 or 1 and rows without (nan); a constant if only one class is labelled.
+class CoTraining:
+    """The two views' classifiers while they learn from each other."""
+
+    def __init__(self, views: tuple[np.ndarray, np.ndarray], y: np.ndarray):
+        """Fits both views to labelled rows, whose order is fixed so that results repeat; both classes must be there."""
+        held = np.arange(0, len(y), HELD_OUT)
+        own = np.setdiff1d(np.arange(len(y)), held)
+        if len(np.unique(y[held])) < 2 or len(np.unique(y[own])) < 2:
+            held = own = np.arange(len(y))
+        self.own, self.held = [x[own] for x in views], [x[held] for x in views]
+        self.y, self.truth = y[own], y[held]
+        good = self.truth.sum()
+        self.soft = np.where(self.truth == 1, (good + 1) / (good + 2), 1 / (len(held) - good + 2))  # keeps the odds finite
+        self.weights, self.calibration, self.loss = [None, None], [None, None], [math.inf, math.inf]
+        #: (round, learner, labels given by the other view, whether they were taken).
+        self.history: list[tuple[int, str, int, bool]] = []
+        for v in range(2):
+            self.take(v, fit(self.own[v], self.y))
 
-    Rows are in a fixed order, so results repeat.
-    """
-    known = np.flatnonzero(~np.isnan(y))
-    if len(np.unique(y[known])) < 2:
-        return float(y[known].mean()) if len(known) else 1.0
-    held = known[::HELD_OUT]
-    if len(np.unique(y[held])) < 2 or len(np.unique(np.delete(y[known], np.s_[::HELD_OUT]))) < 2:
-        held = known
-    own = np.setdiff1d(known, held) if len(held) < len(known) else known
-    given = [dict(zip(own.tolist(), y[own].tolist(), strict=True)) for _ in views]
-    soft = np.where(y[held] == 1, (y[held].sum() + 1) / (y[held].sum() + 2), 1 / ((1 - y[held]).sum() + 2))  # keeps the odds finite
-
-    def trained(v: int, labelled: dict[int, float], start: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, float]:
-        """Weights of a view, its calibration, and its loss on the held-out documents."""
-        rows = np.array(sorted(labelled))
-        w = fit(views[v][rows], np.array([labelled[r] for r in rows.tolist()]), start)
-        z = logit(views[v][held], w)
-        ab = fit(z[:, None], soft, ridge=1e-6, steps=30)
+    def take(self, v: int, w: np.ndarray) -> bool:
+        """Calibrates the weights of a view and keeps them unless they are worse on the held-out rows."""
+        z = logit(self.held[v], w)
+        ab = fit(z[:, None], self.soft, ridge=1e-6, steps=30)
         p = np.clip(sigmoid(calibrated(z, ab)), 1e-9, 1 - 1e-9)
-        return w, ab, float(-np.mean(y[held] * np.log(p) + (1 - y[held]) * np.log(1 - p)))
-
-    state = [trained(v, given[v], None) for v in range(2)]
-    for _ in range(ROUNDS):
-        offered = []
-        for v in range(2):  # what v is sure of, the other view may learn
-            pool = np.array([r for r in np.flatnonzero(np.isnan(y)).tolist() if r not in given[1 - v]])
-            labels: dict[int, float] = {}
-            if len(pool):
-                p = sigmoid(calibrated(logit(views[v][pool], state[v][0]), state[v][1]))
-                for label, sure in ((1.0, p), (0.0, 1 - p)):
-                    share = max(1, int(GROWTH * len(pool) * (y[own] == label).mean()))
-                    labels |= {int(pool[k]): label for k in np.argsort(-sure, kind="stable")[:share] if sure[k] >= SURE}
-            offered.append(labels)
-        for v in range(2):
-            if offered[1 - v]:
-                more = given[v] | offered[1 - v]
-                new = trained(v, more, state[v][0])
-                if new[2] <= state[v][2]:  # labels that mislead the view are turned away
-                    given[v], state[v] = more, new
-    weights = [s[0] for s in state]
-    model = {"text": weights[0], "meta": weights[1]}
-    model |= {"text_ab": state[0][1], "meta_ab": state[1][1]}
-    z = [logit(x[held], w) for x, w in zip(views, weights, strict=True)]
-    both = np.stack([calibrated(own_z, model[name]) for name, own_z in zip(("text_ab", "meta_ab"), z, strict=True)], axis=1)
-    model["both"] = fit(both, soft, ridge=1e-4, steps=30)
-    return model
+        loss = float(-np.mean(self.truth * np.log(p) + (1 - self.truth) * np.log(1 - p)))
+        if loss > self.loss[v]:
+            return False
+        self.weights[v], self.calibration[v], self.loss[v] = w, ab, loss
+        return True
+
+    def model(self) -> dict[str, np.ndarray]:
+        """Weights and calibrations by name, and the weights that combine the views."""
+        out = dict(zip(VIEWS, self.weights, strict=True)) | {f"{name}_ab": ab for name, ab in zip(VIEWS, self.calibration, strict=True)}
+        both = np.stack([calibrated(logit(x, w), ab) for x, w, ab in zip(self.held, self.weights, self.calibration, strict=True)], axis=1)
+        return out | {"both": fit(both, self.soft, ridge=1e-4, steps=30)}
+
+    def learn(self, v: int, gradients: dict[float, tuple[int, np.ndarray]], turn: int) -> None:
+        """A step of a view towards the other's pseudo-labels: class -> (rows, gradient summed over them)."""
+        pull, mass = np.zeros_like(self.weights[v]), 0.0
+        for label, (n, gradient) in gradients.items():
+            share = min(float(n), WEIGHT * len(self.y) * float((self.y == label).mean()))
+            pull, mass = pull + gradient * (share / n), mass + share
+        w, x = self.weights[v], with_bias(self.own[v].astype(np.float64))
+        p = sigmoid(x @ w)
+        penalty = np.append(np.full(len(w) - 1, RIDGE * (len(x) + mass)), 1e-9)
+        curvature = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x * (1 + mass / len(x)) + np.diag(penalty)
+        step = np.linalg.solve(curvature, x.T @ (p - self.y) + penalty * w + pull)
+        taken = mass > 0 and any(self.take(v, w - step * part) for part in (1.0, 0.5, 0.25))
+        self.history.append((turn, VIEWS[v], int(sum(n for n, _ in gradients.values())), taken))
+
+
+def offers(docs: DataFrame, model: dict[str, np.ndarray]) -> list[dict[float, tuple[int, np.ndarray]]]:
+    """For each view, by class: the rows that the other view is sure of, and the view's gradient summed over them.
+
+    One pass over the documents; a task returns a vector for each view and
+    class.  Sums are of decimals, so they do not depend on the tasks' order.
+    """
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple[int, float], list] = {}
+        for batch in batches:
+            if not len(batch):
+                continue
+            views = _features(batch)
+            p = [sigmoid(calibrated(logit(x, model[name]), model[f"{name}_ab"])) for x, name in zip(views, VIEWS, strict=True)]
+            for v in range(2):
+                for label, sure in ((1.0, p[1 - v] >= SURE), (0.0, p[1 - v] <= 1 - SURE)):
+                    if sure.any():
+                        x = views[v][sure]
+                        error = sigmoid(logit(x, model[VIEWS[v]])) - label
+                        row = sums.setdefault((v, label), [0, 0.0])
+                        row[0] += len(x)
+                        row[1] = row[1] + np.append(error @ x, error.sum())
+        if sums:
+            yield pd.DataFrame([(v, label, n, g.tolist()) for (v, label), (n, g) in sums.items()], columns=["view", "label", "n", "g"])
+
+    parts = docs.mapInPandas(rows, "view int, label double, n long, g array<double>").select("view", "label", "n", F.posexplode("g").alias("k", "g"))
+    total = F.sum((F.col("g") * 1e6).cast("decimal(27,0)")).cast("double")
+    out: list[dict[float, tuple[int, np.ndarray]]] = [{}, {}]
+    for r in parts.groupBy("view", "label", "k").agg(F.sum("n").alias("n"), (total / 1e6).alias("g")).collect():
+        of = len(model[VIEWS[r.view]])
+        out[r.view].setdefault(r.label, (r.n, np.zeros(of)))[1][r.k] = r.g
+    return out
 
 
 def probabilities(model: dict[str, np.ndarray] | float, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,46 +213,64 @@ def _read(docs: DataFrame, id_col: str) -> DataFrame:
 
 def _features(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     text = np.stack([text_features(t) for t in batch["text"]])
-    meta = np.stack([meta_features(*row) for row in zip(batch["lang"], batch["source"], batch["n_chars"], batch["text"], strict=True)])
+    meta = np.stack([meta_features(*row) for row in zip(batch["lang"], batch["source"], batch["n_chars"], strict=True)])
     return text, meta
 
 
+def co_train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> CoTraining | float:
+    """Trains both views; a constant if the labels name one class at most. See train()."""
+    with workspace(docs.sparkSession):
+        judged = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) > 0.5).cast("double").alias("y"))
+        ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"))
+        chosen, _ = written(judged.join(ids, "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(LABELLED), "quality-sample")
+        everything = _read(docs, id_col)
+
+        def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    text, meta = _features(batch)
+                    yield pd.DataFrame({"id": batch["id"], "y": batch["y"], "t": [x.tobytes() for x in text], "m": [x.tobytes() for x in meta]})
+
+        kind = docs.schema[id_col].dataType.simpleString()
+        featured = join_sized(everything, chosen, "id", "inner").mapInPandas(rows, f"id {kind}, y double, t binary, m binary")
+        # one row of each id, so a hot id does not reach the driver whole
+        got = featured.groupBy("id").agg(F.first("y").alias("y"), F.min(F.struct("t", "m")).alias("x")).select("id", "y", "x.t", "x.m").toPandas().sort_values("id")
+        y = got["y"].to_numpy(dtype=float)
+        if len(np.unique(y)) < 2:
+            return float(y.mean()) if len(y) else 1.0
+        state = CoTraining(tuple(np.stack([np.frombuffer(x, dtype=np.float32) for x in got[c]]) for c in ("t", "m")), y)
+        rest = join_sized(everything, chosen.select("id"), "id", "left_anti")
+        for turn in range(ROUNDS):
+            given = offers(rest, state.model())
+            before = list(state.weights)
+            for v in range(2):
+                state.learn(v, given[v], turn)
+            if all(a is b for a, b in zip(before, state.weights, strict=True)):
+                break  # neither view takes the other's labels, so a further round would offer the same
+        return state
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> dict[str, np.ndarray] | float:
-    """Trains on at most LABELLED labelled and POOL unlabelled documents.
+    """Trains on at most LABELLED labelled documents and on all others without their labels.
 
     A document with several labels counts as good if their mean is above one
     half; null labels and null ids are left out, labels of absent documents
-    have no effect.
+    have no effect, and of several rows of one labelled id that of the smallest
+    features counts.  Labels of one class give a constant; no labels or no
+    documents give one that keeps everything.  Texts are read whole.
     """
-    judged = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) > 0.5).cast("double").alias("y"))
-    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"))
-    order = F.xxhash64("id")
-    some = judged.join(ids, "id", "left_semi").orderBy(order, "id").limit(LABELLED)
-    pool = ids.orderBy(order, "id").limit(LABELLED + POOL).distinct().join(judged, "id", "left_anti").select("id", F.lit(None).cast("double").alias("y")).limit(POOL)
-    chosen, _ = written(some.unionByName(pool), "quality-sample")
-    read = join_sized(_read(docs, id_col), chosen, "id", "inner")
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                text, meta = _features(batch)
-                yield pd.DataFrame({"id": batch["id"], "y": batch["y"], "t": [x.tobytes() for x in text], "m": [x.tobytes() for x in meta]})
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    got = read.mapInPandas(rows, f"id {kind}, y double, t binary, m binary").toPandas()
-    if not len(got):
-        return 1.0
-    got = got.sort_values(["id", "t"]).drop_duplicates("id").reset_index(drop=True)
-    views = tuple(np.stack([np.frombuffer(x, dtype=np.float32) for x in got[c]]) for c in ("t", "m"))
-    return co_train(views, got["y"].to_numpy(dtype=float))
+    state = co_train(docs, labels, id_col, label_col)
+    return state if isinstance(state, float) else state.model()
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray] | float, id_col: str = "doc_id", least: float = 0.5) -> DataFrame:
     """Scores every document by its whole text and metadata.
 
-    Returns id, p_text, p_meta, p_good and keep (p_good at least `least`).
-    Null texts count as empty, null metadata as a value of its own; repeated
-    rows give repeated rows; null ids stay; an empty table gives an empty one.
+    Returns id, p_text, p_meta, p_good and keep (p_good at least `least`, so a
+    tie is kept).  Null and empty texts have no content features, null metadata
+    is a value of its own; very long texts are hashed in blocks; repeated rows
+    give repeated rows; null ids stay; other columns, whatever their names, are
+    not read; an empty table gives an empty one.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,7 +284,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray] | float, id_col: str = "
 
 
 def keep_good(docs: DataFrame, model: dict[str, np.ndarray] | float, least: float = 0.5) -> DataFrame:
-    """The rows whose document is good, in one pass: all columns stay, none is shuffled."""
+    """The rows whose document is good, in one pass: all columns stay, none is shuffled; cases as in score()."""
     from pyspark.sql import types as T
 
     @F.pandas_udf(T.BooleanType())
