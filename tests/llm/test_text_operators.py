@@ -305,18 +305,72 @@ def test_packing_is_full():
     assert sum(lengths) / sum(sizes) > 0.97 and len(set(sizes)) > 1
 
 
+def cheapest(lengths, sizes):
+    """The least cost of any packing, by trying every way to share the pieces out."""
+    best = [float("inf")]
+
+    def go(k, bins):
+        if k == len(lengths):
+            best[0] = min(best[0], sum(packing.cost(min(s for s in sizes if s >= b)) for b in bins))
+            return
+        for i in range(len(bins)):
+            if bins[i] + lengths[k] <= max(sizes):
+                go(k + 1, [*bins[:i], bins[i] + lengths[k], *bins[i + 1 :]])
+        go(k + 1, [*bins, lengths[k]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_packing_against_the_optimum():
+    """Small inputs: never below the optimum, 4 % above it on average and a third at most."""
+    rng = random.Random(14)
+    ratios = []
+    for _ in range(150):
+        lengths = [rng.randint(1, 60) for _ in range(rng.randint(1, 8))]
+        _, _, sizes = packing.pack(lengths, (16, 32, 64))
+        ratios.append(sum(map(packing.cost, sizes)) / cheapest(lengths, (16, 32, 64)))
+    assert min(ratios) >= 1 - 1e-9 and np.mean(ratios) < 1.04 and max(ratios) < 1.34
+
+
 def test_packing_table(spark):
-    texts = ["a b c", None, "", "w " * 10_000, "a b c", " x\n\ty "]
+    texts = ["a b c", None, "", "w " * 10_000, "a b c", " x\n\ty ", "xq" * 30_000 + " tail", "中文" * 9000]
     df = spark.createDataFrame([(1 if k in (0, 1, 4) else k, t, "clash") for k, t in enumerate(texts)] + [(None, "n n", "c")], "doc_id long, text string, piece string")
-    rows = packing.pack_documents(df).collect()
+    rows = packing.pack_documents(df, VOCABULARY).collect()
+    counts = {(r.id, r.n_chars): r.n_tokens for r in tokens.count_tokens(df.withColumnRenamed("doc_id", "id"), VOCABULARY, "id").collect()}
+    whole = {1: ["a b c", "a b c", ""], None: ["n n"]} | {k: [t or ""] for k, t in enumerate(texts) if k not in (0, 1, 4)}
     by_id = {}
     for r in rows:
-        by_id.setdefault(r.doc_id, []).append((r.piece, r.start, r.n_tokens))
-    assert sorted(by_id[3]) == [(0, 0, 4096), (1, 4096, 4096), (2, 8192, 1808)]
-    assert sorted(n for _, _, n in by_id[1]) == [0, 3, 3]
-    assert by_id[2] == [(0, 0, 0)] and by_id[5] == [(0, 0, 2)] and by_id[None] == [(0, 0, 2)]
+        by_id.setdefault(r.doc_id, []).append(r)
+    assert by_id.keys() == whole.keys()
+    for k, parts in by_id.items():
+        assert all(any(t[r.start : r.end] == r.text for t in whole[k]) and r.n_tokens <= 4096 for r in parts)
+        assert sum(r.n_tokens for r in parts) == sum(counts[k, len(t)] for t in whole[k])
+    for k in (3, 6, 7):  # long texts: nothing lost but the space between two pieces
+        parts = sorted(by_id[k], key=lambda r: r.piece)
+        assert len(parts) > 1 and parts[0].start == 0 and parts[-1].end == len(texts[k]) and [r.piece for r in parts] == list(range(len(parts)))
+        assert all(a.end == b.start or (a.end + 1 == b.start and texts[k][a.end] == " ") for a, b in zip(parts, parts[1:], strict=False))
+    assert all((r.bin_id is None) == (r.n_tokens == 0) for r in rows) and by_id[2][0].bin_size is None
     used = {}
     for r in rows:
-        used.setdefault((r.bin_id, r.bin_size), []).append(r.n_tokens)
-    assert all(sum(n) <= size for (_, size), n in used.items()) and len({b for b, _ in used}) == len(used)
-    assert packing.pack_documents(df.limit(0)).count() == 0
+        if r.n_tokens:
+            used.setdefault((r.bin_id, r.bin_size), []).append((r.bin_start, r.n_tokens, r.doc_id, r.text))
+    for (_, size), parts in used.items():
+        assert [a + n for a, n, *_ in sorted(parts, key=lambda p: p[0])][:-1] == [a for a, *_ in sorted(parts, key=lambda p: p[0])][1:] and sum(p[1] for p in parts) <= size
+    assert len({b for b, _ in used}) == len(used)
+    sequences = packing.pack_sequences(df, VOCABULARY).collect()
+    assert {(s.bin_id, s.bin_size): [(p.bin_start, p.n_tokens, p.id, p.text) for p in s.pieces] for s in sequences} == {k: sorted(v, key=lambda p: p[0]) for k, v in used.items()}
+    assert all(s.n_tokens == sum(p.n_tokens for p in s.pieces) for s in sequences)
+    assert packing.pack_documents(df.limit(0), VOCABULARY).count() == 0 and packing.pack_sequences(df.limit(0), VOCABULARY).count() == 0
+
+
+def test_packing_in_small_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 7)
+    monkeypatch.setattr(packing, "SHARD_BYTES", 4000)
+    df = spark.range(300).selectExpr("id as doc_id", "repeat('word and ', cast(id * 3 as int)) as text").coalesce(2)
+    rows = packing.pack_documents(df, VOCABULARY).collect()
+    bins = {}
+    for r in rows:
+        if r.n_tokens:
+            bins.setdefault((r.bin_id, r.bin_size), []).append(r.n_tokens)
+    assert {r.doc_id for r in rows} == set(range(300)) and all(sum(n) <= size for (_, size), n in bins.items()) and len({b for b, _ in bins}) == len(bins)

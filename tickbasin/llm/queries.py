@@ -11,7 +11,7 @@ from .oracles import oracle_sql
 
 __all__ = ["oracle_sql", "queries"]
 
-#: The vocabulary file of the token counts.
+#: The vocabulary file of the token counts and the packing.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -34,7 +34,7 @@ def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack_documents(table(spark, folder, "documents"))
+    return packing.pack_documents(table(spark, folder, "documents"), VOCABULARY)
 
 
 def op5_embedding_forest(spark: SparkSession, folder: str) -> DataFrame:
