@@ -15,44 +15,33 @@ from read left join firsts using (payload_digest)
 """
 
 
-def _key(seed: str) -> str:
-    """The compared tokens of a window that starts at place i, as one text."""
-    return "concat_ws(' ', " + ", ".join(f"tokens[i + {k + 1}]" for k, c in enumerate(seed) if c == "1") + ")"
-
-
-def _windows(table: str, ids: str, seeds: list[str], condition: str = "true") -> str:
-    """(ids, seed, place, key) of every place of every seed."""
-    return " union all ".join(
-        f"select {ids}, '{s}' as seed, i as place, {_key(s)} as key from (select *, unnest(range(len(tokens) - {len(s)} + 1)) as i from {table} where len(tokens) >= {len(s)} and {condition.format(length=len(s))})"
-        for s in seeds
-    )
-
-
-#: The masks of the method, and whole items of fewer tokens than a mask has.
-MASKS, SHORT = ["1101100101", "1011000111"], ["1" * n for n in range(5, 10)]
 _TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
 
+# Candidates need no seeds: of n tokens with r replaced, some run of (n - r) / (r + 1) is whole, rounded up.
 DECONTAMINATION = f"""
 with items as (
-    select tokens, min(item_id) as item_id, len(tokens)::bigint as n from (select item_id, {_TOKENS} as tokens from benchmark) where len(tokens) >= 5 group by tokens
-), read as (
+    select tokens, min(item_id) as item_id, len(tokens)::bigint as n from (select item_id, {_TOKENS} as tokens from benchmark) where len(tokens) > 0 group by tokens
+), sized as (
+    select *, case when n >= 20 then 4 when n >= 10 then 3 when n >= 5 then 2 else n end as run from items
+), texts as (
     select row_number() over () as r, doc_id, {_TOKENS} as tokens from documents
-), wanted as (
-    {_windows("items", "item_id, n", MASKS)} union all {_windows("items", "item_id, n", SHORT, "len(tokens) = {length}")}
-), seen as (
-    select r, seed, place, key from ({_windows("read", "r", MASKS + SHORT)}) where key in (select key from wanted)
+), lengths as (select distinct run from sized), wanted as (
+    select item_id, run, i as item_place, list_slice(tokens, i + 1, i + run) as words from (select *, unnest(range(n - run + 1)) as i from sized)
+), runs as (
+    select r, run, i as place, list_slice(tokens, i + 1, i + run) as words from (select *, unnest(range(len(tokens) - run + 1)) as i from texts, lengths where len(tokens) >= run)
 ), hits as (
-    select distinct r, item_id, seen.place - wanted.place as shift from seen join wanted using (seed, key)
+    select distinct r, item_id, place - item_place as shift from runs join wanted using (run, words)
 ), same as (
     select hits.r, doc_id, hits.item_id, shift, n, least(n, 20) as stretch,
-           list_transform(range(n), lambda j: case when shift + j >= 0 and read.tokens[shift + j + 1] = items.tokens[j + 1] then 1 else 0 end) as same
-    from hits join read using (r) join items on items.item_id = hits.item_id
+           list_transform(range(n), lambda j: case when shift + j >= 0 and texts.tokens[shift + j + 1] = items.tokens[j + 1] then 1 else 0 end) as same
+    from hits join texts using (r) join items on items.item_id = hits.item_id
+    where n >= 3 or (shift = 0 and len(texts.tokens) = n)
 ), sums as (
     select doc_id, item_id, stretch, shift + i as position, list_sum(list_slice(same, i + 1, i + stretch))::bigint as matched
     from (select *, unnest(range(n - stretch + 1)) as i from same)
 ), good as (
     select *, row_number() over (partition by doc_id, item_id order by matched desc, position) as place
-    from sums where matched >= case when stretch < 10 then stretch else ceil(stretch * 0.8::double) end
+    from sums where matched >= ceil(stretch * 0.8::double)
 )
 select doc_id, item_id, matched, stretch, position from good where place = 1
 """
