@@ -68,7 +68,7 @@ def windows(seeds: list[str]) -> Column:
 
 
 def bit_table(hashes: DataFrame, n: int) -> tuple[Column, int]:
-    """The table of n hashes as a constant array of 32-bit words, and its bits.
+    """The table of n hashes as a constant array of 32-bit words, and how many these are, a power of two.
 
     A hash that is in the table always passes; with BITS_EACH bits for a hash
     about 1 in BITS_EACH others does, and more beyond MOST_BITS bits.
@@ -76,18 +76,22 @@ def bit_table(hashes: DataFrame, n: int) -> tuple[Column, int]:
     bits = LEAST_BITS
     while bits < min(MOST_BITS, n * BITS_EACH):
         bits *= 2
-    place = F.pmod(F.col("hash"), F.lit(bits).cast("long"))
-    words = hashes.groupBy(F.floor(place / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(hash, 32) as int))")).alias("b"))
     table = [0] * (bits // 32)
-    for w, b in words.collect():  # bits / 32 rows at most
+    word, bit = places_of(F.col("hash"), len(table))
+    for w, b in hashes.groupBy(word.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("b")).collect():  # a row for each word at most
         table[w] = b
-    return F.from_json(F.lit(json.dumps(table)), "array<bigint>"), bits
+    return F.from_json(F.lit(json.dumps(table)), "array<bigint>"), len(table)
 
 
-def passes(table: Column, bits: int, h: Column) -> Column:
+def places_of(h: Column, words: int) -> tuple[Column, Column]:
+    """Word and bit of a hash in a table of so many words."""
+    return F.shiftrightunsigned(h, 5).bitwiseAND(words - 1).cast("int"), h.bitwiseAND(31).cast("int")
+
+
+def passes(table: tuple[Column, int], h: Column) -> Column:
     """Whether a hash may be in the table."""
-    word = F.get(table, F.floor(F.pmod(h, F.lit(bits).cast("long")) / 32).cast("int"))
-    return F.getbit(word, F.pmod(h, F.lit(32).cast("long")).cast("int")) == 1
+    word, bit = places_of(h, table[1])
+    return F.getbit(F.get(table[0], word), bit) == 1
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,11 +142,11 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
         # the places of a hash in an item, and the items of a hash
         places = reduce(DataFrame.unionByName, parts).groupBy("hash", "item_id").agg(F.collect_list("place").alias("item_places"))
         wanted, _ = written(places, "item-windows")
-        table, bits = bit_table(wanted, wanted.count())
+        table = bit_table(wanted, wanted.count())
 
         key = text_key(F.col(text_col)).alias("key")
         read = docs.select(key, token_hashes(F.col(text_col)).alias("tokens"))
-        some = F.filter(windows(seeds), lambda w: passes(table, bits, w["hash"]))
+        some = F.filter(windows(seeds), lambda w: passes(table, w["hash"]))
         seen = read.select("key", F.size("tokens").alias("of"), F.explode(some).alias("w")).select("key", "of", "w.place", "w.hash")
         # copies of a text make equal rows
         grouped = join_sized(seen, wanted.select("hash").distinct(), "hash", "left_semi").groupBy("key", "of", "hash").agg(F.collect_set("place").alias("places"))
