@@ -3,15 +3,23 @@
 Fingerprints are made in one pass over the texts.  Equal fingerprints become
 one class, so copies cost one row.  Fingerprints at two differing bits or
 fewer agree on two of four quarters at least, so each class goes to six
-buckets, one for each pair of quarters.  In a bucket a table holds the Hamming
-distances of every fingerprint to the pivots: by the triangle inequality two
-fingerprints at distance d differ by d at most in every coordinate, so pairs
-whose largest coordinate difference is above d are discarded and the rest are
-verified.  Buckets of many fingerprints are split by cells of the first pivots'
-distances, overlapping by d, so no pair is lost.
+buckets, one for each pair of quarters.  Of the 32 bits left, two fingerprints
+of a bucket again agree on two of four bytes at least, and of the 16 bits left
+then on two of four half bytes: a large bucket is split by these, so no bucket
+holds more than LARGE_BUCKET fingerprints or 256, and no pair is lost.  In a
+bucket a table holds the Hamming distances of every fingerprint to the pivots:
+by the triangle inequality two fingerprints at distance d differ by d at most in
+every coordinate, so pairs whose largest coordinate difference is above d are
+discarded and the rest are verified.
 
 A task reports each fingerprint's link to the first of its local component and
 never pairs; components over all buckets are then joined by star contraction.
+
+near_copies() is for texts that share SIMILARITY of their five-word shingles.
+Their 64-bit fingerprints differ by ten bits and more, which no bucket scheme
+finds, as unrelated ones differ by 32 with a deviation of 4.  So it takes
+fingerprints of LONG bits, which tell such texts apart to a few hundredths of
+similarity, and buckets of texts that share the least hashes of a band.
 """
 
 from __future__ import annotations
@@ -23,15 +31,38 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, fewest_partitions, join_sized, written
+from .common import connected_components, fewest_partitions, fresh, join_sized, kept, workspace, written
 
 SEED, SHINGLE, DISTANCE = 42, 3, 2
 #: Reference fingerprints: 24 numbers of a fixed generator.
 PIVOTS = np.random.default_rng(20240229).integers(0, 1 << 63, 24, dtype=np.uint64) * np.uint64(2) + np.arange(24, dtype=np.uint64) % np.uint64(2)
-#: Rows of a bucket from which it is split by cells of SPLIT_PIVOTS distances of CELL values.
-LARGE_BUCKET, SPLIT_PIVOTS, CELL = 20_000, 3, 4
+#: Fingerprints of a bucket from which it is split.
+LARGE_BUCKET = 2000
 #: Rows of a bucket up to which all its rows are compared at once.
 SMALL_BUCKET = 48
+#: Near copies: words of a shingle, similarity, bits of a fingerprint; bands of least hashes and how many make a band's key.
+COPY_SHINGLE, SIMILARITY, LONG, BANDS, BAND = 5, 0.8, 512, 12, 4
+#: Near copies: rows of a bucket compared in one task, in blocks of half as many if there are more; reference rows of a bucket.
+TOGETHER, LONG_PIVOTS = 8192, 8
+
+
+def masks() -> list[int]:
+    """Bits that the fingerprints of a bucket share, by kind: 6 pairs of quarters, 36 with a pair of the other bytes, 216 with a pair of the other half bytes."""
+    out, level = [], [(0, [(16 * k, 16) for k in range(4)])]
+    for _ in range(3):
+        below = []
+        for mask, parts in level:
+            for i in range(4):
+                for j in range(i):
+                    own = mask | sum(((1 << n) - 1) << at for at, n in (parts[i], parts[j]))
+                    rest = [parts[k] for k in range(4) if k not in (i, j)]
+                    below.append((own, [(at + h * n // 2, n // 2) for at, n in rest for h in (0, 1)]))
+        out += [mask for mask, _ in below]
+        level = below
+    return out
+
+
+MASKS = np.array(masks(), dtype=np.uint64).view(np.int64).tolist()
 
 
 def fingerprint(text: str) -> int:
@@ -67,26 +98,24 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return read.mapInPandas(rows, f"id {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
-def bucket_keys(fp: Column) -> Column:
-    """The six pairs of quarters as numbers that tell the pair too."""
-    quarter = [F.shiftrightunsigned(fp, 16 * k).bitwiseAND(0xFFFF) for k in range(4)]
-    pairs = [(a, b) for a in range(4) for b in range(a)]
-    return F.array(*[F.shiftleft(F.lit(k).cast("long"), 32).bitwiseOR(F.shiftleft(quarter[a], 16)).bitwiseOR(quarter[b]) for k, (a, b) in enumerate(pairs)])
-
-
-def cells(fp: Column) -> Column:
-    """All cells of the first pivots' distances that a fingerprint within DISTANCE may be in."""
-    out = F.array(F.lit(0).cast("long"))
-    for pivot in PIVOTS[:SPLIT_PIVOTS].view(np.int64):
-        d = F.bit_count(fp.bitwiseXOR(F.lit(int(pivot)))).cast("long") + DISTANCE
-        own = F.array_distinct(F.array(F.floor((d - DISTANCE) / CELL), F.floor(d / CELL), F.floor((d + DISTANCE) / CELL)))
-        out = F.flatten(F.transform(out, _crossed(own)))
-    return out
+def buckets(fp: Column, first: Column) -> Column:
+    """Six buckets (kind, part) of a fingerprint, of the kinds from first on."""
+    all_masks = F.array(*map(F.lit, MASKS))
+    return F.transform(F.sequence(first, first + 5), lambda k: F.struct(k.alias("kind"), fp.bitwiseAND(F.get(all_masks, k)).alias("part")))
 
 
-def _crossed(own: Column):
-    """Appends every cell number of own to a combined one."""
-    return lambda x: F.transform(own, lambda y: x * 32 + y)
+def split_buckets(classes: DataFrame) -> DataFrame:
+    """(fp, rep, kind, part): each class in its buckets, large ones split."""
+    rows = classes.select("fp", "rep", F.explode(buckets(F.col("fp"), F.lit(0))).alias("b")).select("fp", "rep", "b.kind", "b.part")
+    for first in (0, 6):  # kinds that can be split; those from 42 on hold 256 fingerprints at most
+        large, _ = written(rows.where(F.col("kind") >= first).groupBy("kind", "part").count().where(F.col("count") > LARGE_BUCKET).select("kind", "part", F.lit(True).alias("large")), "large-buckets")
+        if not large.limit(1).count():
+            break
+        flagged = join_sized(rows, large, ["kind", "part"], "left")
+        own = F.array(F.struct("kind", "part"))
+        finer = F.explode(F.when(F.col("large"), buckets(F.col("fp"), 6 * F.col("kind") + 6)).otherwise(own)).alias("b")
+        rows, _ = written(flagged.select("fp", "rep", finer).select("fp", "rep", "b.kind", "b.part"), "buckets")
+    return rows
 
 
 def pivot_table(fps: np.ndarray) -> np.ndarray:
@@ -154,15 +183,15 @@ def small_components(key: np.ndarray, fps: np.ndarray) -> np.ndarray:
 
 
 def bucket_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links (a, b) of the rows of one partition, whole buckets sorted by key."""
-    parts = [(b["key"].to_numpy(np.int64), b["cell"].to_numpy(np.int64), b["fp"].to_numpy(np.int64).view(np.uint64), b["rep"].to_numpy(np.int64)) for b in batches]
+    """Links (a, b) of the rows of one partition, whole buckets sorted by kind and part."""
+    parts = [(b["kind"].to_numpy(np.int64), b["part"].to_numpy(np.int64), b["fp"].to_numpy(np.int64).view(np.uint64), b["rep"].to_numpy(np.int64)) for b in batches]
     if not parts:
         return
-    key, cell, fps, rep = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((rep, cell, key))
-    key, cell, fps, rep = key[order], cell[order], fps[order], rep[order]
-    new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))))
-    sizes = np.diff(np.append(new, len(key)))
+    kind, part, fps, rep = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((rep, part, kind))
+    kind, part, fps, rep = kind[order], part[order], fps[order], rep[order]
+    new = np.flatnonzero(np.concatenate(([True], (kind[1:] != kind[:-1]) | (part[1:] != part[:-1]))))
+    sizes = np.diff(np.append(new, len(kind)))
     group = np.repeat(np.arange(len(new)), sizes)
     some = np.repeat((sizes > 1) & (sizes <= SMALL_BUCKET), sizes)
     if some.any():
@@ -176,6 +205,19 @@ def bucket_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": rep[start + moved], "b": rep[start + root[moved]]})
 
 
+def labelled(rows: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(fp, component_id) of every class, from rows (id, fp), classes (fp, rep) and links (a, b) of reps.
+
+    The rows of one id link the classes of their texts as well.
+    """
+    several, _ = written(rows.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated-ids")
+    if several.limit(1).count():
+        same = join_sized(rows, several, "id", "left_semi").join(classes, "fp").select(F.col("id").cast("long").alias("a"), F.col("rep").alias("b"))
+        links = links.unionByName(same)
+    found, _ = written(connected_components(links), "components")
+    return classes.where("rep is not null").join(found, F.col("rep") == F.col("id"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups documents whose fingerprints link at two differing bits or fewer.
 
@@ -183,35 +225,149 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reachable.  Ids are integers; rows of one id are one document and share its
     rows' links; a null id gets its fingerprint's component, or null if only
     null ids have it.  Null and empty texts have the fingerprint 0 and link
-    like any other; other columns are not read; an empty table gives an empty
-    table.
+    like any other; very long texts are read whole; a bit set in just half the
+    hashes is 0; other columns, whatever their names, are not read; an empty
+    table gives an empty table.
+    """
+    spark = docs.sparkSession
+    fps = written(fingerprints(docs, id_col, text_col), "fingerprints")[0]
+    with workspace(spark):
+        classes, _ = written(fps.groupBy("fp").agg(F.min("id").cast("long").alias("rep")), "fingerprint-classes")
+        known = classes.where("rep is not null")
+        rows = split_buckets(known)
+        dealt = rows.repartition(fewest_partitions(6 * known.count(), 250_000, spark.sparkContext.defaultParallelism), "kind", "part")
+        component = kept(labelled(fps, classes, dealt.mapInPandas(bucket_links, "a long, b long")), "labelled-classes")
+    kind = docs.schema[id_col].dataType
+    return join_sized(fps, component, "fp", "left").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component_id").cast(kind))
+
+
+def mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    """Another 64-bit hash of hashes: multiplications and shifts that spread every bit (murmur's finalizer)."""
+    x = h ^ np.uint64((seed * 0x9E3779B97F4A7C15) & (2**64 - 1))
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+#: Odd factors by which hashes are permuted, one for each least hash.
+FACTORS = mixed(np.arange(BANDS * BAND, dtype=np.uint64), 1) | np.uint64(1)
+
+
+def long_fingerprint(text: str) -> tuple[bytes, np.ndarray]:
+    """SimHash of LONG bits of a text's distinct five-word shingles, and the keys of its bands.
+
+    Words and short texts as in fingerprint(); a text of no words has the
+    fingerprint 0 and keys of its own.
+    """
+    from xxhash import xxh64_intdigest
+
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return bytes(LONG // 8), np.arange(BANDS, dtype=np.int64)
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(COPY_SHINGLE)), strict=False)) if len(words) >= COPY_SHINGLE else iter([b" ".join(words)])
+    h = np.unique(np.fromiter((xxh64_intdigest(s, SEED) for s in shingles), dtype=np.uint64))
+    ones, least = np.zeros(LONG, dtype=np.int64), np.full(BANDS * BAND, 2**64 - 1, dtype=np.uint64)
+    for at in range(0, len(h), 1 << 12):
+        part = h[at : at + (1 << 12)]
+        bits = np.stack([mixed(part, 2 + k) for k in range(LONG // 64)], axis=1)
+        ones += np.unpackbits(bits.view(np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.int32)
+        least = np.minimum(least, (part[None] * FACTORS[:, None]).min(axis=1))
+    keys = least.reshape(BANDS, BAND)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for k in range(BAND):
+        key = mixed(key ^ keys[:, k], 100 + k)
+    return np.packbits(2 * ones > len(h)).tobytes(), key.view(np.int64)
+
+
+def most_bits(similarity: float = SIMILARITY) -> int:
+    """Bits by which long fingerprints of texts of that similarity differ: the angle of two sets of equal size."""
+    return round(LONG * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi)
+
+
+def copy_links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (found, from) of the rows of a bucket: each component is walked from its first member, and what is reached leaves the table.
+
+    A table of distances to the first rows of the bucket discards rows as in near().
+    """
+    within = most_bits()
+    pivots = np.stack([np.bitwise_count(fps ^ fps[k]).sum(axis=1) for k in range(min(LONG_PIVOTS, len(fps)))], axis=1).astype(np.int16)
+    a, b, rest = [], [], np.arange(len(fps))
+    while len(rest):
+        todo, rest = [rest[0]], rest[1:]
+        while todo and len(rest):
+            at = todo.pop()
+            left = np.flatnonzero((np.abs(pivots[rest] - pivots[at]) <= within).all(axis=1))
+            hits = left[np.bitwise_count(fps[rest[left]] ^ fps[at]).sum(axis=1) <= within]
+            if len(hits):
+                found = rest[hits]
+                a.append(found)
+                b.append(np.full(len(found), at))
+                todo += found.tolist()
+                rest = np.delete(rest, hits)
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, dtype=int), np.empty(0, dtype=int))
+
+
+def copies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links (a, b) of the rows of one partition, whole buckets (key, i, j)."""
+    parts = [f for f in frames if len(f)]
+    if not parts:
+        return
+    rows = pd.concat(parts).sort_values(["key", "i", "j", "rep"])
+    bucket = rows[["key", "i", "j"]].to_numpy()
+    rep, fps = rows["rep"].to_numpy(), np.frombuffer(b"".join(rows["fp"]), dtype=np.uint64).reshape(len(rows), -1)
+    cuts = np.append(np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]).any(axis=1))), len(rows))
+    for start, end in zip(cuts, cuts[1:], strict=False):
+        if end - start > 1:
+            a, b = copy_links(fps[start:end])
+            yield pd.DataFrame({"a": rep[start + a], "b": rep[start + b]})
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups documents whose five-word shingles agree to SIMILARITY, as their long fingerprints measure it.
+
+    Two texts of that similarity share one of the bands with a probability of
+    0.998, and the measure deviates by 0.03.  A bucket of more than TOGETHER
+    texts is compared by pairs of blocks, so none gathers in one task.
+
+    Returns id and component_id, the smallest id reachable; cases as in
+    near_duplicates().
     """
     spark = docs.sparkSession
-    fps, _ = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes, _ = written(fps.groupBy("fp").agg(F.min("id").cast("long").alias("rep")), "fingerprint-classes")
-    known = classes.where("rep is not null")
-    n = known.count()
-    keyed = known.select("fp", "rep", F.explode(bucket_keys(F.col("fp"))).alias("key"))
-    large = keyed.groupBy("key").count().where(F.col("count") > LARGE_BUCKET).select("key", F.lit(True).alias("large"))
-    large, _ = written(large, "large-buckets")
-    one = F.array(F.lit(-1).cast("long"))
-    split = join_sized(keyed, large, "key", "left").select("fp", "rep", "key", F.explode(F.when(F.col("large"), cells(F.col("fp"))).otherwise(one)).alias("cell"))
-    dealt = split.repartition(fewest_partitions(6 * n, 250_000, spark.sparkContext.defaultParallelism), "key", "cell")
-    links = dealt.mapInPandas(bucket_links, "a long, b long")
-    # a document's rows with different texts link their classes as well
-    several = fps.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
-    several, _ = written(several.select("id"), "repeated-ids")
-    same = join_sized(fps, several, "id", "left_semi").join(classes, "fp").select(F.col("id").cast("long").alias("a"), F.col("rep").alias("b")) if several.limit(1).count() else None
-    found = connected_components(links if same is None else links.unionByName(same))
-    found, _ = written(found, "components")
-    labelled = known.join(found, F.col("rep") == F.col("id"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    labelled, _ = written(labelled, "labelled-classes")
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [long_fingerprint(t) for t in batch["text"]]
+            yield pd.DataFrame({"id": batch["id"], "fp": [f for f, _ in made], "keys": [k for _, k in made]})
+
+    read = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    prints = written(read.mapInPandas(rows, f"id {docs.schema[id_col].dataType.simpleString()}, fp binary, keys array<bigint>"), "long-fingerprints")[0]
+    fps = prints.select("id", "fp")
+    with workspace(spark):
+        # texts of one fingerprint differ in a few shingles at most; the least keys serve for all
+        classes, _ = written(prints.groupBy("fp").agg(F.min("id").cast("long").alias("rep"), F.min("keys").alias("keys")), "long-classes")
+        known = classes.where("rep is not null").select("fp", "rep", F.explode("keys").alias("key"))
+        blocks = F.when(F.col("n") > TOGETHER, F.ceil(F.col("n") / (TOGETHER // 2))).otherwise(1).cast("int")
+        shared, _ = written(known.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", blocks.alias("blocks")), "shared-keys")
+        met = join_sized(known, shared, "key", "inner")
+        own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
+        dealt = met.select("key", "fp", "rep", F.explode(pairs).alias("p")).select("key", "fp", "rep", "p.i", "p.j")
+        n = shared.count()
+        links = dealt.repartition(fewest_partitions(4 * n, 50_000, spark.sparkContext.defaultParallelism), "key", "i", "j").mapInPandas(copies, "a long, b long").distinct()
+        component = kept(labelled(fps, classes.select("fp", "rep"), links), "labelled-copies")
     kind = docs.schema[id_col].dataType
-    return join_sized(fps, labelled, "fp", "left").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component_id").cast(kind))
+    return join_sized(fps, component, "fp", "left").select(F.col("id").alias(id_col), F.col("component_id").cast(kind))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Keeps the document of the smallest id of each group, with all its columns and rows; null ids stay."""
-    found = near_duplicates(docs, id_col, text_col)
-    gone, _ = written(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "near-duplicates")
-    return join_sized(docs, gone, id_col, "left_anti").select(docs.columns)
+    """Keeps the document of the smallest id of each group of near copies, with all its columns and rows.
+
+    Null ids stay, whatever their texts; empty and null texts are one group;
+    repeated rows of the kept id stay; columns may have any names; an empty
+    table gives an empty table.
+    """
+    gone = fresh(docs, "gone")
+    with workspace(docs.sparkSession):
+        found = near_copies(docs, id_col, text_col)
+        out = kept(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct(), "near-duplicates")
+    return join_sized(docs, out, F.col(id_col) == F.col(gone), "left_anti")
