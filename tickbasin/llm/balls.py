@@ -27,12 +27,19 @@ MOST_BALLS, BLOCK, LEVELS, SLACK = 4000, 2048, 40, 1e-6
 
 
 def unit_rows(raw) -> np.ndarray:
-    """Unit vectors in double precision of stored ones."""
-    x = np.stack([np.frombuffer(b, dtype=np.float32) for b in raw]).astype(np.float64)
+    """Unit vectors in double precision of stored ones, all of the precision that their first byte names."""
+    raw = list(raw)
+    kind = np.float64 if raw[0][:1] == b"d" else np.float32
+    x = np.stack([np.frombuffer(b, dtype=kind, offset=1) for b in raw]).astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)  # keeps squares finite
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def by_length(batch: pd.DataFrame) -> list[pd.DataFrame]:
+    """The rows of a batch, apart by the length of their vectors."""
+    return [rows for _, rows in batch.groupby(batch["raw"].map(len))] if len(batch) else []
+
+
 def angles(unit: np.ndarray, center: np.ndarray) -> np.ndarray:
     """Angles of rows to a direction."""
     return np.arccos(np.clip(unit @ center, -1, 1))
@@ -51,7 +58,7 @@ def means(rows: DataFrame, cell: int) -> DataFrame:
     sums = rows.select("node", "raw").mapInPandas(_sums, "node long, n long, total array<double>")
     parts = sums.select("node", "n", F.posexplode("total").alias("k", "x")).groupBy("node", "k").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
     listed = parts.where(F.col("n") > cell).groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("v"))
-    return listed.select("node", F.transform("v", lambda s: s["x"]).alias("mean"))
+    return listed.select("node", F.transform("v", lambda s: s["x"] / F.col("n")).alias("mean"))
 
 
 def extract(classes: DataFrame, cell: int, threshold: float) -> tuple[DataFrame, DataFrame] | None:
@@ -71,8 +78,8 @@ def extract(classes: DataFrame, cell: int, threshold: float) -> tuple[DataFrame,
             break
 
         def look(batches: Iterator[pd.DataFrame], level: int = level) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
+            for frame in batches:
+                for batch in by_length(frame):
                     unit, mean = unit_rows(batch["raw"]), np.stack(batch["mean"])
                     size = np.linalg.norm(mean, axis=1)
                     cos = (unit * mean).sum(axis=1) / np.where(size > 0, size, 1)
@@ -107,8 +114,8 @@ def links(classes: DataFrame, members: DataFrame, balls: DataFrame, threshold: f
     parts = inside.select("rep", (F.col("total") - F.col("copies")).alias("links"), F.col("least").alias("root"))
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
+        for frame in batches:
+            for batch in by_length(frame):
                 unit, center = unit_rows(batch["raw"]), np.stack(batch["center"])
                 center /= np.linalg.norm(center, axis=1, keepdims=True)
                 angle = np.arccos(np.clip((unit * center).sum(axis=1), -1, 1))
