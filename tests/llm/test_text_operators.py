@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -112,6 +113,31 @@ def test_html_extraction(spark):
     assert html.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_html_odd_pages_are_linear():
+    """A megabyte of unclosed tags, open quotes, deep nesting and lists in it: read in seconds, no text lost."""
+    n = 60_000
+    began = time.perf_counter()
+    assert html.extract("<p>text</p>" + "<a " * (1_000_000 // 3), None) .startswith("text")
+    assert html.extract("<div>" * 100_000 + "deep" + "</div>" * 100_000, None) == "deep"
+    assert html.extract("<li><article>" + "<div>" * n + "<li>x</li>" * n, None) == " ".join(["x"] * n)
+    assert html.extract("<div>" * n + "</section>" * n + "<header>h</header>" * n + "t", None) == "t"
+    for odd in ('<a ">"', "<a '\">", '<a x="', "<script>", "</script ", "<!--", "<!", "<", "<b class=", "<div class='a"):
+        html.extract("<p>text</p>" + odd * n, None)
+        html.extract("<script>" + odd * n + ">", None)
+    root = html.parse("<div class=a>" * 16_000)
+    assert len(html.in_order(root)) == html.DEPTH + 1
+    assert time.perf_counter() - began < 60
+
+
+def test_html_small_cases():
+    cases = {
+        "<p>a<p>b": "a b", "a <b>c</b>d": "a cd", "<p title='>'>x</p>": "x", "1 < 2 and 3 > 2": "1 < 2 and 3 > 2", "<p>x</p><a href=\"y>z</a>w": "x zw", "<math><mi>x</mi></math> y": "x y", "<object>fallback</object>": "fallback",
+        "<ul><li>a<li>b<ul><li>c</ul></ul>": "a b c", "<!-- <p>no</p> --><p>yes": "yes", "<script>a</script >b<style>": "b", "x <unclosed": "x <unclosed",
+    }
+    for page, text in cases.items():
+        assert html.extract(page, None) == text, page
+
+
 def test_html_hosts_vote(spark):
     """Pages whose own best container is a teaser are read along the host's path."""
     usual = "<body><div class='c1'><p>{}</p></div><div class='teaser'><p>short</p></div></body>"
