@@ -1,11 +1,13 @@
 """SimHash, decontamination, embeddings, WARC, components and the pipeline: cases and brute force."""
 
+import gzip
 import hashlib
 import itertools
 import math
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -435,11 +437,46 @@ def test_warc_repeated_and_null_ids(spark):
     assert got == sorted([(1, "response", None, "u"), (1, "revisit", 1, "v"), (None, "response", None, "w"), (2, "revisit", 1, "x")], key=repr)
 
 
+def test_warc_files(spark, tmp_path, monkeypatch):
+    """A gzip member for each record, bounded files, a payload longer than a member, ids that are no numbers, hot repeated rows."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 40_000)
+    monkeypatch.setattr(warc, "MEMBER", 1 << 20)
+    long = "".join(chr(0x4E00 + k % 5000) for k in range(900_000))
+    rows = [("p1", "u", long), ("p2", "u", long), ("p3", "u", "x" * 5000), *[("hot", "u", "h" * 300)] * 500, *[(f"q{k}", "u", "s" * (k + 100)) for k in range(60)], (None, "u", "n" * 200), (None, "u", "n" * 200)]
+    monkeypatch.setattr(warc, "COPIES", 64)
+    df = spark.createDataFrame(rows, "page_id string, url string, html string").coalesce(1)
+    path = f"file://{tmp_path}/w"
+    warc.archive(df, path)
+    back = warc.read_archives(spark, path, payloads=True, id_type="string").collect()
+    assert len(back) == len(rows) and all(r.ok for r in back)
+    assert [r.record_type for r in back if r.page_id == "hot"].count("response") == 1 and {r.refers_to for r in back if r.page_id == "hot"} == {None, "hot"}
+    assert [(r.record_type, r.refers_to, r.html == long) for r in sorted(back, key=lambda r: str(r.page_id)) if r.page_id in ("p1", "p2")] == [("response", None, True), ("revisit", "p1", False)]
+    names = set()
+    for file in tmp_path.rglob("part-*"):
+        data, members = file.read_bytes(), 0
+        rest = data
+        while rest:
+            inflate = zlib.decompressobj(31)
+            inflate.decompress(rest)
+            assert inflate.eof
+            rest, members = inflate.unused_data, members + 1
+        found = list(warc.records(data))
+        assert members == len(found) or len(found) == 1
+        assert len(gzip.decompress(data)) <= 40_000 or len(found) == 1
+        names |= {h["WARC-Record-ID"] for h, _ in found}
+    assert len(names) == len(rows)
+    referred = {h["WARC-Refers-To"] for file in tmp_path.rglob("part-*") for h, _ in warc.records(file.read_bytes()) if "WARC-Refers-To" in h}
+    assert len(referred) == 2 and referred <= names
+
+
 def test_warc_headers():
     data = b"WARC/1.1\r\nWARC-Type: x\r\nContent-Length: 4\r\n\r\nab\r\n\r\n\r\n"
-    assert list(warc.parse(data)) == [({"WARC-Type": "x", "Content-Length": "4"}, b"ab\r\n")]
-    with pytest.raises(ValueError, match="no record"):
-        list(warc.parse(b"junk\r\n\r\n"))
+    assert list(warc.parse(bytearray(data))) == [({"WARC-Type": "x", "Content-Length": "4"}, b"ab\r\n")]
+    for bad, why in ((b"junk\r\n\r\n", "no record"), (data[:-1], "cut off"), (data[:-2] + b"xx", "no end")):
+        with pytest.raises(ValueError, match=why):
+            list(warc.parse(bytearray(bad)))
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.records(gzip.compress(data)[:-3]))
 
 
 def test_queries_are_registered():
