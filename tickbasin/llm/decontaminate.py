@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import fewest_partitions, fresh, join_sized, kept, workspace, written
 
-# The seeds; 1 compares a token, 0 ignores it.  Together they hit every stretch of 15 to 20 tokens that SHARE
-# admits, whichever tokens are replaced; shorter items need more seeds, by their least length (tests try all choices).
-SEEDS = ("1101100101", "1011000111", "100001001101")
-SHORT_SEEDS = {10: ("111011", "110001011"), 5: ("1111", "11101", "11011", "10111"), 4: ("1111",), 3: ("111",), 2: ("11",), 1: ("1",)}
+# The seeds; 1 compares a token, 0 ignores it.  Together they hit every stretch of 10 to 20 tokens that SHARE
+# admits, whichever tokens are replaced; shorter items have seeds of their own, by their length (tests try all choices).
+SEEDS = ("1101011", "11111", "110001011")
+SHORT_SEEDS = {5: ("1111", "11101", "11011", "10111"), 4: ("1111",), 3: ("111",), 2: ("11",), 1: ("1",)}
 #: The stretch that is verified, and the share of its tokens that must agree.
 STRETCH, SHARE = 20, 0.8
 #: Items of fewer tokens occur in ordinary texts by chance, so only a text that is the item and nothing else holds them.
@@ -52,7 +52,7 @@ def window_hashes(tokens: Column, seed: str) -> Column:
 
 def seeds_for(n: int) -> tuple[str, ...]:
     """The seeds by which items of n tokens are looked for."""
-    return SEEDS if n >= 15 else SEEDS + SHORT_SEEDS[10] if n >= 10 else SHORT_SEEDS[5] if n >= 5 else SHORT_SEEDS[n]
+    return SEEDS if n >= 10 else SHORT_SEEDS[5] if n >= 5 else SHORT_SEEDS[n]
 
 
 def text_key(text: Column) -> Column:
@@ -132,11 +132,11 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     """
     with workspace(docs.sparkSession):
         items, _ = written(items_of(benchmark), "items")
-        kinds = [r.k for r in items.select(F.when(F.col("n") >= 15, 15).when(F.col("n") >= 10, 10).when(F.col("n") >= 5, 5).otherwise(F.col("n")).alias("k")).distinct().collect()] or [15]
+        kinds = [r.k for r in items.select(F.when(F.col("n") >= 10, 10).when(F.col("n") >= 5, 5).otherwise(F.col("n")).alias("k")).distinct().collect()] or [10]
         seeds = sorted({s for k in kinds for s in seeds_for(k)})
         parts = []
         for k in kinds:
-            under = {15: F.lit(True), 10: F.col("n") < 15, 5: F.col("n") < 10}.get(k, F.col("n") == k)
+            under = {10: F.lit(True), 5: F.col("n") < 10}.get(k, F.col("n") == k)
             some = items.where((F.col("n") >= k) & under).select("item_id", F.explode(windows(list(seeds_for(k)))).alias("w"))
             parts.append(some.select("item_id", "w.place", "w.hash"))
         # the places of a hash in an item, and the items of a hash
