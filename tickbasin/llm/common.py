@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows and bytes up to which a side of measured size is broadcast; beyond them the join shuffles.
-BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 _open = threading.local()
 
@@ -179,6 +179,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
+def slices(batch, rows: int = 1000) -> Iterator:
+    """Parts of a pandas frame or an Arrow batch, so that what is made of them stays small."""
+    for at in range(0, len(batch), rows):
+        yield batch[at : at + rows]
+
+
 def text_or_empty(column: str) -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

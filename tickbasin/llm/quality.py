@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_sized, workspace, written
+from .common import join_sized, slices, workspace, written
 
 #: Labelled documents used for training, at most.
 LABELLED = 4000
@@ -169,9 +169,7 @@ def offers(docs: DataFrame, model: dict[str, np.ndarray]) -> list[dict[float, tu
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple[int, float], list] = {}
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in (part for whole in batches for part in slices(whole)):
             views = _features(batch)
             p = [sigmoid(calibrated(logit(x, model[name]), model[f"{name}_ab"])) for x, name in zip(views, VIEWS, strict=True)]
             for v in range(2):
@@ -226,8 +224,8 @@ def co_train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
         everything = _read(docs, id_col)
 
         def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
+            for whole in batches:
+                for batch in slices(whole):
                     text, meta = _features(batch)
                     yield pd.DataFrame({"id": batch["id"], "y": batch["y"], "t": [x.tobytes() for x in text], "m": [x.tobytes() for x in meta]})
 
@@ -274,8 +272,8 @@ def score(docs: DataFrame, model: dict[str, np.ndarray] | float, id_col: str = "
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
+        for whole in batches:
+            for batch in slices(whole):
                 a, b, c = probabilities(model, *_features(batch))
                 yield pd.DataFrame({"id": batch["id"], "p_text": a, "p_meta": b, "p_good": c, "keep": c >= least})
 
@@ -289,9 +287,9 @@ def keep_good(docs: DataFrame, model: dict[str, np.ndarray] | float, least: floa
 
     @F.pandas_udf(T.BooleanType())
     def good(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.Series:
-        if not len(text):
-            return pd.Series([], dtype=bool)
-        return pd.Series(probabilities(model, *_features(pd.DataFrame({"text": text, "lang": lang, "source": source, "n_chars": n_chars})))[2] >= least)
+        frame = pd.DataFrame({"text": text, "lang": lang, "source": source, "n_chars": n_chars})
+        parts = [probabilities(model, *_features(part))[2] >= least for part in slices(frame)]
+        return pd.Series(np.concatenate(parts) if parts else [], dtype=bool)
 
     columns = [F.col(c).cast(k) if c in docs.columns else F.lit(None).cast(k) for c, k in (("lang", "string"), ("source", "string"), ("n_chars", "double"))]
     return docs.where(good(F.coalesce(F.col("text"), F.lit("")), *columns))

@@ -27,12 +27,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 MARK = "▁"
 UNKNOWN_COST = 10.0
 LOWEST = float("-inf")
 GAP = "\0"
 #: Distinct words whose counts a worker keeps; the longest word kept and counted along with others; words counted at once.
-KEPT_WORDS, KEPT_LENGTH, AT_ONCE = 200_000, 64, 100_000
+KEPT_WORDS, KEPT_LENGTH, AT_ONCE = 200_000, 64, 20_000
 
 
 def read_vocabulary(model: str | bytes) -> list[tuple[str, float]]:
@@ -228,9 +230,10 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(shipped.value)
-        for batch in batches:
-            n, _, _ = counter.batch(batch["text"])
-            yield pa.RecordBatch.from_arrays([batch["id"], pc.utf8_length(batch["text"]).cast(pa.int64()), pa.array(n)], ["id", "n_chars", "n_tokens"])
+        for whole in batches:
+            for batch in slices(whole):
+                n, _, _ = counter.batch(batch["text"])
+                yield pa.RecordBatch.from_arrays([batch["id"], pc.utf8_length(batch["text"]).cast(pa.int64()), pa.array(n)], ["id", "n_chars", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     read = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
