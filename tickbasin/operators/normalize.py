@@ -84,31 +84,47 @@ def with_session(messages: DataFrame) -> DataFrame:
 
 
 def book_messages(rows: DataFrame) -> DataFrame:
-    """Parsed book messages with latest (largest earlier stamp of the asset) and stale."""
-    books = rows.where(F.col("m.event_type") == "book").withColumn("asset_id", F.col("m.asset_id"))
-    earlier = Window.partitionBy("asset_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
+    """The heads of book messages, without their levels, with latest (largest earlier stamp of the asset) and stale.
+
+    Maxima are taken within buckets of arrivals and carried from bucket to
+    bucket by one small row per asset and bucket, as in numbered().
+    """
+    heads = rows.where(F.col("m.event_type") == "book").select("arrival", "recv_timestamp_us", "exchange_timestamp_us", "session_id", F.col("m.asset_id").alias("asset_id"), F.col("m.hash").alias("source_event_id"))
     ts = F.col("exchange_timestamp_us")
-    latest = F.max(F.when(ts > 0, ts)).over(earlier)
-    return books.withColumn("latest", latest).withColumn("stale", F.coalesce((ts > 0) & (ts <= F.col("latest")), F.lit(False)))
+    heads = heads.withColumns({"bucket": F.call_function("div", F.col("arrival"), F.lit(NUMBER_BUCKET)), "stamp": F.when(ts > 0, ts)})
+    inside = Window.partitionBy("asset_id", "bucket").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
+    ends = heads.groupBy("asset_id", "bucket").agg(F.max("stamp").alias("end"))
+    before = F.max("end").over(Window.partitionBy("asset_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.select("asset_id", "bucket", before.alias("carried"))
+    latest = F.greatest(F.max("stamp").over(inside), F.col("carried"))
+    placed = heads.join(carried, ["asset_id", "bucket"]).withColumn("latest", latest)
+    return placed.withColumn("stale", F.coalesce((ts > 0) & (ts <= F.col("latest")), F.lit(False))).drop("bucket", "stamp", "carried")
 
 
 def level_rows(books: DataFrame, rows: DataFrame) -> DataFrame:
     """Level changes of accepted snapshots and price changes before numbering: one row per level, in message order.
 
     Changes of an unknown side are skipped; the first bad price or size cuts
-    the rest of its message.
+    the rest of its message.  Both are found in the message's own array, and of
+    the books only the few stale ones meet the messages.
     """
-    def level(side: int):
-        return lambda x: F.struct(F.lit(side).cast("tinyint").alias("side"), x["price"].alias("price"), x["size"].alias("size"))
+    asset, hashed = F.col("m.asset_id"), F.col("m.hash")
+
+    def level(kind: int, side, asset_of, hash_of):
+        return lambda x: F.struct(
+            F.lit(kind).cast("tinyint").alias("event_kind"), asset_of(x).alias("asset_id"), hash_of(x).alias("source_event_id"), side(x).cast("tinyint").alias("side"),
+            price_from_text(x["price"]).alias("price"), size_from_text(x["size"]).alias("size"),
+        )
 
-    both = F.concat(F.transform("m.bids", level(BID)), F.transform("m.asks", level(ASK)))
-    snaps = books.where("not stale").select("arrival", "recv_timestamp_us", "exchange_timestamp_us", "session_id", "asset_id", F.lit(SNAPSHOT).cast("tinyint").alias("event_kind"), F.col("m.hash").alias("source_event_id"), F.posexplode(both).alias("pos", "l"))
-    snaps = snaps.select("*", "l.side", F.col("l.price").alias("price_text"), F.col("l.size").alias("size_text")).drop("l")
-    changes = rows.where(F.col("m.event_type") == "price_change").select("arrival", "recv_timestamp_us", "exchange_timestamp_us", "session_id", F.posexplode("m.price_changes").alias("pos", "l"))
-    changes = changes.select("arrival", "recv_timestamp_us", "exchange_timestamp_us", "session_id", F.col("l.asset_id").alias("asset_id"), F.lit(DELTA).cast("tinyint").alias("event_kind"), F.col("l.hash").alias("source_event_id"), "pos", side_code(F.col("l.side")).alias("side"), F.col("l.price").alias("price_text"), F.col("l.size").alias("size_text"))
-    flat = snaps.unionByName(changes.where("side is not null")).withColumns({"price": price_from_text(F.col("price_text")), "size": size_from_text(F.col("size_text"))})
-    bad = F.min(F.when(F.col("price").isNull() | F.col("size").isNull(), F.col("pos"))).over(Window.partitionBy("arrival"))
-    return flat.withColumn("bad", bad).where(F.col("bad").isNull() | (F.col("pos") < F.col("bad"))).drop("bad", "price_text", "size_text")
+    snaps = F.concat(*[F.transform(f"m.{name}", level(SNAPSHOT, lambda x, s=side: F.lit(s), lambda x: asset, lambda x: hashed)) for name, side in (("bids", BID), ("asks", ASK))])
+    changes = F.filter(F.transform("m.price_changes", level(DELTA, lambda x: side_code(x["side"]), lambda x: x["asset_id"], lambda x: x["hash"])), lambda x: x["side"].isNotNull())
+    # a generator keeps the list from being built anew for each of its uses
+    listed = F.when(F.col("m.event_type") == "book", snaps).when(F.col("m.event_type") == "price_change", changes)
+    rows = rows.select("arrival", "recv_timestamp_us", "exchange_timestamp_us", "session_id", F.explode(F.array(listed)).alias("l"))
+    bad = F.array_min(F.filter(F.transform("l", lambda x, i: F.when(x["price"].isNull() | x["size"].isNull(), i)), lambda i: i.isNotNull()))
+    kept = F.slice("l", F.lit(1), F.coalesce(bad, F.size("l")))
+    flat = rows.select("arrival", "recv_timestamp_us", "exchange_timestamp_us", "session_id", F.posexplode(kept).alias("pos", "x")).select("*", "x.*").drop("x")
+    return flat.join(books.where("stale").select("arrival"), "arrival", "left_anti")
 
 
 def numbered(levels: DataFrame, books: DataFrame) -> DataFrame:
@@ -171,7 +187,7 @@ def normalize(messages: DataFrame) -> Normalized:
     books = book_messages(rows)
     levels = numbered(level_rows(books, rows), books)
     events = levels.withColumn("source", F.lit("websocket")).withColumnRenamed("session_id", "source_session_id")
-    stale = _ingest(books.where("stale"), F.col("asset_id"), F.lit("stale_snapshot_skip"), F.col("exchange_timestamp_us"), F.col("m.hash"), stale_text(F.col("exchange_timestamp_us"), F.col("latest")))
+    stale = _ingest(books.where("stale"), F.col("asset_id"), F.lit("stale_snapshot_skip"), F.col("exchange_timestamp_us"), F.col("source_event_id"), stale_text(F.col("exchange_timestamp_us"), F.col("latest")))
     return Normalized(events.select([f.name for f in DATASETS["book_events"].fields]), trade_rows(rows), stale.unionByName(lifecycle_rows(messages)))
 
 

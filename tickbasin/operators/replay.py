@@ -23,6 +23,8 @@ from ..schemas import DELTA, MODES, SNAPSHOT
 from . import book
 
 HOUR_US = 3_600_000_000
+#: Time of a bucket in which an as-of join orders stamps and points.
+ASOF_BUCKET_US = 6 * HOUR_US
 POINT = ["query_id", "asset_id"]
 
 
@@ -71,25 +73,52 @@ def at_points(events: DataFrame, points: DataFrame, lookback_us: int | None) ->
     return dealt.join(near, ["asset_id", "bucket"]).where(recv.between(start, at)).drop("bucket")
 
 
+def nearest(stamps: DataFrame, points: DataFrame, inclusive: bool, forward: bool = False) -> DataFrame:
+    """As-of join of stamps (asset_id, ts): points with the last ts at or before them (forward: the first at or after), equal ones only if inclusive.
+
+    Stamps and points are one table, ordered within buckets of time, and a
+    bucket without an earlier stamp takes the last one of the buckets before,
+    which is one small row each.  So no stamp meets all points of its asset, and
+    a hot asset is shared by as many tasks as it has buckets.  Points without
+    such a stamp are left out.
+    """
+    sign = -1 if forward else 1
+    bucket = F.floor(F.col("t") / F.lit(ASOF_BUCKET_US)).cast("long")
+    # of equal times what comes first: the stamps, if they count for the points
+    first, second = (0, 1) if inclusive else (1, 0)
+    known = stamps.select("asset_id", (F.col("ts") * sign).alias("t")).distinct().select("asset_id", "t", F.lit(first).alias("turn"), F.col("t").alias("stamp"))
+    asked = points.select("query_id", "asset_id", "at_us", (F.col("at_us") * sign).alias("t"), F.lit(second).alias("turn"), F.lit(True).alias("asked"))
+    both = known.unionByName(asked, allowMissingColumns=True).withColumn("bucket", bucket)
+    inside = Window.partitionBy("asset_id", "bucket").orderBy("t", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    local = both.withColumn("own", F.max("stamp").over(inside)).where("asked")
+    ends = both.groupBy("asset_id", "bucket").agg(F.max("stamp").alias("end"))
+    earlier = F.max("end").over(Window.partitionBy("asset_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    found = local.join(ends.select("asset_id", "bucket", earlier.alias("carried")), ["asset_id", "bucket"]).withColumn("stamp", F.coalesce("own", "carried"))
+    return found.where("stamp is not null").select(*POINT, "at_us", (F.col("stamp") * sign).alias("ts"))
+
+
+def _stamped(checkpoints: DataFrame) -> DataFrame:
+    return checkpoints.select("asset_id", F.col("checkpoint_timestamp_us").alias("ts"))
+
+
 def checkpoint_at(checkpoints: DataFrame, points: DataFrame, inclusive: bool = True) -> DataFrame:
     """As-of join: every point's latest checkpoint at (or strictly before) it, as columns cp_ts, cp_bids and cp_asks.
 
-    Candidates are reduced by the aggregate's map side; of equal stamps the one
-    received last counts.
+    Only stamps are searched; the levels of those found are fetched by key.  Of
+    equal stamps the one received last counts.
     """
-    ts = F.col("checkpoint_timestamp_us")
-    before = ts <= F.col("at_us") if inclusive else ts < F.col("at_us")
-    slim = checkpoints.select("asset_id", ts, F.struct(ts, "recv_timestamp_us", "bids_json", "asks_json").alias("cp"))
-    found = points.join(slim, "asset_id").where(before).groupBy(*POINT).agg(F.max("cp").alias("cp"))
-    return found.select(*POINT, F.col("cp.checkpoint_timestamp_us").alias("cp_ts"), levels_from_json(F.col("cp.bids_json")).alias("cp_bids"), levels_from_json(F.col("cp.asks_json")).alias("cp_asks"))
+    found = nearest(_stamped(checkpoints), points, inclusive).select(*POINT, "ts")
+    payload = checkpoints.select("asset_id", F.col("checkpoint_timestamp_us").alias("ts"), F.struct("recv_timestamp_us", "bids_json", "asks_json").alias("cp"))
+    joined = found.join(payload, ["asset_id", "ts"]).groupBy(*POINT, "ts").agg(F.max("cp").alias("cp"))
+    return joined.select(*POINT, F.col("ts").alias("cp_ts"), levels_from_json(F.col("cp.bids_json")).alias("cp_bids"), levels_from_json(F.col("cp.asks_json")).alias("cp_asks"))
 
 
 def checkpoint_after(checkpoints: DataFrame, points: DataFrame, lookback_us: int = HOUR_US) -> DataFrame:
-    """As-of join forward: every point's first checkpoint strictly after it and within the lookback."""
-    ts = F.col("checkpoint_timestamp_us")
-    slim = checkpoints.select("asset_id", ts, F.struct(ts, "recv_timestamp_us", "bids_json", "asks_json").alias("ref"))
-    found = points.join(slim, "asset_id").where((ts > F.col("at_us")) & (ts <= F.col("at_us") + lookback_us)).groupBy(*POINT, "at_us").agg(F.min("ref").alias("ref"))
-    return found.select(*POINT, "at_us", F.col("ref.checkpoint_timestamp_us").alias("ref_ts"), levels_from_json(F.col("ref.bids_json")).alias("ref_bids"), levels_from_json(F.col("ref.asks_json")).alias("ref_asks"))
+    """As-of join forward: every point's first checkpoint strictly after it and within the lookback; of equal stamps the one received first."""
+    found = nearest(_stamped(checkpoints), points, False, forward=True).where(F.col("ts") <= F.col("at_us") + lookback_us)
+    payload = checkpoints.select("asset_id", F.col("checkpoint_timestamp_us").alias("ts"), F.struct("recv_timestamp_us", "bids_json", "asks_json").alias("ref"))
+    joined = found.join(payload, ["asset_id", "ts"]).groupBy(*POINT, "at_us", "ts").agg(F.min("ref").alias("ref"))
+    return joined.select(*POINT, "at_us", F.col("ts").alias("ref_ts"), levels_from_json(F.col("ref.bids_json")).alias("ref_bids"), levels_from_json(F.col("ref.asks_json")).alias("ref_asks"))
 
 
 def _max_key(condition: Column) -> Column:
@@ -180,12 +209,13 @@ def continuity(replay: Replay, ingest: DataFrame, lookback_us: int | None = HOUR
     recv, at = F.col("recv_timestamp_us"), F.col("at_us")
     low = F.lit(0) if lookback_us is None else F.greatest(at - lookback_us, F.lit(0))
     points = replay.points
-    own = ingest.where("asset_id is not null").withColumnRenamed("asset_id", "event_asset").join(points, F.col("event_asset") == F.col("asset_id"))
-    # global events concern every point in time reach: by time bucket, never all with all
+    # by time bucket, so no event meets all points of its asset, and global events not all points
     step = lookback_us or 24 * HOUR_US
-    of_all = ingest.where("asset_id is null").withColumnRenamed("asset_id", "event_asset").withColumn("bucket", F.call_function("div", recv, F.lit(step)))
+    dealt = ingest.withColumnRenamed("asset_id", "event_asset").withColumn("bucket", F.call_function("div", recv, F.lit(step)))
     reach = points.withColumn("bucket", F.explode(F.sequence(F.call_function("div", low, F.lit(step)), F.call_function("div", at, F.lit(step)))))
-    stored = own.unionByName(of_all.join(reach, "bucket").drop("bucket")).where(recv.between(low, at))
+    own = dealt.where("event_asset is not null").withColumn("asset_id", F.col("event_asset")).join(reach, ["asset_id", "bucket"]).drop("bucket")
+    of_all = dealt.where("event_asset is null").join(reach, "bucket").drop("bucket")
+    stored = own.unionByName(of_all).where(recv.between(low, at))
     columns = ["query_id", "asset_id", "event_asset", "event_kind", "recv_timestamp_us", "exchange_timestamp_us", "expected_sequence", "observed_sequence", "details", "source_event_id"]
     found = gaps(replay).withColumn("event_asset", F.col("asset_id"))
     both = stored.select(*columns, F.lit(0).alias("late")).unionByName(found.select(*columns, F.lit(1).alias("late")))
