@@ -137,3 +137,49 @@ def test_random_against_loop(spark, mode, with_checkpoint):
             assert books.get(case, {}) == expected[0]
             assert heads[case] == (expected[1], expected[2])
             assert sorted(found.get(case, [])) == sorted(expected[3])
+
+
+def test_nearest_stamps_of_a_hot_asset(spark):
+    """Forward and backward, inclusive and strict, against a search in the sorted stamps; one asset holds nearly all, in many buckets."""
+    import bisect
+    import random
+
+    from tickbasin.operators import replay
+
+    rng = random.Random(4)
+    span = 40 * replay.ASOF_BUCKET_US
+    stamps = {"hot": sorted(rng.randrange(span) for _ in range(3000)), "cold": [5, 5, 7], "none": []}
+    asked = [(k, "hot", rng.choice([rng.randrange(span), rng.choice(stamps["hot"])])) for k in range(800)] + [(900 + k, "cold", k) for k in range(10)] + [(990, "none", 3)]
+    known = spark.createDataFrame([(a, t) for a, ts in stamps.items() for t in ts], "asset_id string, ts long")
+    points = spark.createDataFrame(asked, "query_id long, asset_id string, at_us long")
+    for forward in (False, True):
+        for inclusive in (True, False):
+            want = {}
+            for q, a, at in asked:
+                ts = stamps[a]
+                k = (bisect.bisect_left if inclusive else bisect.bisect_right)(ts, at) if forward else (bisect.bisect_right if inclusive else bisect.bisect_left)(ts, at) - 1
+                if 0 <= k < len(ts):
+                    want[q] = ts[k]
+            got = replay.nearest(known, points, inclusive, forward).collect()
+            assert len(got) == len(want) and {r.query_id: r.ts for r in got} == want
+
+
+def test_workbench_runs_listed_things_only(spark):
+    import pytest
+
+    from tickbasin.errors import BadRequest
+    from tickbasin.plans import workbench
+
+    spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string").createOrReplaceTempView("listed_view")
+    for sql, n in (
+        ("select k, upper(v) u from listed_view where k > 1 order by k limit 5", 1), ("with w as (select max(k) m from listed_view) select * from w join listed_view on k = m", 1), ("select v, count(*) c from listed_view group by v having count(*) > 0", 2),
+        ("select * from listed_view where k in (select k from listed_view where k = 1)", 1), ("select k, row_number() over (order by k) r from listed_view union all select 3, 3", 3), ("select explode(array(1, 2, 3)) x", 3), ("select (select max(k) from listed_view) m", 1),
+    ):
+        assert workbench.run(spark, sql)["row_count"] == n, sql
+    for sql in (
+        "select * from parquet.`/root/testdata/sf0.001/region.parquet`", "select reflect('java.lang.System', 'getProperty', 'user.home')", "select java_method('java.lang.System', 'exit', '0')", "select * from unknown_table", "select * from default.listed_view",
+        "drop view listed_view", "create table t as select 1", "insert into listed_view values (3, 'c')", "set spark.sql.ansi.enabled=false", "select * from range(10)", "show tables", "select * from listed_view where k in (select k from csv.`/etc/passwd`)",
+        "with w as (select * from text.`/etc/passwd`) select * from w", "select (select value from text.`/etc/passwd` limit 1)", "select transform(k) using 'cat' from listed_view", "select system.builtin.reflect('a', 'b')", "select 1; select 2", "select exists(select * from text.`/etc/passwd`)",
+    ):
+        with pytest.raises(BadRequest):
+            workbench.guarded(spark, sql)
