@@ -182,7 +182,7 @@ def packed(docs: DataFrame, model: str, id_col: str, text_col: str, sizes: tuple
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, shards = Counter(shipped.value), Shards(sizes, TaskContext.get().partitionId() << 32)
-        for part in (part for whole in batches for batch in slices(whole) for part in pieces(batch, counter, max(sizes))):
+        for part in (part for whole in batches for batch in slices(whole, 4000) for part in pieces(batch, counter, max(sizes))):
             if len(part):
                 for shard in shards.add(part):
                     yield from shape(shard)

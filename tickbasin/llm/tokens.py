@@ -34,7 +34,7 @@ UNKNOWN_COST = 10.0
 LOWEST = float("-inf")
 GAP = "\0"
 #: Distinct words whose counts a worker keeps; the longest word kept and counted along with others; words counted at once.
-KEPT_WORDS, KEPT_LENGTH, AT_ONCE = 200_000, 64, 20_000
+KEPT_WORDS, KEPT_LENGTH, AT_ONCE = 500_000, 64, 20_000
 
 
 def read_vocabulary(model: str | bytes) -> list[tuple[str, float]]:
