@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -185,6 +186,11 @@ def slices(batch, rows: int = 1000) -> Iterator:
         yield batch[at : at + rows]
 
 
+def release_memory() -> None:
+    """Gives Arrow's unused memory back to the system: Python workers live on from one job to the next."""
+    pa.default_memory_pool().release_unused()
+
+
 def text_or_empty(column: str) -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

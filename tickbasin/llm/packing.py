@@ -23,13 +23,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import release_memory, slices
 from .tokens import MARK, Counter, read_vocabulary
 
 #: Permitted sequence lengths in tokens.
 SIZES = (512, 1024, 2048, 4096)
 #: Pieces packed together at most, and the bytes of text at which a shard is closed.
-SHARD, SHARD_BYTES = 20_000, 24 << 20
+SHARD, SHARD_BYTES = 20_000, 8 << 20
 
 
 def cost(size: int) -> float:
@@ -181,13 +181,15 @@ def packed(docs: DataFrame, model: str, id_col: str, text_col: str, sizes: tuple
     shipped = docs.sparkSession.sparkContext.broadcast(read_vocabulary(model))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         counter, shards = Counter(shipped.value), Shards(sizes, TaskContext.get().partitionId() << 32)
-        for part in (part for whole in batches for batch in slices(whole, 4000) for part in pieces(batch, counter, max(sizes))):
+        for part in (part for whole in batches for batch in slices(whole) for part in pieces(batch, counter, max(sizes))):
             if len(part):
                 for shard in shards.add(part):
                     yield from shape(shard)
         if shards.n:
             yield from shape(shards.close())
+        release_memory()
 
     read = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return read.mapInArrow(rows, schema)

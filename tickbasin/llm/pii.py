@@ -20,9 +20,12 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release_memory, slices
+
 KINDS = ("email", "ip", "card", "phone")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -316,9 +319,11 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
     """
     from pyspark.sql import types as T
 
-    @F.pandas_udf(T.StringType())
-    def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None else redacted(t, spans_of(t)[1]))
+    @F.arrow_udf(T.StringType())
+    def clean(texts: pa.Array) -> pa.Array:
+        parts = [pa.array([t if t is None else redacted(t, spans_of(t)[1]) for t in part.to_pylist()], texts.type) for part in slices(texts)]
+        release_memory()
+        return pa.concat_arrays(parts) if parts else texts
 
     out = docs.withColumn(text_col, clean(F.col(text_col)))
     if length_col and length_col in docs.columns:
