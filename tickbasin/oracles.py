@@ -98,6 +98,14 @@ LIVE = [
     "lb as (select asset_id, max(grp) as base from lh where event_kind = 1 group by 1)",
     "ll as (select h.asset_id, side, price, arg_max(size, arrival) as size from lh h left join lb on lb.asset_id = h.asset_id where (base is null or grp >= base) and (size > 0 or event_kind = 2) group by all having arg_max(size, arrival) > 0)",
 ]
+# every event against all rows of its book before it
+AFTER_EACH = """select asset_id, arrival, best_bid, best_bid_size, best_ask, best_ask_size, bid_depth, ask_depth, (b + a) / 2 as mid, a - b as spread, case when bs + az = 0 then (b + a) / 2 else (b * az + a * bs) / (bs + az) end as weighted_mid from (
+ select *, best_bid / 10000.0::double as b, best_ask / 10000.0::double as a, best_bid_size / 1000000.0::double as bs, best_ask_size / 1000000.0::double as az from (
+  select e.asset_id, e.arrival, max(price) filter (side = 1) as best_bid, arg_max(size, price) filter (side = 1) as best_bid_size, min(price) filter (side = 2) as best_ask, arg_min(size, price) filter (side = 2) as best_ask_size,
+   count(*) filter (side = 1) as bid_depth, count(*) filter (side = 2) as ask_depth from (select asset_id, arrival from lh) e left join (
+    select e.asset_id, e.at, h.side, h.price, arg_max(h.size, h.arrival) as size from (select asset_id, arrival as at, coalesce(max(case when event_kind = 1 then grp end) over (partition by asset_id order by arrival), 0) as base from lh) e
+    join lh h on h.asset_id = e.asset_id and h.arrival <= e.at and h.grp >= e.base and (h.size > 0 or h.event_kind = 2) group by all having arg_max(h.size, h.arrival) > 0
+   ) l on l.asset_id = e.asset_id and l.at = e.arrival group by all))"""
 DISCOVERY = "dc as (select cast(c_custkey as varchar) as id, c_name as title, c_mktsegment as seg, c_custkey as key from customer)"
 STATES = "select asset_id, arg_max(recv_timestamp_us, arrival) as last_recv_timestamp_us, arg_max(exchange_timestamp_us, arrival) as last_exchange_timestamp_us, arg_max(coalesce(sequence, 0), arrival) as sequence, bool_or(event_kind = 1) as has_book from be group by 1"
 
@@ -166,6 +174,7 @@ def oracle_sql() -> dict[str, str]:
         "latest_warnings": sql(IE, select="select asset_id, arg_max(event_kind, arrival) as kind, arg_max(recv_timestamp_us, arrival) as recv_timestamp_us, arg_max(details, arrival) as details from ie group by 1"),
         "live_snapshot_groups": sql(BE, *LIVE[:2], select='select asset_id, grp as "group", count(*) as n, min(arrival) as first_arrival, max(arrival) as last_arrival from lh where event_kind = 1 group by all'),
         "live_books": sql(BE, *LIVE, select="select asset_id, side, price, size from ll"),
+        "book_after_each_event": sql(BE, *LIVE[:2], select=AFTER_EACH),
         "live_book_stream": sql(BE, *LIVE, select="select asset_id, side, price, size from ll"),
         "live_snapshot": sql(BE, *LIVE, select=f"select s.asset_id, s.sequence, s.last_recv_timestamp_us as last_update_us, max(price) filter (side = 1) as best_bid, min(price) filter (side = 2) as best_ask, count(*) filter (side = 1) as bid_depth, count(*) filter (side = 2) as ask_depth, {NOW_US} - s.last_recv_timestamp_us > 3600000000 as stale from ({STATES}) s join ll on ll.asset_id = s.asset_id where s.asset_id = 'A3' group by all"),
         "market_buckets_5m": sql(select="select ts_us // 1000000 - ts_us // 1000000 % 300 as bucket, 'btc-updown-5m-' || (ts_us // 1000000 - ts_us // 1000000 % 300) as slug, count(*) as n from ev group by all"),

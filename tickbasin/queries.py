@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import codecs, fixedpoint
-from .operators import book, execution, integrity, live, markets, normalize, replay
+from .operators import book, execution, integrity, live, markets, normalize, replay, timeline
 from .sources import feed, storage, views
 
 DAY_US = 86_400_000_000
@@ -302,6 +302,11 @@ def live_books(spark, folder):
     return live.live_books(_arrivals(views.book_events(spark, folder))).select("asset_id", F.col("side").cast("int").alias("side"), "price", "size")
 
 
+def book_after_each_event(spark, folder):
+    """Top of the live book and depths after every book event."""
+    return timeline.book_after_events(_arrivals(views.book_events(spark, folder)))
+
+
 def live_snapshot_groups(spark, folder):
     """Snapshot rows that are one snapshot, as counts by group."""
     rows = live.snapshot_groups(_arrivals(views.book_events(spark, folder))).where("event_kind = 1")
