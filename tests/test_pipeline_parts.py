@@ -207,6 +207,38 @@ def test_workbench(spark):
         workbench.run(spark, "select 1", enabled=False)
 
 
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "select IDENTIFIER('java_method')('java.lang.System','getProperty','user.home') from numbers", "select IDENTIFIER('java' || '_method')('java.lang.System','getProperty','user.home') from numbers",
+        "select IDENTIFIER(concat('java','_method'))('java.lang.System','getenv','HOME') from numbers", "select row_number() over w from numbers window w as (order by java_method('java.lang.System','getProperty','user.home'))",
+        "select row_number() over (partition by reflect('java.lang.System','getProperty','user.home') order by id) from numbers", "select * from IDENTIFIER('numbers')", "select * from parquet.`/tmp`", "select * from range(5)",
+        "select (select max(java_method('java.lang.System','getProperty','user.home')) from numbers)", "select filter(array(1), x -> java_method('java.lang.System','getProperty','user.home') = 'a') from numbers",
+        "select id from numbers where exists (select 1 from numbers where try_reflect('java.lang.System','getProperty','user.home') is null)", "from numbers |> select java_method('java.lang.System','getProperty','user.home')",
+        "select id from numbers order by java_method('java.lang.System','getProperty','user.home')", "select sum(id) from numbers group by reflect('a','b')", "select session.f(id) from numbers",
+    ],
+)
+def test_workbench_refuses(spark, sql):
+    spark.range(30).createOrReplaceTempView("numbers")
+    with pytest.raises(BadRequest):
+        workbench.run(spark, sql)
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "select id, row_number() over w as r, sum(id) over (partition by id % 2 order by id rows between 1 preceding and current row) from numbers window w as (order by id desc)", "select id % 3 as k, count(*) filter (where id > 4), avg(id) from numbers group by 1 having count(*) > 1 order by k limit 5 offset 1",
+        "with a as (select id from numbers where id between 3 and 9), b as (select id + 1 as id from a) select a.id, b.id from a left join b on a.id = b.id where a.id in (select id from numbers) and not exists (select 1 from b where b.id = a.id + 100)",
+        "select case when id > 3 then 'x' else null end, cast(id as string) like '1%', id::string rlike '2', transform(array(id, 2), x -> x + 1), named_struct('a', id).a, array(id)[0], -id, coalesce(null, id) is not null, (select max(id) from numbers) from numbers",
+        "select distinct id from numbers union all select 7 except select 3", "select e from numbers lateral view explode(array(id, id)) as e", "select id, k, count(*) from (select id, id % 2 as k from numbers) group by rollup (id, k)", "select * from (values (1), (2)) t(x) join numbers on x = id",
+    ],
+)
+def test_workbench_allows(spark, tmp_path, sql):
+    spark.range(30).write.mode("overwrite").parquet(str(tmp_path / "n"))
+    spark.read.parquet(str(tmp_path / "n")).createOrReplaceTempView("numbers")
+    assert workbench.run(spark, sql)["row_count"] > 0
+
+
 def test_discovery(spark):
     text = json.dumps([{"id": "1", "title": "Bitcoin up", "markets": [{"id": "m", "question": "Will it?", "clobTokenIds": "[\"tok1\",\"tok2\"]"}]}, {"id": "2", "title": None, "markets": [{"id": "n", "question": "BITCOIN?", "clobTokenIds": " a , b,"}]}, {"id": "3", "title": "x"}])
     df = markets.parse_events(spark.createDataFrame([(text,)], "text string"))

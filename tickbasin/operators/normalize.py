@@ -101,12 +101,11 @@ def book_messages(rows: DataFrame) -> DataFrame:
     return placed.withColumn("stale", F.coalesce((ts > 0) & (ts <= F.col("latest")), F.lit(False))).drop("bucket", "stamp", "carried")
 
 
-def level_rows(books: DataFrame, rows: DataFrame) -> DataFrame:
-    """Level changes of accepted snapshots and price changes before numbering: one row per level, in message order.
+def cut_levels(rows: DataFrame) -> DataFrame:
+    """Adds l, the level changes of each message in its order, and takes m away.
 
     Changes of an unknown side are skipped; the first bad price or size cuts
-    the rest of its message.  Both are found in the message's own array, and of
-    the books only the few stale ones meet the messages.
+    the rest of its message.  Both are found in the message's own array.
     """
     asset, hashed = F.col("m.asset_id"), F.col("m.hash")
 
@@ -120,10 +119,17 @@ def level_rows(books: DataFrame, rows: DataFrame) -> DataFrame:
     changes = F.filter(F.transform("m.price_changes", level(DELTA, lambda x: side_code(x["side"]), lambda x: x["asset_id"], lambda x: x["hash"])), lambda x: x["side"].isNotNull())
     # a generator keeps the list from being built anew for each of its uses
     listed = F.when(F.col("m.event_type") == "book", snaps).when(F.col("m.event_type") == "price_change", changes)
-    rows = rows.select("arrival", "recv_timestamp_us", "exchange_timestamp_us", "session_id", F.explode(F.array(listed)).alias("l"))
-    bad = F.array_min(F.filter(F.transform("l", lambda x, i: F.when(x["price"].isNull() | x["size"].isNull(), i)), lambda i: i.isNotNull()))
-    kept = F.slice("l", F.lit(1), F.coalesce(bad, F.size("l")))
-    flat = rows.select("arrival", "recv_timestamp_us", "exchange_timestamp_us", "session_id", F.posexplode(kept).alias("pos", "x")).select("*", "x.*").drop("x")
+    rows = rows.select("*", F.explode(F.array(listed)).alias("all"))
+    bad = F.array_min(F.filter(F.transform("all", lambda x, i: F.when(x["price"].isNull() | x["size"].isNull(), i)), lambda i: i.isNotNull()))
+    return rows.withColumn("l", F.slice("all", F.lit(1), F.coalesce(bad, F.size("all")))).drop("all")
+
+
+def level_rows(books: DataFrame, rows: DataFrame) -> DataFrame:
+    """Level changes of accepted snapshots and price changes before numbering: one row per level, in message order.
+
+    Of the books only the few stale ones meet the messages.
+    """
+    flat = cut_levels(rows).select("arrival", "recv_timestamp_us", "exchange_timestamp_us", "session_id", F.posexplode("l").alias("pos", "x")).select("*", "x.*").drop("x")
     return flat.join(books.where("stale").select("arrival"), "arrival", "left_anti")
 
 
@@ -170,13 +176,18 @@ def _ingest(rows: DataFrame, asset: Column, kind: Column, exchange: Column, even
     )
 
 
-def trade_rows(rows: DataFrame) -> DataFrame:
-    """Trades; one with a bad price or size is dropped, an unknown side is null."""
+def priced_trades(rows: DataFrame) -> DataFrame:
+    """Trade messages with price, size, side and fidelity; one with a bad price or size is dropped, an unknown side is null."""
     t = rows.where(F.col("m.event_type") == "last_trade_price").withColumns({"price": price_from_text(F.col("m.price")), "size": size_from_text(F.col("m.size")), "side": side_code(F.col("m.side"))})
     t = t.where(F.col("price").isNotNull() & (F.col("m.size").isNull() | F.col("size").isNotNull()))
     full = F.col("size").isNotNull() & F.col("side").isNotNull()
-    return t.select(
-        "recv_timestamp_us", "exchange_timestamp_us", F.col("m.asset_id").alias("asset_id"), "price", "size", "side", F.col("m.transaction_hash").alias("trade_id"), F.when(full, "full").otherwise("partial").alias("fidelity"),
+    return t.withColumn("fidelity", F.when(full, "full").otherwise("partial"))
+
+
+def trade_rows(rows: DataFrame) -> DataFrame:
+    """Trades as trade_events rows."""
+    return priced_trades(rows).select(
+        "recv_timestamp_us", "exchange_timestamp_us", F.col("m.asset_id").alias("asset_id"), "price", "size", "side", F.col("m.transaction_hash").alias("trade_id"), "fidelity",
         F.lit(None).cast("long").alias("sequence"), F.lit("websocket").alias("source"), F.col("m.transaction_hash").alias("source_event_id"), F.col("session_id").alias("source_session_id"),
     )
 

@@ -91,6 +91,9 @@ FEED = [
     "nm as (select *, row_number() over (partition by asset_id, epoch order by msg, pos) - 1 as seq from ep)",
 ]
 NORMAL = "select recv_timestamp_us, ex as exchange_timestamp_us, asset_id, event_kind, side, price, size, seq as sequence, 'h' || msg as source_event_id"
+ROUTED_INGEST = f"""select asset_id, recv as recv_timestamp_us, ex as exchange_timestamp_us, 'stale_snapshot_skip' as event_kind, 'snapshot exchange timestamp ' || ex || ' <= latest accepted ' || latest as details, 'h' || msg as source_event_id, {SESSION.format(a='st.msg')} as source_session_id from st where stale
+ union all select null, recv_timestamp_us, 0, event_kind, details, null, source_session_id from ie where event_kind in ('reconnect_start', 'reconnect_success')
+ union all select null, recv_timestamp_us, 0, 'source_reset', 'connection re-established; downstream readers should treat continuity as reset', null, source_session_id from ie where event_kind = 'reconnect_success'"""
 TRADES = f"tr as (select *, {STAMP.format(n='arrival', r='recv_timestamp_us')} as ex from te where arrival % 37 <> 0)"
 LIVE = [
     "lg as (select *, case when event_kind = 1 and (event_kind, recv_timestamp_us, exchange_timestamp_us, source_event_id) = lag((event_kind, recv_timestamp_us, exchange_timestamp_us, source_event_id)) over (partition by asset_id order by arrival) then 0 else 1 end as new from be)",
@@ -168,6 +171,13 @@ def oracle_sql() -> dict[str, str]:
         "ws_metrics_counts": sql(BE, TE, IE, *FEED, select="""select * from (select 'messages_received' as metric, 'book' as label, count(*) as n from st union all select 'messages_received', 'price_change', count(*) from ms where event_kind = 2 union all select 'messages_received', 'last_trade_price', count(*) from te
  union all select 'snapshots_reconciled', '', count(*) from st where not stale union all select 'stale_snapshots_skipped', '', count(*) from st where stale union all select 'snapshots_applied', '', count(*) from nm where event_kind = 1 union all select 'deltas_applied', '', count(*) from nm where event_kind = 2
  union all select 'trades_received', '', count(*) from te where arrival % 37 <> 0 union all select 'reconnections', '', count(*) from ie where event_kind = 'reconnect_success') where n > 0"""),
+        "routed_book_events": sql(BE, IE, *FEED, select=f"{NORMAL}, {SESSION.format(a='nm.msg')} as source_session_id from nm"),
+        "routed_trades": sql(TE, IE, TRADES, select=f"select asset_id, recv_timestamp_us, ex as exchange_timestamp_us, price, size, side, trade_id, fidelity, {SESSION.format(a='tr.arrival')} as source_session_id from tr"),
+        "routed_ingest": sql(BE, IE, *FEED, select=f"select * from ({ROUTED_INGEST})"),
+        "routed_datasets": sql(BE, TE, IE, CP, RV, XE, *FEED, TRADES, select=" union all ".join(f"select '{d}' as dataset, count(*) as n, min({c}) as first_us, max({c}) as last_us from {t}" for d, c, t in (
+            ("book_events", "recv_timestamp_us", "nm"), ("trade_events", "recv_timestamp_us", "tr"), ("ingest_events", "recv_timestamp_us", f"({ROUTED_INGEST})"),
+            ("book_checkpoints", "checkpoint_timestamp_us", "(select distinct asset_id, checkpoint_timestamp_us from cp)"), ("replay_validations", "persisted_at_us", "rv"), ("execution_events", "event_timestamp_us", "xe")))),
+        "repeated_append": sql(RV, select="select asset_id, mode, count(*) as n, cast(sum(persisted_at_us) as bigint) as stamps from rv group by all"),
         "active_assets_status": sql(BE, select=f"select 'A' || i as asset_id, last_recv_timestamp_us, last_exchange_timestamp_us, (last_recv_timestamp_us is null or {NOW_US} - last_recv_timestamp_us > 43200000000) as stale, coalesce(has_book, false) as has_book from range(12) t(i) left join ({STATES}) s on s.asset_id = 'A' || i"),
         "retained_state": sql(BE, select=f"select asset_id, last_recv_timestamp_us, sequence, has_book from ({STATES}) where asset_id in ('A3', 'A4', 'A5')"),
         "session_status": sql(IE, select="select case arg_max(event_kind, arrival) filter (event_kind in ('reconnect_start', 'reconnect_success')) when 'reconnect_start' then 'reconnecting' when 'reconnect_success' then 'connected' else 'starting' end as session_status, arg_max(source_session_id, arrival) filter (event_kind = 'reconnect_success') as current_session_id from ie"),

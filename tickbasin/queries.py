@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sample_feed
 from .functions import codecs, fixedpoint
 from .operators import book, execution, integrity, live, markets, normalize, replay, timeline
-from .sources import feed, storage, views
+from .schemas import PARTITION_TIME
+from .sources import feed, ledger, storage, views
 
 DAY_US = 86_400_000_000
 #: The times (query_id, at_us) of the books that the replay queries rebuild, for every asset, and their lookback.
@@ -31,13 +33,6 @@ def _replay(spark: SparkSession, folder: str, mode: str = "recv_time", checkpoin
     return replay.reconstruct(views.book_events(spark, folder), points(spark), mode, LOOKBACK_US, cps)
 
 
-def _messages(spark: SparkSession, folder: str) -> DataFrame:
-    """The test feed as stored messages: written once, then read by every part of the plan."""
-    path = feed.scratch(spark, "messages")
-    feed.test_messages(spark, folder).write.parquet(path)
-    return spark.read.schema(feed.SCHEMA).parquet(path)
-
-
 def _levels(df: DataFrame) -> DataFrame:
     return df.select("query_id", "asset_id", F.col("side").cast("int").alias("side"), "price", "size")
 
@@ -255,27 +250,27 @@ def partition_counts(spark, folder):
 
 
 def normalize_sequences(spark, folder):
-    n = normalize.normalize(_messages(spark, folder))
+    n = normalize.normalize(sample_feed.written_messages(spark, folder))
     return n.book_events.select("recv_timestamp_us", "exchange_timestamp_us", "asset_id", F.col("event_kind").cast("int").alias("event_kind"), F.col("side").cast("int").alias("side"), "price", "size", "sequence", "source_event_id", "source_session_id")
 
 
 def normalize_stale(spark, folder):
-    n = normalize.normalize(_messages(spark, folder)).ingest_events
+    n = normalize.normalize(sample_feed.written_messages(spark, folder)).ingest_events
     return n.where("event_kind = 'stale_snapshot_skip'").select("asset_id", "recv_timestamp_us", "exchange_timestamp_us", "details", "source_event_id")
 
 
 def normalize_trades(spark, folder):
-    n = normalize.normalize(_messages(spark, folder)).trade_events
+    n = normalize.normalize(sample_feed.written_messages(spark, folder)).trade_events
     return n.select("asset_id", "recv_timestamp_us", "exchange_timestamp_us", "price", "size", F.col("side").cast("int").alias("side"), "trade_id", "fidelity", "source_session_id")
 
 
 def lifecycle_expand(spark, folder):
-    n = normalize.normalize(_messages(spark, folder)).ingest_events
+    n = normalize.normalize(sample_feed.written_messages(spark, folder)).ingest_events
     return n.where("asset_id is null").select("recv_timestamp_us", "event_kind", "details", "source_session_id")
 
 
 def ws_metrics_counts(spark, folder):
-    return normalize.metric_counts(_messages(spark, folder))
+    return normalize.metric_counts(sample_feed.written_messages(spark, folder))
 
 
 def active_assets_status(spark, folder):
@@ -384,10 +379,63 @@ def normalize_stream(spark, folder):
     """The streaming normalizer's book rows after all messages have arrived."""
     from .streaming import books
 
-    n = books.stream_normalized(_messages(spark, folder))
+    n = books.stream_normalized(sample_feed.written_messages(spark, folder))
     return n.select("recv_timestamp_us", "exchange_timestamp_us", "asset_id", F.col("event_kind").cast("int").alias("event_kind"), F.col("side").cast("int").alias("side"), "price", "size", "sequence", "source_event_id")
 
 
+def _routed(spark, folder, **others):
+    """The base of the datasets to which one stream of the test feed has been routed."""
+    from .streaming import route
+
+    base = f"{feed.scratch(spark, 'routed')}"
+    stream = route.fan_in(sample_feed.staged(sample_feed.messages(spark, folder)), **others)
+    route.route(stream, base, feed.scratch(spark, "route-checkpoint"), available_now=True).awaitTermination()
+    return base
+
+
+def routed_book_events(spark, folder):
+    """Book events that one stream of all messages committed, with the session that its state carried."""
+    rows = ledger.read(spark, _routed(spark, folder), "book_events")
+    return rows.select("recv_timestamp_us", "exchange_timestamp_us", "asset_id", F.col("event_kind").cast("int").alias("event_kind"), F.col("side").cast("int").alias("side"), "price", "size", "sequence", "source_event_id", "source_session_id")
+
+
+def routed_trades(spark, folder):
+    rows = ledger.read(spark, _routed(spark, folder), "trade_events")
+    return rows.select("asset_id", "recv_timestamp_us", "exchange_timestamp_us", "price", "size", F.col("side").cast("int").alias("side"), "trade_id", "fidelity", "source_session_id")
+
+
+def routed_ingest(spark, folder):
+    """Stale snapshots and connection changes of the same stream."""
+    rows = ledger.read(spark, _routed(spark, folder), "ingest_events")
+    return rows.select("asset_id", "recv_timestamp_us", "exchange_timestamp_us", "event_kind", "details", "source_event_id", "source_session_id")
+
+
+def routed_datasets(spark, folder):
+    """Rows and clocks of all six datasets of one stream that the other datasets' streams have joined."""
+    others = {}
+    for name in ("book_checkpoints", "replay_validations", "execution_events"):
+        rows = views.VIEWS[name](spark, folder)
+        others[name] = sample_feed.staged(rows.withColumn("arrival", F.col(PARTITION_TIME[name])), 2)
+    base = _routed(spark, folder, **others)
+    parts = [ledger.read(spark, base, name).agg(F.lit(name).alias("dataset"), F.count("*").alias("n"), F.min(clock).alias("first_us"), F.max(clock).alias("last_us")) for name, clock in PARTITION_TIME.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def repeated_append(spark, folder):
+    """Validations of which every third asset's batch is delivered twice: they are stored once."""
+    base = feed.scratch(spark, "appended")
+    rows = views.replay_validations(spark, folder)
+    for k in range(3):
+        part = rows.where(F.substring("asset_id", 2, 9).cast("int") % 3 == k)
+        for _ in range(1 + (k == 1)):
+            ledger.commit(spark, base, f"append-{k}", {"replay_validations": part})
+    ledger.compact(spark, base)
+    return ledger.read(spark, base, "replay_validations").groupBy("asset_id", "mode").agg(F.count("*").alias("n"), F.sum("persisted_at_us").alias("stamps"))
+
+
 _HELPERS = {"points"}
 
 

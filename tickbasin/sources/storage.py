@@ -43,19 +43,19 @@ def with_partition(df: DataFrame, dataset: str) -> DataFrame:
     return df.withColumns({"event_date": day, "event_hour": hour})
 
 
-def write(df: DataFrame, base: str, dataset: str, mode: str = "append") -> None:
-    """Appends rows to a dataset.
+def write(df: DataFrame, base: str, folder: str, mode: str = "append", dataset: str | None = None) -> None:
+    """Appends rows to a dataset's folder, which has its name if the dataset isn't given.
 
-    Rows are dealt by hour and a salt of the asset, so that one hot hour or
-    asset is shared by several tasks and an hour gets few files.
+    An append is not repeatable; ledger.commit is.
+
+    Rows are dealt by hour in tasks of about equal size, so that a hot hour is
+    shared by several of them and a small one gets one file.
     """
+    dataset = dataset or folder
     rows = with_partition(conform(df, dataset), dataset)
-    asset = F.col("asset_id")
-    salt = F.pmod(F.xxhash64(F.coalesce(asset, F.lit("global"))), F.lit(8))
-    dealt = rows.withColumn("salt", salt).repartition("event_date", "event_hour", "salt").drop("salt")
-    ordered = dealt.sortWithinPartitions("event_date", "event_hour", "asset_id", PARTITION_TIME[dataset])
+    ordered = rows.hint("rebalance", "event_date", "event_hour").sortWithinPartitions("event_date", "event_hour", "asset_id", PARTITION_TIME[dataset])
     writer = ordered.write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", FILE_ROWS)
-    writer.partitionBy("event_date", "event_hour").parquet(f"{base}/{dataset}")
+    writer.partitionBy("event_date", "event_hour").parquet(f"{base}/{folder}")
 
 
 def _empty(spark: SparkSession, dataset: str) -> DataFrame:

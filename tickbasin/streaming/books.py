@@ -11,13 +11,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.codecs import side_code
 from ..functions.fixedpoint import price_from_text, size_from_text
 from ..operators import normalize
+from ..sample_feed import staged
 from ..schemas import ASK, BID, DELTA, SNAPSHOT
 from ..sources.feed import scratch
 
@@ -153,18 +154,6 @@ def normalized(messages: DataFrame) -> DataFrame:
     return entries(messages).groupBy("asset_id").transformWithStateInPandas(Numberer(), NORMAL_OUT, "Append", "None")
 
 
-def _staged(df: DataFrame, parts: int = 3) -> DataFrame:
-    """The rows as a stream of files in order of arrival, one file for a micro-batch."""
-    spark = df.sparkSession
-    path = scratch(spark, "stream-in")
-    df = df.withColumn("part", F.ntile(parts).over(Window.orderBy("arrival")))
-    df.persist()
-    for k in range(1, parts + 1):
-        df.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(path)
-    df.unpersist()
-    return spark.readStream.schema(df.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
 def _finished(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over all that is there and gives what it put out, with batch_id."""
     spark = stream.sparkSession
@@ -186,14 +175,14 @@ def _finished(stream: DataFrame, mode: str) -> DataFrame:
 
 def stream_final_levels(events: DataFrame) -> DataFrame:
     """Levels of every asset's book once the live stream has read all events."""
-    found = _finished(live_books(_staged(events)), "update")
+    found = _finished(live_books(staged(events)), "update")
     last = found.groupBy("asset_id").agg(F.max("version").alias("version"))
     return found.join(last, ["asset_id", "version"]).where("side is not null").select("asset_id", "side", "price", "size")
 
 
 def stream_normalized(messages: DataFrame) -> DataFrame:
     """Book rows that the streaming normalizer puts out for all messages."""
-    return _finished(normalized(_staged(messages)), "append").where("stale_after_us is null")
+    return _finished(normalized(staged(messages)), "append").where("stale_after_us is null")
 
 
 def start_live(spark: SparkSession, events: DataFrame, table: str, checkpoint: str):
