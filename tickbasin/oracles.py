@@ -186,6 +186,9 @@ def oracle_sql() -> dict[str, str]:
         "live_books": sql(BE, *LIVE, select="select asset_id, side, price, size from ll"),
         "book_after_each_event": sql(BE, *LIVE[:2], select=AFTER_EACH),
         "live_book_stream": sql(BE, *LIVE, select="select asset_id, side, price, size from ll"),
+        "top_levels_stream": sql(BE, *LIVE, select="select asset_id, side, price, size from (select *, row_number() over (partition by asset_id, side order by case when side = 1 then -price else price end) as rank from ll) where rank <= 5"),
+        "live_source_messages": sql(BE, TE, *FEED, select="""select kind, n, n as n_offsets from (select 'book' as kind, count(*) as n from st union all select 'price_change', count(*) from ms where event_kind = 2 union all select 'last_trade_price', count(*) from te
+ union all select 'unknown', count(*) from te where arrival % 41 = 0 union all select 'none', count(*) from te where arrival % 43 = 0 union all select 'reconnect_success', 1) where n > 0"""),
         "live_snapshot": sql(BE, *LIVE, select=f"select s.asset_id, s.sequence, s.last_recv_timestamp_us as last_update_us, max(price) filter (side = 1) as best_bid, min(price) filter (side = 2) as best_ask, count(*) filter (side = 1) as bid_depth, count(*) filter (side = 2) as ask_depth, {NOW_US} - s.last_recv_timestamp_us > 3600000000 as stale from ({STATES}) s join ll on ll.asset_id = s.asset_id where s.asset_id = 'A3' group by all"),
         "market_buckets_5m": sql(select="select ts_us // 1000000 - ts_us // 1000000 % 300 as bucket, 'btc-updown-5m-' || (ts_us // 1000000 - ts_us // 1000000 % 300) as slug, count(*) as n from ev group by all"),
         "token_ids_explode": sql(DISCOVERY, select="select id, 'm' || id as market_id, pos, tok || id as token_id from dc, (values (0, 't'), (1, 'u')) t(pos, tok) where key % 3 = 0 or key % 7 <> 0"),

@@ -11,7 +11,7 @@ from . import sample_feed
 from .functions import codecs, fixedpoint
 from .operators import book, execution, integrity, live, markets, normalize, replay, timeline
 from .schemas import PARTITION_TIME
-from .sources import feed, ledger, storage, views
+from .sources import feed, ledger, live_source, storage, views
 
 DAY_US = 86_400_000_000
 #: The times (query_id, at_us) of the books that the replay queries rebuild, for every asset, and their lookback.
@@ -375,6 +375,14 @@ def live_book_stream(spark, folder):
     return books.stream_final_levels(_arrivals(views.book_events(spark, folder))).select("asset_id", F.col("side").cast("int").alias("side"), "price", "size")
 
 
+def top_levels_stream(spark, folder):
+    """The five best levels of each side that the changes of the live stream add up to."""
+    from .streaming import books
+
+    changes = books.stream_top_levels(_arrivals(views.book_events(spark, folder)), 5)
+    return books.current_levels(changes).select("asset_id", F.col("side").cast("int").alias("side"), "price", "size")
+
+
 def normalize_stream(spark, folder):
     """The streaming normalizer's book rows after all messages have arrived."""
     from .streaming import books
@@ -424,6 +432,20 @@ def routed_datasets(spark, folder):
     return out
 
 
+def live_source_messages(spark, folder):
+    """The test feed's texts as a live source received them, by type, and the rows that its connection added."""
+    texts, out = feed.scratch(spark, "texts"), feed.scratch(spark, "received")
+    sample_feed.messages(spark, folder).where("kind = 'raw'").sort("arrival").select("text").write.text(texts)
+    name = live_source.register(spark, sample_feed.recorded(texts))
+    stream = spark.readStream.format(name).option("journal", feed.scratch(spark, "journal")).option("most", 5000).option("wait_s", 0).load()
+    query = stream.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/part_id={n}")).option("checkpointLocation", feed.scratch(spark, "source-checkpoint")).start()
+    query.processAllAvailable()
+    query.stop()
+    rows = spark.read.schema(feed.SCHEMA + ", part_id long").parquet(out)
+    kind = F.coalesce(F.when(F.col("kind") == "raw", F.coalesce(F.get_json_object("text", "$.event_type"), F.lit("none"))), F.col("kind"))
+    return rows.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("arrival").alias("n_offsets"))
+
+
 def repeated_append(spark, folder):
     """Validations of which every third asset's batch is delivered twice: they are stored once."""
     base = feed.scratch(spark, "appended")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.fixedpoint import price_text, size_text
-from .sources import views
+from .sources import live_source, views
 from .sources.feed import SCHEMA, scratch
 
 #: Rows of a file of a staged stream, about.
@@ -78,3 +80,25 @@ def written_messages(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch(spark, "messages")
     messages(spark, folder).write.parquet(path)
     return spark.read.schema(SCHEMA).parquet(path)
+
+
+def recorded(folder: str):
+    """A client, for live_source.register(), of a venue that sends the lines of a folder's text files in order."""
+    class Recorded:
+        lines = None
+
+        def connect(self, assets):
+            from pyarrow import fs
+
+            if self.lines is None:
+                files, path = fs.FileSystem.from_uri(folder)
+                found = sorted(f.path for f in files.get_file_info(fs.FileSelector(path)) if f.base_name.startswith("part-"))
+                self.lines = (line for f in found for line in files.open_input_stream(f).read().decode().split("\n") if line)
+
+        def receive(self, most, wait_s):
+            return list(islice(self.lines, most))
+
+        def close(self):
+            pass
+
+    return lambda: live_source.Client(Recorded(), [])

@@ -6,15 +6,17 @@ rows by arrival; the source must deliver arrivals in order from batch to batch.
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..errors import NotFound, NotReady
 from ..functions.codecs import side_code
 from ..functions.fixedpoint import price_from_text, size_from_text
 from ..operators import normalize
@@ -26,53 +28,140 @@ from ..sources.feed import scratch
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-BOOK_OUT = "asset_id string, version long, sequence long, last_update_us long, has_book boolean, side int, price int, size long"
+BOOK_OUT = "asset_id string, version long, sequence long, last_update_us long, has_book boolean, full boolean, side int, price int, size long"
+#: Versions after which a reader of the best levels finds all of them again, and how far behind it may be to get changes.
+FULL_EVERY = BUFFER = 256
 NORMAL_OUT = "asset_id string, recv_timestamp_us long, exchange_timestamp_us long, event_kind int, side int, price int, size long, sequence long, source_event_id string, stale_after_us long"
 
 
+class Levels:
+    """An asset's book in state, of which a micro-batch touches only the levels that it changes.
+
+    Pages of 64 prices hold a bit for each level that is there, and the head a
+    bit for each page that is not empty, so the best levels are found without
+    reading the others.
+    """
+
+    def __init__(self, sizes, pages):
+        self.sizes, self.pages = sizes, pages
+        self.known: dict[tuple[int, int], int] = {}
+        self.bits: dict[tuple[int, int], int] = {}
+        self.changed: set[tuple[int, int]] = set()
+        self.cleared = False
+
+    def clear(self) -> None:
+        """Empties the book, without a look at it."""
+        self.sizes.clear()
+        self.pages.clear()
+        self.known, self.bits, self.changed, self.cleared = {}, {}, set(), True
+
+    def size(self, level: tuple[int, int]) -> int:
+        """Size of a level; 0 if it is not there."""
+        if level not in self.known:
+            self.known[level] = int(self.sizes.getValue(level)[0]) if not self.cleared and self.sizes.containsKey(level) else 0
+        return self.known[level]
+
+    def page(self, key: tuple[int, int]) -> int:
+        """The bits of a page."""
+        if key not in self.bits:
+            self.bits[key] = int(self.pages.getValue(key)[0]) & (1 << 64) - 1 if not self.cleared and self.pages.containsKey(key) else 0
+        return self.bits[key]
+
+    def put(self, level: tuple[int, int], size: int, filled: dict[int, int]) -> None:
+        """Sets a level, 0 deletes; filled: the bits of the pages of each side that are not empty."""
+        self.size(level)
+        self.known[level] = size
+        self.changed.add(level)
+        side, price = level
+        key, bit = (side, price // 64), 1 << price % 64
+        self.bits[key] = self.page(key) | bit if size else self.page(key) & ~bit
+        flag = 1 << price // 64
+        filled[side] = filled.get(side, 0) | flag if self.bits[key] else filled.get(side, 0) & ~flag
+
+    def best(self, side: int, n: int, filled: dict[int, int]) -> list[int]:
+        """Prices of the n best levels of a side."""
+        out: list[int] = []
+        left = filled.get(side, 0)
+        while left and len(out) < n:
+            page = left.bit_length() - 1 if side == BID else (left & -left).bit_length() - 1
+            left &= ~(1 << page)
+            bits = self.page((side, page))
+            while bits and len(out) < n:
+                bit = bits.bit_length() - 1 if side == BID else (bits & -bits).bit_length() - 1
+                bits &= ~(1 << bit)
+                out.append(page * 64 + bit)
+        return out
+
+    def save(self) -> None:
+        """Writes what has changed."""
+        for level in self.changed:
+            if self.known[level]:
+                self.sizes.updateValue(level, (self.known[level],))
+            elif not self.cleared and self.sizes.containsKey(level):
+                self.sizes.removeKey(level)
+        for key in {(side, price // 64) for side, price in self.changed}:
+            bits = self.bits[key]
+            if bits:
+                self.pages.updateValue(key, (bits - (1 << 64) if bits >> 63 else bits,))
+            elif not self.cleared and self.pages.containsKey(key):
+                self.pages.removeKey(key)
+
+
 class LiveBook(StatefulProcessor):
-    """Keeps a book per asset and puts out its levels after each micro-batch.
+    """Keeps a book per asset and puts out the levels that each micro-batch has changed.
 
     Snapshot rows that follow each other with equal clocks and event id are one
     snapshot, also across micro-batches: the first one clears the book and the
-    next ones add to it.  A book that is empty puts out one row without a level.
+    next ones add to it.  Rows of a version that cleared the book stand for all
+    of it; a size of 0 deletes a level; a version of no change is one row
+    without a level.  With a depth only changes among the so many best levels of
+    each side are put out, and all of these every so many versions, so that a
+    reader who comes late finds a start.
     """
 
+    def __init__(self, depth: int | None = None, full_every: int = FULL_EVERY):
+        self.depth, self.full_every = depth, full_every
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.levels = handle.getMapState("levels", "side int, price int", "size long")
-        self.head = handle.getValueState("head", "version long, sequence long, last_update_us long, has_book boolean, last_key string")
+        self.sizes = handle.getMapState("sizes", "side int, price int", "size long")
+        self.pages = handle.getMapState("pages", "side int, page int", "bits long")
+        self.head = handle.getValueState("head", "version long, sequence long, last_update_us long, has_book boolean, last_key string, filled string, tops string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values("arrival", kind="stable")
-        version, sequence, updated, has_book, last_key = self.head.get() if self.head.exists() else (0, 0, 0, False, "")
-        book = {(int(k[0]), int(k[1])): int(v[0]) for k, v in self.levels.iterator()} if self.levels.exists() else {}
-        before = dict(book)
+        version, sequence, updated, has_book, last_key, filled, tops = self.head.get() if self.head.exists() else (0, 0, 0, False, "", "{}", "[]")
+        filled, before = {int(k): v for k, v in json.loads(filled).items()}, {(s, p): z for s, p, z in json.loads(tops)}
+        book = Levels(self.sizes, self.pages)
         for row in frame.itertuples(index=False):
             level, size = (int(row.side), int(row.price)), int(row.size)
             if row.event_kind == SNAPSHOT:
                 name = f"{row.recv_timestamp_us}/{row.exchange_timestamp_us}/{'' if row.source_event_id is None else row.source_event_id}"
                 if name != last_key:
                     book.clear()
+                    filled = {}
                 last_key, has_book = name, True
                 if size > 0:
-                    book[level] = size
+                    book.put(level, size, filled)
             else:
                 last_key = ""
-                if size > 0:
-                    book[level] = size
-                else:
-                    book.pop(level, None)
+                book.put(level, size, filled)
             sequence = 0 if pd.isna(row.sequence) else int(row.sequence)
             updated = int(row.recv_timestamp_us)
-        for level in before.keys() - book.keys():
-            self.levels.removeKey(level)
-        for level, size in book.items():
-            if before.get(level) != size:
-                self.levels.updateValue(level, (size,))
         version += 1
-        self.head.update((version, sequence, updated, has_book, last_key))
-        out = [(key[0], version, sequence, updated, has_book, side, price, size) for (side, price), size in sorted(book.items())]
-        yield pd.DataFrame(out or [(key[0], version, sequence, updated, has_book, None, None, None)], columns=[c.split()[0] for c in BOOK_OUT.split(", ")])
+        now: dict[tuple[int, int], int] = {}
+        if self.depth:
+            for side in (BID, ASK):
+                for price in book.best(side, self.depth, filled):
+                    level = (side, price)
+                    now[level] = before[level] if level in before and level not in book.known and not book.cleared else book.size(level)
+            full = version % self.full_every == 1
+            changes = now if full else {x: now.get(x, 0) for x in before.keys() | now.keys() if before.get(x) != now.get(x)}
+        else:
+            full, changes = book.cleared, {x: book.known[x] for x in book.changed}
+        book.save()
+        self.head.update((version, sequence, updated, has_book, last_key, json.dumps(filled), json.dumps([[*x, z] for x, z in now.items()])))
+        out = [(key[0], version, sequence, updated, has_book, full, side, price, size) for (side, price), size in sorted(changes.items())]
+        yield pd.DataFrame(out or [(key[0], version, sequence, updated, has_book, full, None, None, None)], columns=[c.split()[0] for c in BOOK_OUT.split(", ")])
 
     def close(self) -> None:
         pass
@@ -112,10 +201,39 @@ class Numberer(StatefulProcessor):
         pass
 
 
-def live_books(events: DataFrame) -> DataFrame:
-    """The stream of books of a stream of book events with arrival."""
+def live_books(events: DataFrame, depth: int | None = None, full_every: int = FULL_EVERY) -> DataFrame:
+    """The stream of changes of the books of a stream of book events with arrival; with a depth, of their best levels."""
     columns = ["asset_id", "arrival", "event_kind", "side", "price", "size", "sequence", "recv_timestamp_us", "exchange_timestamp_us", "source_event_id"]
-    return events.select(*columns).groupBy("asset_id").transformWithStateInPandas(LiveBook(), BOOK_OUT, "Update", "None")
+    return events.select(*columns).groupBy("asset_id").transformWithStateInPandas(LiveBook(depth, full_every), BOOK_OUT, "Update", "None")
+
+
+def current_levels(changes: DataFrame) -> DataFrame:
+    """The levels that a table of changes adds up to, from each asset's last full version on."""
+    start = changes.where("full").groupBy("asset_id").agg(F.max("version").alias("start"))
+    rows = changes.join(start, "asset_id", "left").where("start is null or version >= start").where("side is not null")
+    return rows.groupBy("asset_id", "side", "price").agg(F.max_by("size", "version").alias("size")).where("size > 0")
+
+
+def changes_since(changes: DataFrame, asset_id: str, version: int, buffer: int = BUFFER) -> tuple[bool, DataFrame]:
+    """What a reader of one asset at a version lacks: (False, the rows of later versions), or (True, all levels) if it is too far behind.
+
+    Levels come with the newest version.
+    """
+    own = changes.where(F.col("asset_id") == asset_id)
+    newest = own.agg(F.max("version")).first()[0]
+    if newest is None or newest - version <= buffer:
+        return False, own.where(F.col("version") > version)
+    return True, current_levels(own).withColumn("version", F.lit(newest).cast("long"))
+
+
+def subscribed(changes: DataFrame, active: DataFrame, asset_id: str) -> DataFrame:
+    """The first rows of a reader: all levels with the newest version; raises if the asset is not active or has no snapshot yet."""
+    if not active.where(F.col("asset_id") == asset_id).limit(1).count():
+        raise NotFound(f"{asset_id} is not active")
+    newest = changes.where(F.col("asset_id") == asset_id).agg(F.max("version").alias("version"), F.bool_or("has_book").alias("has_book")).first()
+    if not newest.has_book:
+        raise NotReady(f"{asset_id} has no snapshot yet")
+    return changes_since(changes, asset_id, -1, -1)[1].withColumn("version", F.lit(newest.version).cast("long"))
 
 
 def entries(messages: DataFrame) -> DataFrame:
@@ -175,9 +293,12 @@ def _finished(stream: DataFrame, mode: str) -> DataFrame:
 
 def stream_final_levels(events: DataFrame) -> DataFrame:
     """Levels of every asset's book once the live stream has read all events."""
-    found = _finished(live_books(staged(events)), "update")
-    last = found.groupBy("asset_id").agg(F.max("version").alias("version"))
-    return found.join(last, ["asset_id", "version"]).where("side is not null").select("asset_id", "side", "price", "size")
+    return current_levels(_finished(live_books(staged(events)), "update")).select("asset_id", "side", "price", "size")
+
+
+def stream_top_levels(events: DataFrame, depth: int, parts: int = 3, full_every: int = FULL_EVERY) -> DataFrame:
+    """Changes of the best levels that the live stream puts out for all events."""
+    return _finished(live_books(staged(events, parts), depth, full_every), "update")
 
 
 def stream_normalized(messages: DataFrame) -> DataFrame:
@@ -185,13 +306,18 @@ def stream_normalized(messages: DataFrame) -> DataFrame:
     return _finished(normalized(staged(messages)), "append").where("stale_after_us is null")
 
 
-def start_live(spark: SparkSession, events: DataFrame, table: str, checkpoint: str):
-    """Starts the live book; each micro-batch replaces its assets' levels in a table that readers query."""
-    def replace(batch: DataFrame, batch_id: int) -> None:
-        old = spark.table(table) if spark.catalog.tableExists(table) else None
-        kept = batch if old is None else batch.unionByName(old.join(batch.select("asset_id").distinct(), "asset_id", "left_anti"))
-        next_table = f"{table}_{batch_id % 2}"
-        kept.write.mode("overwrite").saveAsTable(next_table)
-        spark.sql(f"create or replace temporary view {table} as select * from {next_table}")
+def start_live(events: DataFrame, path: str, checkpoint: str, depth: int | None = None):
+    """Starts the live book; the changes of a micro-batch are one folder under path, which a repeated one replaces.
+
+    Readers take spark.read.schema(CHANGES).parquet(path) to current_levels(),
+    changes_since() or subscribed().
+    """
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/part_id={batch_id}")
+
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    return live_books(events, depth).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).start()
+
 
-    return live_books(events).writeStream.outputMode("update").foreachBatch(replace).option("checkpointLocation", checkpoint).start()
+#: Columns of the folders of start_live().
+CHANGES = BOOK_OUT + ", part_id long"
