@@ -363,6 +363,38 @@ def test_packing_against_the_optimum():
     assert min(ratios) >= 1 - 1e-9 and np.mean(ratios) < 1.04 and max(ratios) < 1.34
 
 
+@pytest.mark.parametrize("lengths", [[300] * 300 + [212] * 5 + [700] * 3, [300] * 5000 + [212] * 200, [212] * 4000 + [300] * 7 + [3000] * 50, [1400] * 2000 + [600] * 100 + [48] * 9, [513] * 3000 + [511] * 10, [4096, 1], [1] * 5000])
+def test_packing_never_costs_more_than_one_size(lengths):
+    """Joint sizes against each single one, a plain first fit of pieces in falling order."""
+    _, _, opened = packing.pack(lengths)
+    for size in packing.SIZES:
+        if size < max(lengths):
+            continue
+        held = []
+        for n in sorted(lengths, reverse=True):
+            k = next((k for k in range(max(0, len(held) - 60), len(held)) if held[k] + n <= size), None)
+            if k is None:
+                held.append(n)
+            else:
+                held[k] += n
+        assert sum(map(packing.cost, opened)) <= sum(packing.cost(size) for _ in held) + 1e-6
+
+
+def test_packing_random_mixtures():
+    rng = random.Random(6)
+    for _ in range(40):
+        kinds = [rng.randint(1, 4096) for _ in range(rng.randint(1, 6))]
+        lengths = [rng.choice(kinds) for _ in range(rng.randint(1, 3000))]
+        bins, offsets, opened = packing.pack(lengths)
+        used = {}
+        for b, at, n in sorted(zip(bins, offsets, lengths, strict=True)):
+            assert at == used.get(b, 0)
+            used[b] = at + n
+        assert all(next(s for s in packing.SIZES if s >= n) == opened[b] for b, n in used.items()) and len(opened) == len(used)
+        alone = [packing.pack(lengths, (s,))[2] for s in packing.SIZES if s >= max(lengths)]
+        assert all(sum(map(packing.cost, opened)) <= sum(map(packing.cost, other)) + 1e-6 for other in alone)
+
+
 def test_packing_table(spark):
     texts = ["a b c", None, "", "w " * 10_000, "a b c", " x\n\ty ", "xq" * 30_000 + " tail", "中文" * 9000]
     df = spark.createDataFrame([(1 if k in (0, 1, 4) else k, t, "clash") for k, t in enumerate(texts)] + [(None, "n n", "c")], "doc_id long, text string, piece string")

@@ -5,16 +5,16 @@ more tokens than the largest length is cut into pieces between words (a word
 of more tokens than that at its own tokens' ends), so no token is lost.  Each
 task packs the rows that it reads, in shards of a bounded number of pieces and
 bytes, and writes the pieces with their texts in the order of the sequences:
-one pass, no shuffle.  A shard is packed longest piece first into the open bin
-that it fills best.  Where none fits, every permitted length is tried on what is
-left in the shard, and the one of the least cost for each token that it would
-hold is opened.  In the end every bin shrinks to the smallest length that holds
-its contents.
+one pass, no shuffle.  A shard is packed longest piece first: every permitted
+length is filled with what is left in the shard, always with the longest piece
+that fits, and the one of the least cost for each token that it holds is opened
+and keeps these pieces.  So a bin's room is left over only where nothing fits.
+In the end every bin shrinks to the smallest length that holds its contents.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,66 +37,80 @@ def cost(size: int) -> float:
     return size + size * size / 32768 + 24
 
 
-def lookahead(size: int, first: int, lengths: list[int], counts: dict[int, int]) -> int:
-    """Tokens that a new bin would hold: the first piece, then always the longest left that fits."""
-    held, at = first, bisect_right(lengths, size - first) - 1
+def filled(size: int, lengths: list[int], counts: dict[int, int]) -> dict[int, int]:
+    """What a new bin of a size takes: the longest piece left, then always the longest left that fits; pieces by length."""
     used: dict[int, int] = {}
-    while at >= 0 and held < size:
+    room, at = size, len(lengths) - 1
+    while at >= 0:
         length = lengths[at]
-        fit = min((size - held) // length if length else 0, counts[length] - used.get(length, 0) - (length == first))
-        if fit > 0:
-            used[length] = fit
-            held += fit * length
-        at = min(at - 1, bisect_right(lengths, size - held) - 1)
-    return held
+        n = min(room // length, counts[length]) if length else counts[0]
+        if n:
+            used[length] = n
+            room -= n * length
+        at = min(at, bisect_right(lengths, room)) - 1
+    return used
+
+
+def bins_of(counts: dict[int, int], sizes: tuple[int, ...]) -> list[tuple[dict[int, int], int]]:
+    """Bins as (pieces by length, how many such bins), for pieces by length.
+
+    Every permitted size that holds the longest piece left is filled with what
+    is left, and the one of the least cost for each token is opened, with its
+    pieces, as often as they last.
+    """
+    counts, left = dict(counts), sorted(counts)
+    out = []
+    while left:
+        best = None
+        for size in sizes[bisect_left(sizes, left[-1]) :]:
+            used = filled(size, left, counts)
+            held = sum(length * n for length, n in used.items())
+            price = cost(sizes[bisect_left(sizes, held)]) / max(1, held)
+            if best is None or price < best[0]:
+                best = price, used
+        used = best[1]
+        times = min(counts[length] // n for length, n in used.items())
+        out.append((used, times))
+        for length, n in used.items():
+            counts[length] -= n * times
+            if not counts[length]:
+                del left[bisect_left(left, length)]
+    return out
+
+
+def price_of(plan: list[tuple[dict[int, int], int]], sizes: tuple[int, ...]) -> float:
+    """Cost of bins, each of the smallest size that holds its contents."""
+    return sum(times * cost(sizes[bisect_left(sizes, sum(length * n for length, n in used.items()))]) for used, times in plan)
 
 
 def pack(lengths: list[int], sizes: tuple[int, ...] = SIZES) -> tuple[list[int], list[int], list[int]]:
     """Bin and offset of every piece, and the size of every bin.
 
-    Pieces are at most the largest size; ties keep their order.
+    The plan of all sizes together competes with those of each size alone, so
+    it never costs more than the best of them.  Pieces are at most the largest
+    size; ties keep their order.
     """
     sizes = tuple(sorted(sizes))
-    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    counts: dict[int, int] = {}
-    for length in lengths:
-        counts[length] = counts.get(length, 0) + 1
-    left = sorted(counts)
-    bins, offsets = [0] * len(lengths), [0] * len(lengths)
-    room: list[int] = []  # the kinds of room there are, sorted
-    with_room: dict[int, list[int]] = {}
-    capacity: list[int] = []
-    held: list[int] = []
-    chosen: dict[int, int] = {}
-    for i in order:
-        length = lengths[i]
-        k = bisect_left(room, length)
-        if k < len(room):
-            space = room[k]
-            b = with_room[space].pop()
-            if not with_room[space]:
-                del with_room[space], room[k]
-        else:
-            size = chosen.get(length)
-            if size is None:
-                size = min((s for s in sizes if s >= length), key=lambda s: (cost(s) / max(1, lookahead(s, length, left, counts)), s))
-                if counts[length] > 64:
-                    chosen[length] = size  # many equal pieces: decided once for a length
-            b, space = len(capacity), size
-            capacity.append(size)
-            held.append(0)
-        bins[i], offsets[i] = b, held[b]
-        held[b] += length
-        space -= length
-        if space not in with_room:
-            with_room[space] = []
-            insort(room, space)
-        with_room[space].append(b)
-        counts[length] -= 1
-        if not counts[length]:
-            left.remove(length)
-            chosen.pop(length, None)
-    return bins, offsets, [next(s for s in sizes if s >= h) for h in held]
+    pieces: dict[int, list[int]] = {}
+    for i, length in enumerate(lengths):
+        pieces.setdefault(length, []).append(i)
+    counts = {length: len(of) for length, of in pieces.items()}
+    plans = [bins_of(counts, sizes)] + [bins_of(counts, (s,)) for s in sizes if len(sizes) > 1 and pieces and s >= max(pieces)]
+    plan = min(plans, key=lambda p: price_of(p, sizes))
+    bins, offsets, opened = [0] * len(lengths), [0] * len(lengths), []
+    taken = dict.fromkeys(pieces, 0)
+    for used, times in plan:
+        held = sum(length * n for length, n in used.items())
+        for _ in range(times):
+            at = 0
+            for length, n in used.items():
+                first = taken[length]
+                taken[length] = first + n
+                for i in pieces[length][first : first + n]:
+                    bins[i], offsets[i] = len(opened), at
+                    at += length
+            opened.append(sizes[bisect_left(sizes, held)])
+    return bins, offsets, opened
 
 
 def cut(text: str, words: np.ndarray, largest: int, counter: Counter) -> list[tuple[int, int, int]]:
