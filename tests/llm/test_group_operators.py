@@ -479,6 +479,47 @@ def test_warc_headers():
         list(warc.records(gzip.compress(data)[:-3]))
 
 
+def damaged(path, change):
+    """Rewrites the archives under a folder, each record passed through change(heads, block)."""
+    for file in path.rglob("part-*"):
+        out = b""
+        for heads, block in list(warc.records(file.read_bytes())):
+            made = change(dict(heads), block)
+            if made:
+                heads, block = made
+                text = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in heads.items()) + "\r\n"
+                out += gzip.compress(text.encode() + block + b"\r\n\r\n")
+        file.write_bytes(out)
+        (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+
+
+@pytest.mark.parametrize("kind", ["none", "payload", "length", "lost response", "revisit's claim"])
+def test_warc_reading_verifies(spark, tmp_path, kind):
+    """A changed payload or length, a response that is not there and a revisit that claims another payload are found."""
+    df = spark.createDataFrame([(k, "http://a/x", "same " * 50 if k % 3 else f"own {k} " * 40) for k in range(12)], "page_id long, url string, html string")
+    warc.archive(df, f"file://{tmp_path}/a")
+
+    def change(heads, block):
+        own, response = heads["Page-ID"] == "1", heads["WARC-Type"] == "response"
+        if own and kind == "payload":
+            block = block.replace(b"same", b"SAME", 1)
+        if own and kind == "length":
+            block = block.replace(b"Content-Length: 250", b"Content-Length: 251")
+        if heads["Page-ID"] == "4" and kind == "revisit's claim":
+            heads["WARC-Payload-Digest"] = "sha256:" + "0" * 64
+        return None if own and response and kind == "lost response" else (heads, block)
+
+    damaged(tmp_path / "a", change)
+    rows = warc.resolved_records(spark, f"file://{tmp_path}/a")
+    if kind == "none":
+        got = {r.page_id: (r.digest, r.payload_bytes, r.record_type, r.refers_to) for r in rows.collect()}
+        want = {r.page_id: (hashlib.sha256(r.html.encode()).hexdigest(), len(r.html), *(("revisit", 1) if r.page_id % 3 and r.page_id != 1 else ("response", None))) for r in df.collect()}
+        assert got == want
+    else:
+        with pytest.raises(Exception, match="does not hold or find its payload"):
+            rows.collect()
+
+
 def test_queries_are_registered():
     import __spark_entry__
 

@@ -9,9 +9,14 @@ size go to files together, so many to a file that it stays below FILE_BYTES.
 A record's block is an HTTP response whose payload is the page.  Reading parses
 members one after the other by Content-Length, so payloads may hold anything.
 
-Deduplication shuffles headers only: records are grouped by payload digest and
-length, the smallest page of each group is the original, and the other records
-are joined to it and written as revisits with fresh headers and no payload.
+Deduplication groups headers only: by payload digest and length, the smallest
+page of each group is the original, and the other records are joined to it and
+written as revisits with fresh headers and no payload.  While the originals that
+have copies are few enough to broadcast, payloads stay where they were read;
+beyond that this join shuffles them, and AQE splits its skewed partitions.
+
+What a reader learns of a payload is recomputed from the stored bytes, and of a
+revisit from its response's.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fewest_partitions, join_sized, shared_path, workspace, written
+from .common import fewest_partitions, join_sized, kept, shared_path, workspace, written
 
 #: Payload bytes from which equal payloads become revisits.
 LEAST_BYTES = 100
@@ -142,21 +147,24 @@ def records(content: bytes, block: int = 1 << 14) -> Iterator[tuple[dict[str, st
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False, id_type: str = "long") -> DataFrame:
-    """Every record of the archives: page_id, url, record_type, digest, payload_bytes, refers_to, stored_bytes, ok and, if asked, html.
+    """Every record of the archives: page_id, url, record_type, record_id, refers_record, digest, payload_bytes, refers_to, stored_bytes, ok and, if asked, html.
 
-    ok: the stored payload has the header's digest (revisits store none).  A
-    task holds one file, of FILE_BYTES at most, and a few records of it.
+    Digest and length are those of the stored payload, of revisits, which store
+    none, those that their headers claim.  ok: a stored payload agrees with its
+    headers.  A task holds one file, of FILE_BYTES at most, and a few records
+    of it.
     """
 
     def row(heads: dict[str, str], content: bytes) -> tuple:
         http, _, payload = content.partition(b"\r\n\r\n")
-        digest, kind = heads["WARC-Payload-Digest"].removeprefix("sha256:"), heads["WARC-Type"]
-        ok = kind == "revisit" or hashlib.sha256(payload).hexdigest() == digest
+        said, kind = heads["WARC-Payload-Digest"].removeprefix("sha256:"), heads["WARC-Type"]
         length = int(http.rsplit(b"Content-Length: ", 1)[1])
-        return (heads.get("Page-ID"), heads.get("WARC-Target-URI"), kind, digest, length, heads.get("Refers-To-Page-ID"), len(payload), ok, *[payload.decode("utf-8", "surrogatepass")] * payloads)
+        digest, n = (said, length) if kind == "revisit" else (hashlib.sha256(payload).hexdigest(), len(payload))
+        names = [heads.get(h, "").removeprefix("<urn:uuid:").removesuffix(">") or None for h in ("WARC-Record-ID", "WARC-Refers-To")]
+        return (heads.get("Page-ID"), heads.get("WARC-Target-URI"), kind, *names, digest, n, heads.get("Refers-To-Page-ID"), len(payload), (said, length) == (digest, n), *[payload.decode("utf-8", "replace")] * payloads)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["page_id", "url", "record_type", "digest", "payload_bytes", "refers_to", "stored_bytes", "ok", *["html"] * payloads]
+        columns = ["page_id", "url", "record_type", "record_id", "refers_record", "digest", "payload_bytes", "refers_to", "stored_bytes", "ok", *["html"] * payloads]
         for batch in batches:
             for content in batch["content"]:
                 out, held = [], 0
@@ -168,11 +176,31 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False, id_typ
                         out, held = [], 0
                 yield pd.DataFrame(out, columns=columns)
 
-    schema = "page_id string, url string, record_type string, digest string, payload_bytes long, refers_to string, stored_bytes long, ok boolean" + ", html string" * payloads
+    schema = "page_id string, url string, record_type string, record_id string, refers_record string, digest string, payload_bytes long, refers_to string, stored_bytes long, ok boolean" + ", html string" * payloads
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
     return files.select("content").mapInPandas(rows, schema).withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
+def resolved_records(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
+    """Every record, with digest and length of the payload that is stored for it: a revisit has those of its response.
+
+    A payload that disagrees with its headers, a revisit without its response
+    and one whose headers claim another payload raise when the rows are read.
+    Headers only are kept and joined; a response that most records revisit is
+    looked up once for all of them.
+    """
+    heads = kept(read_archives(spark, path, id_type=id_type).drop("stored_bytes"), "records")
+    wanted = heads.where("record_type = 'revisit'").select(F.col("refers_record").alias("named")).distinct()
+    stored = heads.where("record_type = 'response'").select(F.col("record_id").alias("named"), F.col("digest").alias("stored_digest"), F.col("payload_bytes").alias("stored_length"))
+    found = kept(stored.join(wanted, "named"), "responses")
+    rows = join_sized(heads.withColumnRenamed("refers_record", "named"), found, "named", "left")
+    revisit = F.col("record_type") == "revisit"
+    kept_whole = F.col("ok") & (~revisit | F.coalesce((F.col("stored_digest") == F.col("digest")) & (F.col("stored_length") == F.col("payload_bytes")), F.lit(False)))
+    broken = F.raise_error(F.concat(F.lit("the archive's record "), F.coalesce("record_id", F.lit("without a name")), F.lit(" does not hold or find its payload"))).cast("string")
+    digest = F.when(~kept_whole, broken).when(revisit, F.col("stored_digest")).otherwise(F.col("digest"))
+    return rows.select("page_id", "url", "record_type", digest.alias("digest"), F.when(revisit, F.col("stored_length")).otherwise(F.col("payload_bytes")).alias("payload_bytes"), "refers_to")
+
+
 def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = LEAST_BYTES) -> None:
     """Writes deduplicated archives of the pages to path.
 
@@ -217,12 +245,12 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str =
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", **columns: str) -> DataFrame:
-    """Archives the pages in the shared folder and reads the records back.
+    """Archives the pages in the shared folder, reads the records back and checks their payloads.
 
     Returns page_id, payload_bytes, payload_digest, record_type, refers_to and
     url, one row per page; see archive() for the cases.
     """
     path = shared_path(pages.sparkSession, "warc")
     archive(pages, path, id_col, **columns)
-    back = read_archives(pages.sparkSession, path, id_type=pages.schema[id_col].dataType.simpleString())
+    back = resolved_records(pages.sparkSession, path, pages.schema[id_col].dataType.simpleString())
     return back.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to", "url")
