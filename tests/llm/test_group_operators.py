@@ -179,6 +179,42 @@ def test_near_copies_share_a_band():
     assert met >= 147 and abs(np.mean(bits) - simhash.most_bits()) < 4
 
 
+def test_near_copies_by_any_texts_keys(spark, monkeypatch):
+    """Texts of one fingerprint and different keys: each one's keys find links."""
+    size = simhash.LONG // 8
+
+    def made(text):
+        import numpy as np
+
+        group, _, number = text.partition(" ")
+        base = bytearray(size)
+        base[0] = {"a": 0, "b": 1, "c": 3, "far": 0}[group]
+        if group == "far":
+            base[:] = bytes([255]) * len(base)
+        return bytes(base), np.array([int(x) for x in number.split(",")] * 4, dtype=np.int64)
+
+    monkeypatch.setattr(simhash, "long_fingerprint", made)
+    texts = ["a 1,2,3", "a 4,5,6", "a 7,8,9", "b 9,10,11", "c 5,20,21", "far 1,4,9", "a 4,5,6"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 5, 6: 0}
+
+
+def test_near_copies_recall_by_similarity():
+    """Share of single pairs that share a band and are measured as near enough, by their similarity."""
+    rng = random.Random(12)
+    found = {}
+    for own, place in ((26, 0.88), (37, 0.84), (49, 0.8), (70, 0.74), (100, 0.67)):
+        hits = 0
+        for _ in range(120):
+            common_part = [f"c{rng.random()}" for _ in range(400)]
+            a, b = (" ".join([*common_part, *(f"o{rng.random()}" for _ in range(own))]) for _ in range(2))
+            (f, keys), (g, others) = simhash.long_fingerprint(a), simhash.long_fingerprint(b)
+            near = bin(int.from_bytes(f) ^ int.from_bytes(g)).count("1") <= simhash.most_bits()
+            hits += near and bool(set(keys.tolist()) & set(others.tolist()))
+        found[place] = hits / 120
+    assert found[0.88] >= 0.97 and found[0.84] >= 0.8 and 0.3 < found[0.8] < 0.7 and found[0.74] < 0.2 and found[0.67] == 0
+
+
 def agreement(doc, item):
     """Largest agreement of a stretch of the item over all shifts."""
     cut = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]

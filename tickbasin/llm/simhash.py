@@ -343,9 +343,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prints = written(read.mapInPandas(rows, f"id {docs.schema[id_col].dataType.simpleString()}, fp binary, keys array<bigint>"), "long-fingerprints")[0]
     fps = prints.select("id", "fp")
     with workspace(spark):
-        # texts of one fingerprint differ in a few shingles at most; the least keys serve for all
-        classes, _ = written(prints.groupBy("fp").agg(F.min("id").cast("long").alias("rep"), F.min("keys").alias("keys")), "long-classes")
-        known = classes.where("rep is not null").select("fp", "rep", F.explode("keys").alias("key"))
+        # texts of one fingerprint may differ in a few shingles, and so in keys: those of all of them serve
+        classes, _ = written(prints.groupBy("fp").agg(F.min("id").cast("long").alias("rep"), F.min("keys").alias("keys"), F.max("keys").alias("other")), "long-classes")
+        known = classes.where("rep is not null and keys = other").select("fp", "rep", F.explode("keys").alias("key"))
+        several, _ = written(classes.where("rep is not null and keys <> other").select("fp", "rep"), "several-keys")
+        variants = join_sized(prints.select("fp", "keys").distinct(), several, "fp", "inner")
+        known = known.unionByName(variants.select("fp", "rep", F.explode("keys").alias("key")).distinct())
         blocks = F.when(F.col("n") > TOGETHER, F.ceil(F.col("n") / (TOGETHER // 2))).otherwise(1).cast("int")
         shared, _ = written(known.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", blocks.alias("blocks")), "shared-keys")
         met = join_sized(known, shared, "key", "inner")
