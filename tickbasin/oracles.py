@@ -94,6 +94,13 @@ NORMAL = "select recv_timestamp_us, ex as exchange_timestamp_us, asset_id, event
 ROUTED_INGEST = f"""select asset_id, recv as recv_timestamp_us, ex as exchange_timestamp_us, 'stale_snapshot_skip' as event_kind, 'snapshot exchange timestamp ' || ex || ' <= latest accepted ' || latest as details, 'h' || msg as source_event_id, {SESSION.format(a='st.msg')} as source_session_id from st where stale
  union all select null, recv_timestamp_us, 0, event_kind, details, null, source_session_id from ie where event_kind in ('reconnect_start', 'reconnect_success')
  union all select null, recv_timestamp_us, 0, 'source_reset', 'connection re-established; downstream readers should treat continuity as reset', null, source_session_id from ie where event_kind = 'reconnect_success'"""
+BUCKET = "(({r} // 1000000 + 10) // 604800 * 604800)"
+ROTATED = [
+    f"rb as (select *, {BUCKET.format(r='recv')} as bucket from ms where event_kind = 1)",
+    "rs as (select *, coalesce(ex > 0 and ex <= max(case when ex > 0 then ex end) over (partition by asset_id, bucket order by msg rows between unbounded preceding and 1 preceding), false) as stale from rb)",
+    f"ro as (select p.*, {BUCKET.format(r='p.recv_timestamp_us')} as bucket from bp p left join rs s on s.asset_id = p.asset_id and s.msg = p.msg and p.event_kind = 1 where (bad is null or pos < bad) and not coalesce(s.stale, false))",
+    "rp as (select o.*, (select count(*) from rs s where s.asset_id = o.asset_id and s.bucket = o.bucket and not s.stale and s.msg <= o.msg) as epoch from ro o)",
+]
 TRADES = f"tr as (select *, {STAMP.format(n='arrival', r='recv_timestamp_us')} as ex from te where arrival % 37 <> 0)"
 LIVE = [
     "lg as (select *, case when event_kind = 1 and (event_kind, recv_timestamp_us, exchange_timestamp_us, source_event_id) = lag((event_kind, recv_timestamp_us, exchange_timestamp_us, source_event_id)) over (partition by asset_id order by arrival) then 0 else 1 end as new from be)",
@@ -177,6 +184,11 @@ def oracle_sql() -> dict[str, str]:
         "routed_datasets": sql(BE, TE, IE, CP, RV, XE, *FEED, TRADES, select=" union all ".join(f"select '{d}' as dataset, count(*) as n, min({c}) as first_us, max({c}) as last_us from {t}" for d, c, t in (
             ("book_events", "recv_timestamp_us", "nm"), ("trade_events", "recv_timestamp_us", "tr"), ("ingest_events", "recv_timestamp_us", f"({ROUTED_INGEST})"),
             ("book_checkpoints", "checkpoint_timestamp_us", "(select distinct asset_id, checkpoint_timestamp_us from cp)"), ("replay_validations", "persisted_at_us", "rv"), ("execution_events", "event_timestamp_us", "xe")))),
+        "stream_checkpoints": sql(BE, *LIVE[:2], select=f"""select l.asset_id, l.at_us as checkpoint_timestamp_us, l.side, l.price, arg_max(l.size, l.arrival) as size from (
+ select h.*, c.at_us, max(case when event_kind = 1 then grp end) over (partition by h.asset_id, c.at_us) as base from (select a.asset_id, unnest(range((first // {DAY_US} + 1) * {DAY_US}, last, {DAY_US})) as at_us
+ from (select asset_id, min(recv_timestamp_us) as first from be group by 1) a, (select max(recv_timestamp_us) as last from be)) c join lh h on h.asset_id = c.asset_id and h.recv_timestamp_us <= c.at_us) l
+ where grp >= coalesce(base, 0) and (size > 0 or event_kind = 2) group by all having arg_max(l.size, l.arrival) > 0"""),
+        "rotated_sequences": sql(BE, *FEED, *ROTATED, select="select bucket, 'btc-updown-5m-' || (bucket - bucket % 300) as slug, asset_id, recv_timestamp_us, event_kind, side, price, size, row_number() over (partition by asset_id, bucket, epoch order by msg, pos) - 1 as sequence, 'h' || msg as source_event_id from rp"),
         "repeated_append": sql(RV, select="select asset_id, mode, count(*) as n, cast(sum(persisted_at_us) as bigint) as stamps from rv group by all"),
         "active_assets_status": sql(BE, select=f"select 'A' || i as asset_id, last_recv_timestamp_us, last_exchange_timestamp_us, (last_recv_timestamp_us is null or {NOW_US} - last_recv_timestamp_us > 43200000000) as stale, coalesce(has_book, false) as has_book from range(12) t(i) left join ({STATES}) s on s.asset_id = 'A' || i"),
         "retained_state": sql(BE, select=f"select asset_id, last_recv_timestamp_us, sequence, has_book from ({STATES}) where asset_id in ('A3', 'A4', 'A5')"),

@@ -446,6 +446,24 @@ def live_source_messages(spark, folder):
     return rows.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("arrival").alias("n_offsets"))
 
 
+def stream_checkpoints(spark, folder):
+    """Every asset's book at the end of each day, as timers of the live stream put it out, silent days too."""
+    from .streaming import books, periodic
+
+    found = books._finished(periodic.checkpoints(sample_feed.staged(_arrivals(views.book_events(spark, folder))), 86_400), "append")
+    rows = storage.checkpoint_levels(periodic.checkpoint_rows(found))
+    flat = rows.select("asset_id", "checkpoint_timestamp_us", F.explode(F.concat(*[F.transform(c, replay._with_side(s)) for c, s in (("bids", 1), ("asks", 2))])).alias("l"))
+    return flat.select("asset_id", "checkpoint_timestamp_us", F.col("l.side").cast("int").alias("side"), "l.price", "l.size")
+
+
+def rotated_sequences(spark, folder):
+    """Levels numbered anew in markets of a week, each of which begins ten seconds early."""
+    from .streaming import books, periodic
+
+    found = books._finished(periodic.rotated(sample_feed.staged(sample_feed.messages(spark, folder)), 7 * 86_400), "append")
+    return found.where("stale_after_us is null").select("bucket", "slug", "asset_id", "recv_timestamp_us", "event_kind", "side", "price", "size", "sequence", "source_event_id")
+
+
 def repeated_append(spark, folder):
     """Validations of which every third asset's batch is delivered twice: they are stored once."""
     base = feed.scratch(spark, "appended")
