@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickbasin.llm import html, packing, pii, quality, tokens, urls
+from tickbasin.llm import html, labelled_urls, packing, pii, quality, tokens, urls
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -187,11 +187,15 @@ def test_url_model_held_out(spark):
     """Precision and recall on hosts that training did not see, of the table's own kind."""
     labelled = urls.labelled_urls(spark)
     n = {r.bad: r["count"] for r in labelled.groupBy("bad").count().collect()}
-    assert labelled.count() < 250 and min(n.values()) > 80
+    assert labelled.count() < 2000 and min(n.values()) > 300
     learnt, apart = urls.held_out(labelled)
-    found = urls.measured(apart, urls.train(learnt))
-    print(found)
-    assert apart.count() > 30 and found["precision"] > 0.7 and found["recall"] > 0.6
+    weights = urls.train(learnt)
+    found = urls.measured(apart, weights)
+    # of the well-known addresses alone, which no rule has made
+    known = {u for text in (labelled_urls.BLOCKED, labelled_urls.ORDINARY) for u in text.split()}
+    real = urls.measured(apart.where(F.col("url").isin(*known)), weights)
+    assert apart.count() > 200 and found["precision"] > 0.9 and found["recall"] > 0.7 and found["false_positives"] < 0.05
+    assert real["precision"] > 0.9 and real["recall"] > 0.5 and real["false_positives"] < 0.05
     whole = urls.measured(labelled, urls.train(labelled))
     assert whole["precision"] > 0.98 and whole["recall"] > 0.98
     assert set(urls.train(labelled.limit(0))) == {0.0}
@@ -199,6 +203,17 @@ def test_url_model_held_out(spark):
     assert urls.filter_urls(empty, [0.0] * (urls.DIMENSIONS + 1)).count() == 0
 
 
+def test_url_model_on_ordinary_hosts(spark):
+    """Of hosts of other made-up names few are blocked, and names with a telling word are."""
+    rng = random.Random(20)
+    names = ["".join(rng.choice(["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "gu", "mok", "zu", "pli", "sche"]) for _ in range(rng.randint(2, 5))) for _ in range(400)]
+    hosts = [(k, f"http://{n}.{rng.choice(['com', 'net', 'example.com', 'ac.uk', 'io'])}/en/{k}") for k, n in enumerate(names)]
+    telling = ["my-casino-club.example.com", "poker24.net", "cheappills.org", "free-torrents.biz", "spam-land.info", "xxxvids.com", "m.bigslots.co.uk"]
+    df = spark.createDataFrame(hosts + [(1000 + k, f"http://{n}/") for k, n in enumerate(telling)], "page_id int, url string")
+    got = {r.page_id: r.verdict for r in urls.filter_urls(df, urls.train(urls.labelled_urls(spark)), rules=[]).collect()}
+    assert sum(got[k] == "block" for k in range(400)) < 20 and sum(got[1000 + k] == "block" for k in range(len(telling))) >= 6
+
+
 def test_url_plan_is_native(spark):
     df = spark.createDataFrame([(1, "http://a.b/")], "page_id long, url string")
     plan = urls.filter_urls(df, [0.0] * (urls.DIMENSIONS + 1))._jdf.queryExecution().executedPlan().toString()

@@ -4,8 +4,20 @@ Blocked: adult content, gambling, pill shops, file piracy, advert and tracking
 servers, link spam.  Ordinary: news, learning, public bodies, health, shops,
 culture, software.  Some ordinary names hold a part that looks blocked (essex,
 scunthorpe, alphabets), so that the model learns more than such parts.
+
+Most hosts have names that no table lists.  So rows are added by a rule: hosts
+of invented syllables and of ordinary words are ordinary, hosts of words that
+blocked sites use are blocked, and both get the same ends of names, subdomains,
+endings and paths, which therefore tell nothing.
 """
 
+from __future__ import annotations
+
+import hashlib
+
+#: Rows that the rule makes: of invented names, of ordinary words, and to block.
+INVENTED, WORDED, BAD = 500, 300, 300
+
 # Addresses to block.
 BLOCKED = """
 https://www.pornhub.com/video https://xvideos.com/ https://www.xnxx.com/search https://xhamster.com/videos/new https://www.redtube.com/ https://youporn.com/category https://spankbang.com/ https://www.brazzers.com/
@@ -37,3 +49,33 @@ https://www.fifa.com/tournaments https://www.olympics.com/en/sports https://www.
 https://www.sbb.ch/en/timetable https://www.heathrow.com/arrivals https://www.booking.com/hotels https://www.tripadvisor.com/museums https://www.openstreetmap.org/about https://www.weather.com/forecast https://www.khanacademy.org/math https://www.coursera.org/browse
 https://www.imdb.com/title https://www.goodreads.com/book https://www.poetryfoundation.org/poems https://www.rottentomatoes.com/ https://www.bandcamp.com/discover https://www.wired.com/category/science https://www.economist.com/leaders https://www.bankofengland.co.uk/statistics
 """
+
+# Parts of the names that the rule makes.
+SYLLABLES = "ba bel bor ca cle da den dor el en fa fin ga gra ha hol in ka kel la len lo ma mer mi mo na nel no or pa per qui ra ren ro sa sel sha si ta tel th ti ton tra u va vel vi wa wel win xi ya zen zo"
+GOOD_WORDS = "news school library museum garden kitchen history science weather travel music health city county college research journal book recipe nature sport football river mountain software data map art theatre bakery church hotel station family design cats bike film wood stone paper"
+BAD_WORDS = "casino poker slots betting jackpot roulette porn xxx sex adult cams escort viagra cialis pills pharma torrent warez crack keygen spam backlink followers payday prize giveaway adserver popunder lotto nude"
+ENDS = "win farm hub zone club best top live now shop deal online world page site land central point daily royale"
+SUBDOMAINS = ". . . www. www. m. blog. news."
+ENDINGS = "com com org net de fr ca co.uk info io"
+PATHS = "/ /en/{n} /de/{n}.html /about /{n}/ /fr/{n} /category/{n} /2024/05/{n} /index.php /es/{n}/ /page-{n}.html /"
+
+
+def made_by_rule() -> list[tuple[str, int]]:
+    """Addresses with 1 for those to block, drawn by hashes, so always the same."""
+    out = []
+    for k in range(INVENTED + WORDED + BAD):
+        digest = hashlib.sha256(f"url {k}".encode()).digest()
+        draws = iter(digest)
+
+        def one(words: str, draws=draws) -> str:
+            listed = words.split()
+            return listed[next(draws) % len(listed)]
+
+        if k < INVENTED:
+            name = "".join(one(SYLLABLES) for _ in range(2 + next(draws) % 3))
+        else:
+            name = one(GOOD_WORDS if k < INVENTED + WORDED else BAD_WORDS)
+        turn = next(draws) % 5
+        name = [name, f"{name}-{one(ENDS)}", f"{one(ENDS)}-{name}", f"{name}{one(ENDS)}", f"{one(SYLLABLES)}{name}"][turn]
+        out.append((f"https://{one(SUBDOMAINS).lstrip('.')}{name}.{one(ENDINGS)}{one(PATHS).format(n=int.from_bytes(digest[-2:]) % 1000)}", int(k >= INVENTED + WORDED)))
+    return out
