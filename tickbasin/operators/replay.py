@@ -20,6 +20,7 @@ from ..errors import BadRequest, NoSnapshot
 from ..functions.codecs import gap_text, levels_from_json, levels_to_json, ordering_us
 from ..functions.fixedpoint import price_text, size_text
 from ..schemas import DELTA, MODES, SNAPSHOT
+from ..sources.feed import stored
 from . import book
 
 HOUR_US = 3_600_000_000
@@ -142,7 +143,7 @@ def reconstruct(events: DataFrame, points: DataFrame, mode: str = "recv_time", l
         known = points.withColumns({"cp_ts": F.lit(None).cast("long")})
         cp = None
     else:
-        cp = checkpoint_at(checkpoints, points, inclusive)
+        cp = stored(checkpoint_at(checkpoints, points, inclusive), "checkpoints-at")  # one row for each point, used three times
         known = points.join(cp.select(*POINT, "cp_ts"), POINT, "left")
         rows = rows.join(cp.select(*POINT, "cp_ts"), POINT, "left").where(F.col("cp_ts").isNull() | (F.col("ots") > F.col("cp_ts")))
     is_snapshot, is_delta = F.col("event_kind") == SNAPSHOT, F.col("event_kind") == DELTA
@@ -245,14 +246,15 @@ def validate(events: DataFrame, points: DataFrame, checkpoints: DataFrame, mode:
     """
     if base not in ("strict", "inclusive"):
         raise BadRequest("base must be strict or inclusive")
-    refs = checkpoint_after(checkpoints, points, lookback_us)
+    refs = stored(checkpoint_after(checkpoints, points, lookback_us), "references")
     at_refs = refs.select("query_id", "asset_id", F.col("ref_ts").alias("at_us"))
     replay = reconstruct(events, at_refs, mode, lookback_us, checkpoints, inclusive=base == "inclusive")
+    levels = stored(replay.levels, "rebuilt-levels")
     sides = F.concat(*[F.transform(F.col(c), _with_side(s)) for c, s in (("ref_bids", 1), ("ref_asks", 2))])
     want = refs.select(*POINT, F.explode(sides).alias("l")).select(*POINT, "l.side", "l.price", "l.size")
     # a level counts as often as it is listed: duplicates never match
     want_n = want.groupBy(*POINT, "side", "price", "size").agg(F.count("*").alias("n"))
-    both = replay.levels.withColumn("have", F.lit(1).cast("long")).join(want_n, [*POINT, "side", "price", "size"], "full_outer")
+    both = levels.withColumn("have", F.lit(1).cast("long")).join(want_n, [*POINT, "side", "price", "size"], "full_outer")
     wrong = both.groupBy(*POINT).agg(F.sum(F.when(F.col("have").eqNullSafe(F.col("n")), 0).otherwise(1)).alias("wrong"))
 
     def tops(levels: DataFrame, name: str) -> DataFrame:
@@ -260,7 +262,7 @@ def validate(events: DataFrame, points: DataFrame, checkpoints: DataFrame, mode:
         text = [F.coalesce(F.concat(price_text(F.col(f"{c}.price")), F.lit(" @ "), size_text(F.col(f"{c}.size"))), F.lit("none")) for c in ("bid", "ask")]
         return s.select(*POINT, F.col("bid_depth").alias(f"{name}_bd"), F.col("ask_depth").alias(f"{name}_ad"), text[0].alias(f"{name}_b"), text[1].alias(f"{name}_a"))
 
-    joined = refs.join(wrong, POINT, "left").join(replay.header.select(*POINT, F.lit(True).alias("rebuilt")), POINT, "left").join(tops(replay.levels, "book"), POINT, "left").join(tops(want, "ref"), POINT, "left")
+    joined = refs.join(wrong, POINT, "left").join(replay.header.select(*POINT, F.lit(True).alias("rebuilt")), POINT, "left").join(tops(levels, "book"), POINT, "left").join(tops(want, "ref"), POINT, "left")
     matched = F.coalesce(F.col("wrong"), F.lit(0)).eqNullSafe(F.lit(0)) & F.coalesce("rebuilt", F.lit(False))
 
     def number(name: str) -> Column:

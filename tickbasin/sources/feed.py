@@ -25,6 +25,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to a new shared folder and read again: a plan that uses them several times computes them once."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_messages(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """A folder of JSON lines as a stream of messages; files_per_trigger bounds a micro-batch."""
     reader = spark.readStream.schema(SCHEMA)
