@@ -50,10 +50,11 @@ def continuity_events(ingest: DataFrame, asset_id: str, start_us: int, end_us: i
     return rows.select(F.col("event_kind").alias("kind"), "recv_timestamp_us", "exchange_timestamp_us", "details", "source_event_id")
 
 
-def collected_continuity(ingest: DataFrame) -> DataFrame:
-    """Every asset's own continuity events as one array in time order."""
+def collected_continuity(ingest: DataFrame, start_us: int, end_us: int) -> DataFrame:
+    """Every asset's own continuity events of a window, which bounds the array, in time order."""
     event = F.struct("recv_timestamp_us", F.col("event_kind").alias("kind"), "details")
-    return ingest.where("asset_id is not null").groupBy("asset_id").agg(F.array_sort(F.collect_list(event)).alias("events"))
+    rows = ingest.where(F.col("asset_id").isNotNull() & F.col("recv_timestamp_us").between(start_us, end_us))
+    return rows.groupBy("asset_id").agg(F.array_sort(F.collect_list(event)).alias("events"))
 
 
 def dataset_stats(df: DataFrame, dataset: str) -> DataFrame:

@@ -75,6 +75,14 @@ def active_assets(active: DataFrame, states: DataFrame, now_us: int, stale_after
     return joined.select("asset_id", "last_recv_timestamp_us", "last_exchange_timestamp_us", is_stale(F.col("last_recv_timestamp_us"), now_us, stale_after_s).alias("stale"), F.coalesce("has_book", F.lit(False)).alias("has_book"))
 
 
+def feed_status(ingest: DataFrame, active: DataFrame, mode: str = "fixed_tokens") -> DataFrame:
+    """One row: the mode, the session's status and id, how many assets are active, and the latest warning that concerns all."""
+    count = active.select("asset_id").distinct().agg(F.count("*").alias("active_asset_count"))
+    shared = warnings(ingest.where("asset_id is null")).select("latest_warning")
+    # each of the three is one row at most
+    return session_status(ingest).select(F.lit(mode).alias("mode"), "*").join(F.broadcast(count)).join(F.broadcast(shared), how="left")
+
+
 def retain_active(rows: DataFrame, active: DataFrame) -> DataFrame:
     """Rows of active assets only."""
     return rows.join(active.select("asset_id").distinct(), "asset_id", "left_semi")

@@ -66,12 +66,22 @@ TOP_COLS = "query_id, asset_id, (b + a) / 2 as mid, a - b as spread, case when b
 WINDOW = f"between {START_US} and {END_US}"
 
 
-def validation(mode: str, base: str) -> str:
+BINS = [1_000, 5_000, 10_000, 50_000, 100_000, 500_000, 1_000_000, 5_000_000, 10_000_000]
+LATENCY_BINS = ", ".join(f"('{b}', {a}, {b})" for a, b in zip([0, *BINS], BINS, strict=False)) + f", ('above', {BINS[-1]}, 9000000000000000000)"
+LEVEL_TEXT = "coalesce(printf('%.4f', {p} / 10000.0) || ' @ ' || printf('%.6f', {z} / 1000000.0), 'none')"
+SIDES = "count(*) filter (side = 1) as bd, count(*) filter (side = 2) as ad, max(price) filter (side = 1) as b, max((price, size)) filter (side = 1) as bt, min(price) filter (side = 2) as a, min((price, size)) filter (side = 2) as at"
+TEXTS = f"""select r.query_id, r.asset_id, 'bid_depth=' || coalesce(l.bd, 0) || ' checkpoint_bid_depth=' || coalesce(w.bd, 0) || ' ask_depth=' || coalesce(l.ad, 0) || ' checkpoint_ask_depth=' || coalesce(w.ad, 0) || ' best_bid=' || {LEVEL_TEXT.format(p='l.b', z='struct_extract(l.bt, 2)')} || ' checkpoint_best_bid=' || {LEVEL_TEXT.format(p='w.b', z='struct_extract(w.bt, 2)')}
+ || ' best_ask=' || {LEVEL_TEXT.format(p='l.a', z='struct_extract(l.at, 2)')} || ' checkpoint_best_ask=' || {LEVEL_TEXT.format(p='w.a', z='struct_extract(w.at, 2)')} as mismatch_summary
+ from rf r left join bd on bd.query_id = r.query_id and bd.asset_id = r.asset_id left join hd on hd.query_id = r.query_id and hd.asset_id = r.asset_id left join (select query_id, asset_id, {SIDES} from lv group by all) l on l.query_id = r.query_id and l.asset_id = r.asset_id
+ left join (select query_id, asset_id, {SIDES} from wa group by all) w on w.query_id = r.query_id and w.asset_id = r.asset_id where bd.query_id is not null or hd.query_id is null"""
+
+
+def validation(mode: str, base: str, select: str | None = None) -> str:
     """Levels of the next checkpoint against the book rebuilt at its time, as multisets."""
     refs = f"rf as (select p.query_id, p.asset_id, p.at_us as t, min(c.checkpoint_timestamp_us) as at_us from pts p join cp c on c.asset_id = p.asset_id and c.checkpoint_timestamp_us > p.at_us and c.checkpoint_timestamp_us <= p.at_us + {LOOKBACK_US} group by all)"
     want = "wa as (select r.query_id, r.asset_id, c.side, c.price, c.size from rf r join cp c on c.asset_id = r.asset_id and c.checkpoint_timestamp_us = r.at_us)"
     bad = "bd as (select query_id, asset_id from ((select * from wa except all select * from lv) union all (select * from lv except all select * from wa)) group by all)"
-    return sql(BE, CP, PTS, refs, *recon(mode, base, "rf"), want, bad, select="""select r.query_id, r.asset_id, r.t as replay_timestamp_us, r.at_us as reference_timestamp_us,
+    return sql(BE, CP, PTS, refs, *recon(mode, base, "rf"), want, bad, select=select or """select r.query_id, r.asset_id, r.t as replay_timestamp_us, r.at_us as reference_timestamp_us,
  bd.query_id is null and hd.query_id is not null as matched from rf r left join bd on bd.query_id = r.query_id and bd.asset_id = r.asset_id left join hd on hd.query_id = r.query_id and hd.asset_id = r.asset_id""")
 
 
@@ -162,7 +172,7 @@ def oracle_sql() -> dict[str, str]:
  (select count(*) from be where be.asset_id = a.asset_id and recv_timestamp_us {WINDOW}) as total_book_events, {", ".join(f"(select count(*) from ie where (ie.asset_id = a.asset_id or ie.asset_id is null) and recv_timestamp_us {WINDOW} {c}) as {n}" for n, c in (("total_ingest_events", ""), ("reconnect_count", "and event_kind in ('reconnect_start', 'reconnect_success')"), ("gap_count", "and event_kind in ('sequence_gap', 'source_reset')"), ("stale_snapshot_skip_count", "and event_kind = 'stale_snapshot_skip'")))},
  {", ".join(f"(select count(*) from rv where rv.asset_id = a.asset_id and persisted_at_us {WINDOW} {c}) as {n}" for n, c in (("validation_count", ""), ("validations_matched", "and matched"), ("validations_mismatched", "and not matched")))} from (select 'A' || i as asset_id from range(10) t(i)) a)"""),
         "continuity_events": sql(IE, select=f"select event_kind as kind, recv_timestamp_us, exchange_timestamp_us, details, source_event_id from ie where (asset_id = 'A3' or asset_id is null) and recv_timestamp_us {WINDOW}"),
-        "collected_continuity": sql(IE, select="select asset_id, count(*) as n, string_agg(event_kind, ',' order by recv_timestamp_us, event_kind, details) as kinds from ie where asset_id is not null group by 1"),
+        "collected_continuity": sql(IE, select=f"select asset_id, count(*) as n, string_agg(event_kind, ',' order by recv_timestamp_us, event_kind, details) as kinds from ie where asset_id is not null and recv_timestamp_us {WINDOW} group by 1"),
         "execution_timeline": sql(XE, select="select event_timestamp_us, order_id, client_order_id, event_kind, case side when 1 then 'bid' else 'ask' end as side, price, size, (select count(*) from xe where asset_id = 'A3') as total_count from xe where asset_id = 'A3' order by event_timestamp_us, order_id, client_order_id, event_kind limit 200"),
         "execution_latency": sql(XE, select="select order_id, client_order_id, event_kind, 3 as normalize_us, 1 as decide_us, 1 as submit_us, ack - event_timestamp_us as ack_us, fill - event_timestamp_us as fill_us, fill - event_timestamp_us + 5 as total_us from xe"),
         "execution_with_book": sql(TE, CP, select=f"""select trade_id, t.asset_id, c.at_us as top_at_us, best_bid, best_ask from te t asof left join (select asset_id, checkpoint_timestamp_us as at_us, max(price) filter (side = 1) as best_bid, min(price) filter (side = 2) as best_ask from cp group by all) c on t.asset_id = c.asset_id and t.recv_timestamp_us >= c.at_us""").replace("c.at_us as top_at_us, best_bid, best_ask from", f"case when c.at_us >= t.recv_timestamp_us - {DAY_US} then c.at_us end as top_at_us, case when c.at_us >= t.recv_timestamp_us - {DAY_US} then best_bid end as best_bid, case when c.at_us >= t.recv_timestamp_us - {DAY_US} then best_ask end as best_ask from"),
@@ -202,6 +212,16 @@ def oracle_sql() -> dict[str, str]:
         "live_source_messages": sql(BE, TE, *FEED, select="""select kind, n, n as n_offsets from (select 'book' as kind, count(*) as n from st union all select 'price_change', count(*) from ms where event_kind = 2 union all select 'last_trade_price', count(*) from te
  union all select 'unknown', count(*) from te where arrival % 41 = 0 union all select 'none', count(*) from te where arrival % 43 = 0 union all select 'reconnect_success', 1) where n > 0"""),
         "live_snapshot": sql(BE, *LIVE, select=f"select s.asset_id, s.sequence, s.last_recv_timestamp_us as last_update_us, max(price) filter (side = 1) as best_bid, min(price) filter (side = 2) as best_ask, count(*) filter (side = 1) as bid_depth, count(*) filter (side = 2) as ask_depth, {NOW_US} - s.last_recv_timestamp_us > 3600000000 as stale from ({STATES}) s join ll on ll.asset_id = s.asset_id where s.asset_id = 'A3' group by all"),
+        "live_snapshot_levels": sql(BE, *LIVE, select="select * from (select asset_id, case side when 1 then 'bid' else 'ask' end as side_name, row_number() over (partition by side order by case when side = 1 then -price else price end) - 1 as pos, price, size from ll where asset_id = 'A3') where pos < 5"),
+        "feed_status": sql(IE, select="select 'fixed_tokens' as mode, case arg_max(event_kind, arrival) filter (event_kind in ('reconnect_start', 'reconnect_success')) when 'reconnect_start' then 'reconnecting' when 'reconnect_success' then 'connected' else 'starting' end as session_status, arg_max(source_session_id, arrival) filter (event_kind = 'reconnect_success') as current_session_id, 10::bigint as active_asset_count, arg_max(event_kind, arrival) filter (asset_id is null) as warning, arg_max(recv_timestamp_us, arrival) filter (asset_id is null) as warned_us from ie"),
+        "validate_texts": validation("exchange_time", "strict", TEXTS),
+        "clustered_scans": sql(BE, TE, IE, CP, RV, XE, select=f"""select 'book_events' as scan, count(*) as n, cast(sum(recv_timestamp_us) as bigint) as clocks from be where asset_id = 'A3' and recv_timestamp_us {WINDOW} union all select 'trade_events', count(*), cast(sum(recv_timestamp_us) as bigint) from te where asset_id = 'A3' and recv_timestamp_us {WINDOW}
+ union all select 'ingest_events', count(*), cast(sum(recv_timestamp_us) as bigint) from ie where (asset_id = 'A3' or asset_id is null) and recv_timestamp_us {WINDOW} union all select 'book_checkpoints', count(*), cast(sum(t) as bigint) from (select distinct checkpoint_timestamp_us as t from cp where asset_id = 'A3' and checkpoint_timestamp_us {WINDOW})
+ union all select 'replay_validations', count(*), cast(sum(persisted_at_us) as bigint) from rv where asset_id = 'A3' and persisted_at_us {WINDOW} union all select 'execution_events', count(*), cast(sum(event_timestamp_us) as bigint) from xe where order_id = 'O7'
+ union all select 'latest_checkpoint', count(*), max(t) from (select max(checkpoint_timestamp_us) as t from cp where asset_id = 'A3' and checkpoint_timestamp_us <= {START_US}) where t is not null"""),
+        "stream_metrics": sql(BE, TE, IE, *FEED, TRADES, select=f"""select metric, n from (select 'messages_received' as metric, (select count(*) from nm) + (select count(*) from tr) + (select count(*) from ({ROUTED_INGEST})) as n union all select 'snapshots_applied', count(*) from nm where event_kind = 1 union all select 'deltas_applied', count(*) from nm where event_kind = 2
+ union all select 'trades_received', count(*) from tr union all select 'gaps_detected', 0 union all select 'reconnections', count(*) from ie where event_kind = 'reconnect_success' union all select 'snapshots_reconciled', count(*) from nm where event_kind = 1 and seq = 0 union all select 'stale_snapshots_skipped', count(*) from st where stale
+ union all select 'ws_latency_us_' || name, count(late) from (values {LATENCY_BINS}) b(name, low, high) left join (select recv_timestamp_us - ex as late from (select recv_timestamp_us, ex from nm union all select recv_timestamp_us, ex from tr) where ex > 0 and recv_timestamp_us > ex) on late > low and late <= high group by name)"""),
         "market_buckets_5m": sql(select="select ts_us // 1000000 - ts_us // 1000000 % 300 as bucket, 'btc-updown-5m-' || (ts_us // 1000000 - ts_us // 1000000 % 300) as slug, count(*) as n from ev group by all"),
         "token_ids_explode": sql(DISCOVERY, select="select id, 'm' || id as market_id, pos, tok || id as token_id from dc, (values (0, 't'), (1, 'u')) t(pos, tok) where key % 3 = 0 or key % 7 <> 0"),
         "market_keyword": sql(DISCOVERY, select="select id, title from dc where contains(lower(title), 'building') or contains(lower(seg), 'building')"),

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sample_feed
+from . import sample_feed, schemas
 from .functions import codecs, fixedpoint
 from .operators import book, execution, integrity, live, markets, normalize, replay, timeline
 from .schemas import PARTITION_TIME
-from .sources import feed, ledger, live_source, storage, views
+from .sources import feed, ledger, live_source, storage, tables, views
 
 DAY_US = 86_400_000_000
 #: The times (query_id, at_us) of the books that the replay queries rebuild, for every asset, and their lookback.
@@ -56,14 +57,14 @@ def scan_ingest_asset_or_global(spark, folder):
 
 
 def scan_checkpoints(spark, folder):
-    rows = storage.scan(views.book_checkpoints(spark, folder), "book_checkpoints", START_US, END_US, "A3")
+    rows = storage.in_time(storage.scan(views.book_checkpoints(spark, folder), "book_checkpoints", START_US, END_US, "A3"), "book_checkpoints")
     levels = F.concat(*[F.transform(c, replay._with_side(s)) for c, s in (("bids", 1), ("asks", 2))])
     flat = storage.checkpoint_levels(rows).select("checkpoint_timestamp_us", F.explode(levels).alias("l"))
     return flat.select("checkpoint_timestamp_us", F.col("l.side").cast("int").alias("side"), "l.price", "l.size")
 
 
 def scan_validations(spark, folder):
-    rows = storage.scan(views.replay_validations(spark, folder), "replay_validations", START_US, END_US, "A3")
+    rows = storage.in_time(storage.scan(views.replay_validations(spark, folder), "replay_validations", START_US, END_US, "A3"), "replay_validations")
     return rows.select("asset_id", "mode", "replay_timestamp_us", "reference_timestamp_us", "matched", "mismatch_summary", "persisted_at_us")
 
 
@@ -194,7 +195,7 @@ def continuity_events(spark, folder):
 
 
 def collected_continuity(spark, folder):
-    rows = integrity.collected_continuity(views.ingest_events(spark, folder))
+    rows = integrity.collected_continuity(views.ingest_events(spark, folder), START_US, END_US)
     return rows.select("asset_id", F.size("events").cast("long").alias("n"), F.array_join(F.transform("events", lambda e: e["kind"]), ",").alias("kinds"))
 
 
@@ -314,6 +315,54 @@ def live_snapshot(spark, folder):
     return rows.select("asset_id", "sequence", "last_update_us", "best_bid", "best_ask", "bid_depth", "ask_depth", "stale")
 
 
+def live_snapshot_levels(spark, folder):
+    """The live snapshot's own levels, cut to a depth of five."""
+    active = spark.range(10).select(F.concat(F.lit("A"), F.col("id").cast("string")).alias("asset_id"))
+    row = live.live_snapshot(_arrivals(views.book_events(spark, folder)), _arrivals(views.ingest_events(spark, folder)), active, "A3", 5, NOW_US, 3600)
+    sides = [row.select("asset_id", F.lit(name).alias("side_name"), F.posexplode(c).alias("pos", "l")) for name, c in (("bid", "bids"), ("ask", "asks"))]
+    return sides[0].unionByName(sides[1]).select("asset_id", "side_name", F.col("pos").cast("long").alias("pos"), "l.price", "l.size")
+
+
+def feed_status(spark, folder):
+    active = spark.range(10).select(F.concat(F.lit("A"), F.col("id").cast("string")).alias("asset_id"))
+    rows = live.feed_status(_arrivals(views.ingest_events(spark, folder)), active)
+    return rows.select("mode", "session_status", "current_session_id", "active_asset_count", F.col("latest_warning.kind").alias("warning"), F.col("latest_warning.recv_timestamp_us").alias("warned_us"))
+
+
+def validate_texts(spark, folder):
+    """What validations say of the books that do not match."""
+    rows = replay.validate(views.book_events(spark, folder), points(spark), views.book_checkpoints(spark, folder), "exchange_time", "strict", LOOKBACK_US)
+    return rows.where("not matched").select("query_id", "asset_id", "mismatch_summary")
+
+
+def clustered_scans(spark, folder):
+    """The five scans of the clustered tables, as counts and sums of their clocks."""
+    database = f"tb{uuid.uuid4().hex[:12]}"
+    tables.create(spark, database, feed.scratch(spark, "clustered"), 8)
+    for name in schemas.DATASETS:
+        tables.append(views.VIEWS[name](spark, folder), database, name, 8)
+    found = {**tables.market_data(spark, database, "A3", START_US, END_US), "book_checkpoints": tables.checkpoints(spark, database, "A3", START_US, END_US), "replay_validations": tables.validations(spark, database, "A3", START_US, END_US), "execution_events": tables.executions(spark, database, 0, 2 * NOW_US, "O7")}
+    parts = [rows.agg(F.lit(name).alias("scan"), F.count("*").alias("n"), F.sum(PARTITION_TIME[name]).alias("clocks")) for name, rows in found.items()]
+    parts.append(tables.latest_checkpoint(spark, database, "A3", START_US).agg(F.lit("latest_checkpoint").alias("scan"), F.count("*").alias("n"), F.sum("checkpoint_timestamp_us").alias("clocks")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def stream_metrics(spark, folder):
+    """Counters and the latency histogram of the tagged rows of the feed, as the stream observes them."""
+    from .streaming import metrics, route
+
+    n = normalize.normalize(sample_feed.written_messages(spark, folder))
+    tagged = route.tag(n.book_events, "book_events").unionByName(route.tag(n.trade_events, "trade_events")).unionByName(route.tag(n.ingest_events, "ingest_events"))
+    row = tagged.agg(*metrics.of_tagged(tagged)).drop("ws_latency_sketch")
+    bounds = [*metrics.HISTOGRAMS["ws_latency_us"], None]
+    entries = [F.struct(F.lit(c).alias("metric"), F.col(c).alias("n")) for c in row.columns if c != "ws_latency_us"]
+    entries += [F.struct(F.lit(f"ws_latency_us_{'above' if b is None else b}").alias("metric"), F.get("ws_latency_us", F.lit(k)).alias("n")) for k, b in enumerate(bounds)]
+    return row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+
+
 def market_buckets_5m(spark, folder):
     s = F.call_function("div", F.col("ts_us"), F.lit(1_000_000))
     return views.events(spark, folder).groupBy(codecs.bucket_5m(s).alias("bucket"), codecs.market_slug(s).alias("slug")).agg(F.count("*").alias("n"))

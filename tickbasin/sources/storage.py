@@ -111,6 +111,13 @@ def scan(df: DataFrame, dataset: str, start_us: int, end_us: int, asset_id: str
     return rows.select([f.name for f in DATASETS[dataset].fields])
 
 
+def in_time(df: DataFrame, dataset: str) -> DataFrame:
+    """Rows in the order of the dataset's clock; ties fall to the asset or order, then to the other columns."""
+    clock = PARTITION_TIME[dataset]
+    first = [clock, "order_id" if dataset == "execution_events" else "asset_id"]
+    return df.orderBy(*first, *[f.name for f in DATASETS[dataset].fields if f.name not in first])
+
+
 def checkpoint_levels(checkpoints: DataFrame) -> DataFrame:
     """Checkpoints with arrays of raw levels, bids and asks, for their JSON."""
     return checkpoints.withColumns({"bids": levels_from_json(F.col("bids_json")), "asks": levels_from_json(F.col("asks_json"))})
