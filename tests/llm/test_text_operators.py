@@ -138,6 +138,36 @@ def test_html_small_cases():
         assert html.extract(page, None) == text, page
 
 
+def test_html_adverts():
+    """Adverts inside lines go with all they hold; names that only contain such a word stay."""
+    cases = {
+        "<p>a <a class='promo' href='/x'>Buy</a>b": "a b", "<p>a <span class=\"ad\">x <span>y</span> z</span>b": "a b", "<p>a <i hidden>x</i>b": "a b", "<div>a<a id=adBox><div>x</div></a>b</div>": "a b",
+        "<div><p>a <span class=ad>x</p><p>b</p></div>": "a b", "a <span class=ad>x": "a", "<p>a <b class=ad/>b": "a b", "<p>a</b> <em class=ads>x</em></em>b": "a b", "a <span class=ad>x<p>y</p>z</span> b": "a b",
+        "<div class='ad-free'>a</div>": "a", "<div class='adFree'>a</div><div class='ad-box'>x</div>": "a", "<div class=ad-hoc-query>a</div>": "a", "<pre>f() <span class='hljs-comment'># why</span></pre>": "f() # why",
+        "<p>a <a href='/download?ad=1'>load</a>": "a load", "<div class='no-sidebar'>a</div>": "a", "<div class='roadmap shadow'>a</div>": "a", "<p>a <font class=shadow>b</font>": "a b",
+    }
+    for page, text in cases.items():
+        assert html.extract(page, None) == text, page
+    n = 100_000
+    began = time.perf_counter()
+    assert html.extract("<span class=ad>" * n + "</span>" * n + "t", None) == "t"
+    assert html.extract("<p>t" + "<a class=x" + " class=y" * n + ">u", None) == "tu"
+    assert html.extract("<p>t" + "<a class= >" * n, None) == "t"
+    assert html.extract("<p>t<a " + "class=x " * n + ">u", None) == "tu"
+    assert time.perf_counter() - began < 20
+
+
+def test_html_repeated_rows_null_ids_and_ties(spark):
+    """Repeated rows give repeated rows, null ids stay, and of paths with equal votes the one of fewest steps wins, whatever the order."""
+    tied = "<body><div class=a><p>1234567890</p></div><div class=b><p>abcdefghij</p></div></body>"
+    rows = [(1, "http://t.e/1", tied)] * 3 + [(None, "http://t.e/2", tied)] * 2 + [(2, None, "<p>x</p>"), (2, None, "<p>x</p>")]
+    schema = "page_id long, url string, html string"
+    got = sorted(((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in html.extract_main_text(spark.createDataFrame(rows, schema)).collect()))
+    again = sorted(((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in html.extract_main_text(spark.createDataFrame(rows[::-1], schema).repartition(5)).collect()))
+    assert got == again and len(got) == 7
+    assert len({t for _, u, t, _ in got if u}) == 1 and got[0][:2] == (0, "http://t.e/2") and got[-1] == (2, "", "x", 1)
+
+
 def test_html_hosts_vote(spark):
     """Pages whose own best container is a teaser are read along the host's path."""
     usual = "<body><div class='c1'><p>{}</p></div><div class='teaser'><p>short</p></div></body>"

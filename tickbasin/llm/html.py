@@ -39,6 +39,10 @@ CONTAINERS = frozenset("html body main article section div td blockquote center"
 ARTICLES = frozenset("article main".split())
 DROPPED = frozenset("nav footer aside form head menu button select dialog".split())
 BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies notice notices consent gdpr popup modal overlay alert sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments commentlist disqus respond replies reply share sharing social related recommended newsletter subscribe signup footer masthead pagination pager toolbar widget hidden".split())
+# Of these also inside a line: adverts. Other words there name parts of a text, as comments in listings.
+INLINE_BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo hidden".split())
+#: A word of a class after which the one before says the opposite or something else, as in ad-free and ad-hoc.
+OTHERWISE = frozenset("free hoc less".split())
 #: Levels of containers that are told apart.
 DEPTH = 48
 #: Blocks of article text.
@@ -52,6 +56,8 @@ NAME = re.compile(r"/?[A-Za-z][A-Za-z0-9:-]*")
 #: The rest of a tag with quoted values, and without.
 REST, PLAIN_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>"), re.compile(r"[^>]*>")
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-label)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One of these is in the attributes of inline boilerplate.
+INLINE_HINT = re.compile(r"hidden|ad|sponsor|promo", re.I)
 SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 NUMBERS = re.compile(r"[0-9]+")
 RAW_END = {tag: re.compile(rf"</{tag}(?![A-Za-z0-9-])[^>]*>", re.I) for tag in RAW}
@@ -62,19 +68,32 @@ def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(text)} if text else {}
 
 
+def named_so(attrs: dict[str, str], names: frozenset[str]) -> bool:
+    """Whether a class or the id of an element has one of the names as a word, neither denied nor turned into another."""
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        words = [w.lower() for w in SPLIT.split(name) if w]
+        if words and words[0] not in ("has", "with", "no", "without") and any(w in names and after not in OTHERWISE for w, after in zip(words, [*words[1:], ""], strict=True)):
+            return True
+    return False
+
+
 def is_boilerplate(tag: str, attrs: dict[str, str]) -> bool:
-    """Whether an element is a menu, notice, advert or the like by its tag, class, id or role."""
+    """Whether a block is a menu, notice, advert or the like by its tag, class, id or role."""
     if tag in DROPPED:
         return True
     if tag in ("html", "body", "main", "article") or not attrs:
         return False
     if "hidden" in attrs or attrs.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form"):
         return True
-    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
-        words = [w.lower() for w in SPLIT.split(name) if w]
-        if words and words[0] not in ("has", "with", "no", "without") and not BOILERPLATE.isdisjoint(words):
-            return True
-    return False
+    return named_so(attrs, BOILERPLATE)
+
+
+def is_inline_boilerplate(rest: str) -> bool:
+    """Whether an inline tag with these attributes is an advert or hidden."""
+    if not rest or not INLINE_HINT.search(rest):
+        return False
+    attrs = attributes(rest)
+    return "hidden" in attrs or named_so(attrs, INLINE_BOILERPLATE)
 
 
 class Node:
@@ -135,6 +154,23 @@ class Page:
         self.places: dict[str, list[int]] = {}
         self.bounds: list[int] = []
         self.piece: list[str] = []
+        #: The open inline advert: its tag, how often that is open, and the height of the stack below which it ends.
+        self.advert, self.nested, self.height = "", 0, 0
+
+    def text(self, part: str) -> None:
+        """Text between tags; that of an inline advert goes."""
+        if not self.advert:
+            self.piece.append(part)
+
+    def inline(self, name: str, rest: str) -> None:
+        """An inline tag, or the end of one."""
+        if not self.advert:
+            if name[0] != "/" and name not in VOID and not rest.endswith("/") and is_inline_boilerplate(rest):
+                self.advert, self.nested, self.height = name, 1, len(self.stack)
+        elif name.lstrip("/") == self.advert:
+            self.nested += -1 if name[0] == "/" else 1
+            if not self.nested:
+                self.advert = ""
 
     def flush(self) -> None:
         """Ends a block of text."""
@@ -156,6 +192,8 @@ class Page:
             if tag in BOUNDS:
                 self.bounds.pop()
         del self.stack[place:]
+        if len(self.stack) < self.height:
+            self.advert, self.height = "", 0
 
     def close(self, tag: str) -> None:
         """An end tag."""
@@ -175,7 +213,7 @@ class Page:
             self.pop_to(len(self.stack) - 1)
         attrs = attributes(attributes_text)
         _, node, kept, depth = self.stack[-1]
-        inside = kept and not is_boilerplate(tag, attrs) and not (tag == "header" and not self.places.get("article") and not self.places.get("main"))
+        inside = kept and not self.advert and not is_boilerplate(tag, attrs) and not (tag == "header" and not self.places.get("article") and not self.places.get("main"))
         if tag in CONTAINERS and depth < DEPTH:
             child = Node(tag, step(node.path, tag, attrs.get("class", "")), (*node.above, node.path), inside)
             node.items.append(child)
@@ -187,7 +225,9 @@ class Page:
 
 
 def parse(html: str) -> Node:
-    """The tree of containers; inline tags leave no trace, dropped elements no text.
+    """The tree of containers; inline tags leave no trace, dropped elements and inline adverts no text.
+
+    An inline advert that is not closed ends with the block in which it begins.
 
     Containers become nodes; other blocks only end the text block before them.
     """
@@ -201,20 +241,24 @@ def parse(html: str) -> Node:
             break
         skip = None
         if start > at:
-            page.piece.append(html[at:start])
+            page.text(html[at:start])
         at = end
         if tag is None:
             continue
         if tag[0] == "/":
             if tag[1:] in BLOCKS:
                 page.close(tag[1:])
+            else:
+                page.inline(tag, "")
         elif tag in RAW:
             if not rest.endswith("/"):
                 close = RAW_END[tag].search(html, at, last)
                 at = skip = close.end() if close else len(html)
         elif tag in BLOCKS:
             page.open(tag, rest)
-    page.piece.append(html[at:])
+        else:
+            page.inline(tag, rest)
+    page.text(html[at:])
     page.flush()
     return page.root
 
