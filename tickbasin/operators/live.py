@@ -12,6 +12,9 @@ from ..errors import NotFound, NotReady
 from ..schemas import DELTA, SNAPSHOT
 from . import book
 
+#: Arrivals that are ordered together; a hot asset is shared by as many tasks as it has such stretches.
+STRETCH = 1 << 16
+
 
 def warnings(ingest: DataFrame) -> DataFrame:
     """Latest continuity warning of every asset; asset_id is null for the global one."""
@@ -29,12 +32,27 @@ def session_status(ingest: DataFrame) -> DataFrame:
     return ingest.agg(status.alias("session_status"), F.max_by("source_session_id", F.when(success, F.col("arrival"))).alias("current_session_id"))
 
 
-def snapshot_groups(events: DataFrame) -> DataFrame:
-    """Adds the group of each row: snapshot rows of one asset that follow each other with equal clocks and event id."""
-    by = Window.partitionBy("asset_id").orderBy("arrival")
-    key = F.struct("event_kind", "recv_timestamp_us", "exchange_timestamp_us", F.coalesce("source_event_id", F.lit("")))
-    same = (F.col("event_kind") == SNAPSHOT) & (F.lag(key).over(by) == key)
-    return events.withColumn("group", F.sum(F.when(same, 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+def snapshot_groups(events: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """Adds the group of each row: snapshot rows of one asset that follow each other with equal clocks and event id.
+
+    Groups are counted within stretches of arrivals, the first row of each as a
+    start; of a stretch one small row says how many groups it has and whether
+    its first one goes on from the stretch before, and the sums of these rows
+    are added.  So no asset's rows are sorted in one task.  Rows need an asset
+    and an arrival number of their own.
+    """
+    key = F.struct("event_kind", "recv_timestamp_us", "exchange_timestamp_us", F.coalesce("source_event_id", F.lit("")).alias("source_event_id"))
+    rows = events.withColumns({"stretch": F.call_function("div", "arrival", F.lit(stretch)), "key": key})
+    inside = Window.partitionBy("asset_id", "stretch").orderBy("arrival")
+    same = (F.col("event_kind") == SNAPSHOT) & (F.lag("key").over(inside) == F.col("key"))
+    local = rows.withColumn("local", F.sum(F.when(same, 0).otherwise(1)).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = local.groupBy("asset_id", "stretch").agg(F.max("local").alias("n"), F.min_by("key", "arrival").alias("first"), F.max_by("key", "arrival").alias("last"))
+    by = Window.partitionBy("asset_id").orderBy("stretch")
+    goes_on = F.when((F.col("first.event_kind") == SNAPSHOT) & (F.lag("last").over(by) == F.col("first")), 1).otherwise(0)
+    ends = ends.withColumn("goes_on", goes_on)
+    earlier = F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = ends.select("asset_id", "stretch", (earlier - F.sum("goes_on").over(by.rowsBetween(Window.unboundedPreceding, 0))).alias("shift"))
+    return local.join(shifts, ["asset_id", "stretch"]).withColumn("group", F.col("local") + F.col("shift")).select(*events.columns, "group")
 
 
 def live_books(events: DataFrame) -> DataFrame:

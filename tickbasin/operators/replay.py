@@ -225,11 +225,18 @@ def continuity(replay: Replay, ingest: DataFrame, lookback_us: int | None = HOUR
 
 
 def snapshot_runs(events: DataFrame, mode: str = "recv_time") -> DataFrame:
-    """Runs of snapshot rows of one time that no delta interrupts: (asset_id, ots, run, n, first_sequence, last_sequence)."""
-    rows = ordered(events, mode)
-    in_asset = Window.partitionBy("asset_id").orderBy("key")
-    in_time = Window.partitionBy("asset_id", "event_kind", "ots").orderBy("key")
-    runs = rows.withColumn("run", F.row_number().over(in_asset) - F.row_number().over(in_time)).where(F.col("event_kind") == SNAPSHOT)
+    """Runs of snapshot rows of one time that no delta interrupts: (asset_id, ots, run, n, first_sequence, last_sequence).
+
+    The order begins with the time, so rows of one time stand together, and a
+    run is the rows that have as many others of their time before them; rows
+    with equal keys stand in the order of their kinds.  One
+    shuffle by asset and time serves all steps, and no asset's history is
+    sorted as a whole.
+    """
+    at = Window.partitionBy("asset_id", "ots").orderBy("key", "event_kind")
+    is_snapshot = F.col("event_kind").eqNullSafe(SNAPSHOT)
+    others = F.sum(F.when(is_snapshot, 0).otherwise(1)).over(at.rowsBetween(Window.unboundedPreceding, 0))
+    runs = ordered(events, mode).select("asset_id", "ots", "key", "event_kind", others.alias("run")).where(is_snapshot)
     sq = F.col("key.sq")
     grouped = runs.groupBy("asset_id", "ots", "run").agg(F.count("*").alias("n"), F.min("key")["sq"].alias("first_sequence"), F.max("key")["sq"].alias("last_sequence"), F.sum((sq == 0).cast("long")).alias("n_unnumbered"))
     order = Window.partitionBy("asset_id", "ots").orderBy("run")
