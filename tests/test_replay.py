@@ -103,7 +103,10 @@ def test_derived_checkpoints_validate(spark):
 
 @pytest.mark.parametrize("mode", ["recv_time", "exchange_time"])
 @pytest.mark.parametrize("with_checkpoint", [False, True])
-def test_random_against_loop(spark, mode, with_checkpoint):
+@pytest.mark.parametrize("bounded", [False, True])
+def test_random_against_loop(spark, monkeypatch, mode, with_checkpoint, bounded):
+    # without a lookback the events from the base on, in many buckets
+    monkeypatch.setattr(replay.since_base, "__defaults__", (3,))
     rng = random.Random(f"{mode}{with_checkpoint}")
     all_rows, all_points, cps, want = [], [], [], {}
     for case in range(150):
@@ -113,7 +116,7 @@ def test_random_against_loop(spark, mode, with_checkpoint):
             recv = rng.randint(1, 12)
             kind = 1 if rng.random() < 0.35 else 2
             rows.append({"asset": asset, "recv": recv, "ex": rng.choice([0, recv, max(1, recv - rng.randint(0, 4)), recv + 1]), "kind": kind, "side": rng.randint(1, 2), "price": rng.randint(1, 4), "size": rng.choice([0, 1, 2, 3]), "seq": rng.choice([None, *range(0, 8)]), "id": f"{k:03d}"})
-        at, lookback = rng.randint(1, 13), 9
+        at, lookback = rng.randint(1, 13), 9 if bounded else 10**9
         cp = None
         if with_checkpoint and rng.random() < 0.8:
             cp = (rng.randint(1, 13), [(s, p, rng.randint(0, 3)) for s in (1, 2) for p in rng.sample(range(1, 5), rng.randint(0, 3))])
@@ -123,7 +126,7 @@ def test_random_against_loop(spark, mode, with_checkpoint):
         all_rows += rows
         all_points.append((case, asset, at))
         want[case] = simulated(rows, at, mode, lookback, cp)
-    r = replay.reconstruct(events(spark, all_rows), points(spark, all_points), mode, 9, checkpoints(spark, cps) if with_checkpoint else None)
+    r = replay.reconstruct(events(spark, all_rows), points(spark, all_points), mode, lookback if bounded else None, checkpoints(spark, cps) if with_checkpoint else None)
     heads = {h.query_id: (h.sequence, h.last_update_us) for h in r.header.collect()}
     books, found = {}, {}
     for x in r.levels.collect():

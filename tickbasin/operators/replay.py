@@ -26,6 +26,8 @@ from . import book
 HOUR_US = 3_600_000_000
 #: Time of a bucket in which an as-of join orders stamps and points.
 ASOF_BUCKET_US = 6 * HOUR_US
+#: Time of a bucket in which events meet points whose base may be long ago.
+BASE_BUCKET_US = 24 * HOUR_US
 POINT = ["query_id", "asset_id"]
 
 
@@ -58,22 +60,38 @@ def ordered(events: DataFrame, mode: str) -> DataFrame:
     return events.withColumns({"ots": ots, "key": key})
 
 
-def at_points(events: DataFrame, points: DataFrame, lookback_us: int | None) -> DataFrame:
-    """Every point's events, received in [at - lookback, at]; without a lookback all up to the point.
+def at_points(events: DataFrame, points: DataFrame, lookback_us: int) -> DataFrame:
+    """Every point's events, received in [at - lookback, at].
 
-    With a lookback the join is by asset and time bucket, so the work follows
-    the events in the windows; a bucket is as long as the lookback, so a window
-    meets two of them.
+    The join is by asset and time bucket, so the work follows the events in the
+    windows; a bucket is as long as the lookback, so a window meets two of them.
     """
     recv, at = F.col("recv_timestamp_us"), F.col("at_us")
-    if lookback_us is None:
-        return events.join(points, "asset_id").where(recv <= at)
     start = F.greatest(at - lookback_us, F.lit(0))
     near = points.withColumn("bucket", F.explode(F.sequence(F.call_function("div", start, F.lit(lookback_us)), F.call_function("div", at, F.lit(lookback_us)))))
     dealt = events.withColumn("bucket", F.call_function("div", recv, F.lit(lookback_us)))
     return dealt.join(near, ["asset_id", "bucket"]).where(recv.between(start, at)).drop("bucket")
 
 
+def since_base(rows: DataFrame, known: DataFrame, bucket_us: int = BASE_BUCKET_US) -> DataFrame:
+    """Every point's events from its base on, however old: known has cp_ts, the checkpoint's time, or null.
+
+    rows are ordered().  An as-of join finds a snapshot that the point may see;
+    the last one is no earlier, so nothing before it is needed, and the events
+    between base and point meet it by asset and bucket of the ordering clock.
+    Points with neither checkpoint nor snapshot meet none.
+    """
+    at, recv = F.col("at_us"), F.col("recv_timestamp_us")
+    # both clocks bound what a point sees
+    snapshots = rows.where(F.col("event_kind") == SNAPSHOT).select("asset_id", F.greatest("ots", "recv_timestamp_us").alias("ts"), "ots")
+    first = snapshots.groupBy("asset_id", "ts").agg(F.min("ots").alias("from_us"))
+    seen = nearest(first, known.where("cp_ts is null"), True).join(first, ["asset_id", "ts"]).select(*POINT, "from_us")
+    near = known.join(seen, POINT, "left").withColumn("from_us", F.coalesce("cp_ts", "from_us")).where("from_us is not null").drop("cp_ts")
+    near = near.withColumn("bucket", F.explode(F.sequence(F.call_function("div", "from_us", F.lit(bucket_us)), F.call_function("div", at, F.lit(bucket_us)))))
+    dealt = rows.withColumn("bucket", F.call_function("div", "ots", F.lit(bucket_us)))
+    return dealt.join(near, ["asset_id", "bucket"]).where((recv <= at) & F.col("ots").between(F.col("from_us"), at)).drop("bucket", "from_us")
+
+
 def nearest(stamps: DataFrame, points: DataFrame, inclusive: bool, forward: bool = False) -> DataFrame:
     """As-of join of stamps (asset_id, ts): points with the last ts at or before them (forward: the first at or after), equal ones only if inclusive.
 
@@ -133,18 +151,21 @@ def reconstruct(events: DataFrame, points: DataFrame, mode: str = "recv_time", l
     later snapshot replaces it; else the last snapshot is.  Zero sizes are
     ignored in snapshots and checkpoints and delete a level in deltas.  Both
     modes take events by receive time; a point with neither snapshot nor
-    checkpoint has no header and no levels.
+    checkpoint has no header and no levels.  Without a lookback a base may be of
+    any age.
 
     header: query_id, asset_id, sequence, last_update_us, used_checkpoint.
     levels: query_id, asset_id, side, price, size.
     """
-    rows = at_points(ordered(events, mode), points, lookback_us).where(F.col("ots") <= F.col("at_us"))
     if checkpoints is None:
         known = points.withColumns({"cp_ts": F.lit(None).cast("long")})
         cp = None
     else:
         cp = stored(checkpoint_at(checkpoints, points, inclusive), "checkpoints-at")  # one row for each point, used three times
         known = points.join(cp.select(*POINT, "cp_ts"), POINT, "left")
+    rows = ordered(events, mode)
+    rows = since_base(rows, known) if lookback_us is None else at_points(rows, points, lookback_us).where(F.col("ots") <= F.col("at_us"))
+    if cp is not None:
         rows = rows.join(cp.select(*POINT, "cp_ts"), POINT, "left").where(F.col("cp_ts").isNull() | (F.col("ots") > F.col("cp_ts")))
     is_snapshot, is_delta = F.col("event_kind") == SNAPSHOT, F.col("event_kind") == DELTA
     # the last snapshot row, and the last delta among the rows of its time before it

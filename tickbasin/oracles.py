@@ -31,7 +31,7 @@ def sql(*ctes: str, select: str) -> str:
     return "with " + ",\n".join([EV, *ctes]) + "\n" + select
 
 
-def recon(mode: str, checkpoints: str | None = None, points: str = "pts") -> list[str]:
+def recon(mode: str, checkpoints: str | None = None, points: str = "pts", lookback_us: int = LOOKBACK_US) -> list[str]:
     """Parts of a reconstruction by row numbers: n (rows), base, tail, lv (levels), hd (headers), gp (gaps)."""
     ots = "recv_timestamp_us" if mode == "recv_time" else "case when exchange_timestamp_us = 0 then recv_timestamp_us else exchange_timestamp_us end"
     k2 = "0" if mode == "recv_time" else "recv_timestamp_us"
@@ -40,7 +40,7 @@ def recon(mode: str, checkpoints: str | None = None, points: str = "pts") -> lis
     return [
         cps,
         f"""n as (select *, row_number() over (partition by query_id, asset_id order by ots, k2, sq, source_event_id, side, price, size) as rn from
- (select p.query_id, p.at_us, ca.cp_ts, b.*, {ots} as ots, {k2} as k2, coalesce(sequence, 0) as sq from be b join {points} p on p.asset_id = b.asset_id and b.recv_timestamp_us between greatest(p.at_us - {LOOKBACK_US}, 0) and p.at_us
+ (select p.query_id, p.at_us, ca.cp_ts, b.*, {ots} as ots, {k2} as k2, coalesce(sequence, 0) as sq from be b join {points} p on p.asset_id = b.asset_id and b.recv_timestamp_us between greatest(p.at_us - {lookback_us}, 0) and p.at_us
  left join ca on ca.query_id = p.query_id and ca.asset_id = p.asset_id) where ots <= at_us and (cp_ts is null or ots > cp_ts))""",
         "n2 as (select *, rn - row_number() over (partition by query_id, asset_id, event_kind, ots order by rn) as isl from n)",
         "sn as (select query_id, asset_id, max(rn) as last_s, arg_max(ots, rn) as snap_ts, arg_max(isl, rn) as last_isl from n2 where event_kind = 1 group by all)",
@@ -148,6 +148,9 @@ def oracle_sql() -> dict[str, str]:
         "recon_exchange_levels": sql(BE, PTS, CP, *recon("exchange_time"), select=LEVELS),
         "recon_checkpoint_levels": sql(*both, *recon("recv_time", "inclusive"), select=LEVELS),
         "recon_checkpoint_exchange_levels": sql(*both, *recon("exchange_time", "inclusive"), select=LEVELS),
+        "recon_whole_levels": sql(BE, PTS, CP, *recon("recv_time", lookback_us=END_US), select=LEVELS),
+        "recon_whole_checkpoint_levels": sql(*both, *recon("exchange_time", "inclusive", lookback_us=END_US), select=LEVELS),
+        "recon_whole_gaps": sql(*both, *recon("recv_time", lookback_us=END_US), select=GAPS),
         "recon_header": sql(*both, *recon("recv_time"), select="select * from hd"),
         "recon_checkpoint_header": sql(*both, *recon("exchange_time", "inclusive"), select="select * from hd"),
         "recon_gaps": sql(*both, *recon("recv_time"), select=GAPS),

@@ -29,9 +29,9 @@ def points(spark: SparkSession) -> DataFrame:
     return assets.select("asset_id", F.explode(times).alias("t")).select("t.query_id", "asset_id", "t.at_us")
 
 
-def _replay(spark: SparkSession, folder: str, mode: str = "recv_time", checkpoints: bool = False) -> replay.Replay:
+def _replay(spark: SparkSession, folder: str, mode: str = "recv_time", checkpoints: bool = False, lookback_us: int | None = LOOKBACK_US) -> replay.Replay:
     cps = views.book_checkpoints(spark, folder) if checkpoints else None
-    return replay.reconstruct(views.book_events(spark, folder), points(spark), mode, LOOKBACK_US, cps)
+    return replay.reconstruct(views.book_events(spark, folder), points(spark), mode, lookback_us, cps)
 
 
 def _levels(df: DataFrame) -> DataFrame:
@@ -113,6 +113,21 @@ def recon_checkpoint_exchange_levels(spark, folder):
     return _levels(_replay(spark, folder, "exchange_time", True).levels)
 
 
+def recon_whole_levels(spark, folder):
+    """Books rebuilt from their last snapshot, however old that is."""
+    return _levels(_replay(spark, folder, lookback_us=None).levels)
+
+
+def recon_whole_checkpoint_levels(spark, folder):
+    """Books rebuilt from their last checkpoint, however old that is."""
+    return _levels(_replay(spark, folder, "exchange_time", True, None).levels)
+
+
+def recon_whole_gaps(spark, folder):
+    """Sequence gaps since the last snapshot, however old that is."""
+    return _gap_columns(replay.gaps(_replay(spark, folder, lookback_us=None)))
+
+
 def recon_header(spark, folder):
     return _replay(spark, folder).header
 
