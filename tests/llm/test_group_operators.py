@@ -134,6 +134,20 @@ def test_simhash_cases(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.keep_one(df).count() == 5
 
 
+def test_simhash_very_long_texts(spark):
+    """Texts of megabytes, and a word of a megabyte, have the fingerprint of the whole and meet their near copies."""
+    rng = random.Random(77)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(150_000)]
+    near = [*words[:-1], "changed"]
+    texts = [" ".join(words), "\n".join(words), " ".join(near), "x" * 1_000_000, " ".join(reversed(words))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(df).collect()}
+    assert [got[k][0] for k in (0, 2, 3)] == [f"{slow_fingerprint(texts[k]):016x}" for k in (0, 2, 3)]
+    assert got[0] == got[1] and got[3][1] == 3 and got[4][1] == 4
+    apart = (int(got[0][0], 16) ^ int(got[2][0], 16)).bit_count()
+    assert (got[2][1] == 0) == (apart <= 2)
+
+
 def jaccard(a, b):
     a, b = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
     return len(a & b) / len(a | b)

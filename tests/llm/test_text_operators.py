@@ -213,6 +213,15 @@ def test_url_rules_and_parts(spark):
         assert got[k].verdict == (says or ("block" if got[k].p_block >= 0.5 else "allow"))
 
 
+def test_url_long_null_and_repeated(spark):
+    """Very long urls are read whole, null ids stay, repeated rows give repeated rows, and one half itself is blocked."""
+    long = "http://" + "sub." * 20_000 + "org/" + "p/" * 200_000 + "?q"
+    rows = [(1, long), (1, long), (None, "http://b.com/de/x"), (None, "http://b.com/de/x"), (None, None), (2, "http://plain.net/a")]
+    got = sorted(((r.page_id or 0, len(r.host), len(r.path), r.rule, r.verdict, r.p_block) for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), [0.0] * (urls.DIMENSIONS + 1)).collect()), key=repr)
+    at = (len("sub." * 20_000 + "org"), 1 + 400_000)
+    assert got == sorted([(1, *at, "org/", "allow", 0.5)] * 2 + [(0, 5, 5, "com/de/", "block", 0.5)] * 2 + [(0, 0, 0, None, "block", 0.5), (2, 9, 2, None, "block", 0.5)], key=repr)
+
+
 def test_url_model_held_out(spark):
     """Precision and recall on hosts that training did not see, of the table's own kind."""
     labelled = urls.labelled_urls(spark)
@@ -265,6 +274,16 @@ def test_token_counts_equal_library(spark):
     assert tokens.count_tokens(df.limit(0), VOCABULARY).count() == 0
 
 
+def test_token_counts_null_ids_and_repeated_rows(spark):
+    """Null ids stay, repeated rows give repeated rows, and a text among long ones counts as it does alone."""
+    long = "the word " * 60_000
+    rows = [(None, "the word"), (None, "the word"), (3, long), (3, long), (4, None), (4, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    got = sorted((r.doc_id or 0, r.n_chars, r.n_tokens) for r in tokens.count_tokens(df, VOCABULARY).collect())
+    alone = {t: tokens.count_tokens(spark.createDataFrame([(1, t)], "doc_id long, text string"), VOCABULARY).first().n_tokens for t in ("the word", long)}
+    assert got == sorted([(0, 8, alone["the word"])] * 2 + [(3, len(long), alone[long])] * 2 + [(4, 0, 0)] * 2 + [(0, 0, 0)])
+
+
 def test_quality_held_out(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")

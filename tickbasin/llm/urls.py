@@ -32,17 +32,20 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def ngram_buckets(host: Column, path: Column) -> Column:
-    """Buckets of the distinct character n-grams of "^host" and of "path$"; n-grams of the two parts differ."""
+    """Buckets of the distinct character n-grams of "^host" and of "path$"; n-grams of the two parts differ.
 
-    def hashed(tag: str, text: Column, n: int):
-        return lambda i: F.pmod(F.xxhash64(F.lit(tag), F.substring(text, i, F.lit(n))), F.lit(DIMENSIONS)).cast("int")
+    A part is cut into characters once, which the inner functions take from the
+    outer one's variable, so the work is linear in the url's length.
+    """
+
+    def hashed(tag: str, chars: Column, n: int) -> Column:
+        starts = F.when(F.size(chars) >= n, F.sequence(F.lit(0), F.size(chars) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(tag), F.concat(*[F.get(chars, i + k) for k in range(n)])), F.lit(DIMENSIONS)).cast("int"))
+
+    def part(tag: str, text: Column) -> Column:
+        return F.flatten(F.transform(F.array(F.split(text, "")), lambda chars: F.concat(*[hashed(tag, chars, n) for n in LENGTHS])))
 
-    parts = []
-    for tag, text in (("h:", F.concat(F.lit("^"), host, F.lit("$"))), ("p:", F.concat(path, F.lit("$")))):
-        for n in LENGTHS:
-            starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
-            parts.append(F.transform(starts, hashed(tag, text, n)))
-    return F.array_distinct(F.concat(*parts))
+    return F.array_distinct(F.concat(part("h:", F.concat(F.lit("^"), host, F.lit("$"))), part("p:", F.concat(path, F.lit("$")))))
 
 
 def score(buckets: Column, weights: list[float]) -> Column:
