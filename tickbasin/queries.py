@@ -43,6 +43,17 @@ def _arrivals(df: DataFrame) -> DataFrame:
     return df.withColumn("arrival", F.substring("source_event_id", 2, 20).cast("long"))
 
 
+def _exact_sum(name: str):
+    """The sum of a clock as a decimal: some 5,400 stamps of today already add up to more than a long holds."""
+    return F.sum(F.col(name).cast("decimal(20,0)"))
+
+
+def _totals(df: DataFrame, name: str) -> DataFrame:
+    """Rows with exact sums in a column: as longs where all of them fit, or else as decimals."""
+    rows = feed.stored(df, "totals")
+    return rows if rows.where(F.abs(name) > (1 << 63) - 1).limit(1).count() else rows.withColumn(name, F.col(name).cast("long"))
+
+
 def scan_book_window(spark, folder):
     rows = storage.scan(views.book_events(spark, folder), "book_events", START_US, END_US, "A3")
     return rows.select("source_event_id", "recv_timestamp_us", "exchange_timestamp_us", codecs.code_name(F.col("event_kind"), {1: "Snapshot", 2: "Delta"}).alias("kind"), codecs.code_name(F.col("side"), {1: "Bid", 2: "Ask"}).alias("side_name"), "price", "size", "sequence")
@@ -357,12 +368,12 @@ def clustered_scans(spark, folder):
     for name in schemas.DATASETS:
         tables.append(views.VIEWS[name](spark, folder), database, name, 8)
     found = {**tables.market_data(spark, database, "A3", START_US, END_US), "book_checkpoints": tables.checkpoints(spark, database, "A3", START_US, END_US), "replay_validations": tables.validations(spark, database, "A3", START_US, END_US), "execution_events": tables.executions(spark, database, 0, 2 * NOW_US, "O7")}
-    parts = [rows.agg(F.lit(name).alias("scan"), F.count("*").alias("n"), F.sum(PARTITION_TIME[name]).alias("clocks")) for name, rows in found.items()]
-    parts.append(tables.latest_checkpoint(spark, database, "A3", START_US).agg(F.lit("latest_checkpoint").alias("scan"), F.count("*").alias("n"), F.sum("checkpoint_timestamp_us").alias("clocks")))
+    parts = [rows.agg(F.lit(name).alias("scan"), F.count("*").alias("n"), _exact_sum(PARTITION_TIME[name]).alias("clocks")) for name, rows in found.items()]
+    parts.append(tables.latest_checkpoint(spark, database, "A3", START_US).agg(F.lit("latest_checkpoint").alias("scan"), F.count("*").alias("n"), _exact_sum("checkpoint_timestamp_us").alias("clocks")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    return _totals(out, "clocks")
 
 
 def stream_metrics(spark, folder):
