@@ -32,3 +32,7 @@ def test_clustered_scans_of_sums_beyond_a_long(spark, folder):
 
 def test_sums_within_a_long_stay_longs(spark):
     assert dict(queries.clustered_scans(spark, str(SMALLEST)).dtypes)["clocks"] == "bigint"
+
+
+def test_repeated_append_of_sums_beyond_a_long(spark, folder):
+    assert [tuple(r) for r in queries.repeated_append(spark, folder).collect()] == [("A3", "recv_time", ROWS, ROWS * STAMP_US)]

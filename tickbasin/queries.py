@@ -548,7 +548,7 @@ def repeated_append(spark, folder):
         for _ in range(1 + (k == 1)):
             ledger.commit(spark, base, f"append-{k}", {"replay_validations": part})
     ledger.compact(spark, base)
-    return ledger.read(spark, base, "replay_validations").groupBy("asset_id", "mode").agg(F.count("*").alias("n"), F.sum("persisted_at_us").alias("stamps"))
+    return _totals(ledger.read(spark, base, "replay_validations").groupBy("asset_id", "mode").agg(F.count("*").alias("n"), _exact_sum("persisted_at_us").alias("stamps")), "stamps")
 
 
 _HELPERS = {"points"}
