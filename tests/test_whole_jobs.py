@@ -36,3 +36,11 @@ def test_sums_within_a_long_stay_longs(spark):
 
 def test_repeated_append_of_sums_beyond_a_long(spark, folder):
     assert [tuple(r) for r in queries.repeated_append(spark, folder).collect()] == [("A3", "recv_time", ROWS, ROWS * STAMP_US)]
+
+
+def test_collected_continuity_is_of_the_whole_history(spark):
+    from tickbasin.sources import views
+
+    own = views.ingest_events(spark, str(SMALLEST)).where("asset_id is not null")
+    assert own.where(~F.col("recv_timestamp_us").between(queries.START_US, queries.END_US)).count() > 0
+    assert queries.collected_continuity(spark, str(SMALLEST)).agg(F.sum("n")).first()[0] == own.count()

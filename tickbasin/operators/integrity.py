@@ -50,10 +50,12 @@ def continuity_events(ingest: DataFrame, asset_id: str, start_us: int, end_us: i
     return rows.select(F.col("event_kind").alias("kind"), "recv_timestamp_us", "exchange_timestamp_us", "details", "source_event_id")
 
 
-def collected_continuity(ingest: DataFrame, start_us: int, end_us: int) -> DataFrame:
-    """Every asset's own continuity events of a window, which bounds the array, in time order."""
+def collected_continuity(ingest: DataFrame, start_us: int | None = None, end_us: int | None = None) -> DataFrame:
+    """Every asset's own continuity events in time order, of the whole history or of a window, which bounds the array."""
     event = F.struct("recv_timestamp_us", F.col("event_kind").alias("kind"), "details")
-    rows = ingest.where(F.col("asset_id").isNotNull() & F.col("recv_timestamp_us").between(start_us, end_us))
+    rows = ingest.where("asset_id is not null")
+    for bound in ([] if start_us is None else [F.col("recv_timestamp_us") >= start_us]) + ([] if end_us is None else [F.col("recv_timestamp_us") <= end_us]):
+        rows = rows.where(bound)
     return rows.groupBy("asset_id").agg(F.array_sort(F.collect_list(event)).alias("events"))
 
 
