@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from .functions.fixedpoint import price_text, size_text
 from .sources import live_source, views
-from .sources.feed import SCHEMA, scratch
+from .sources.feed import SCHEMA, scratch, stored
 
-#: Rows of a file of a staged stream, about.
-STAGED_ROWS = 2_000_000
+#: Rows of a micro-batch of a staged stream, about, and the files that it has then.
+STAGED_ROWS, BATCH_FILES = 2_000_000, 16
+#: Characters of a text that weigh as much as a row.
+ROW_CHARS = 128
 
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,23 +58,33 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
     return raw(snaps, F.col("arrival"), book).unionByName(raw(deltas, F.col("number"), delta)).unionByName(raw(trades, F.col("number"), trade)).unionByName(junk).unionByName(life)
 
 
-def staged(df: DataFrame, parts: int = 3) -> DataFrame:
-    """The rows as a stream of files in order of arrival, one file for a micro-batch.
+def staged(df: DataFrame, parts: int = 3, rows: int = STAGED_ROWS) -> DataFrame:
+    """The rows as a stream of files in order of arrival, at least so many micro-batches of about so many rows.
 
-    Files are ranges of arrivals; their times of change are set in that order,
-    as the source reads by them.
+    A micro-batch is several files, so several tasks parse it.  Files are ranges
+    of arrivals of about equal weight, as the levels of a long text are rows
+    later on; their times of change are set in that order, as the source reads
+    by them.
     """
     spark = df.sparkSession
+    weight = 1 + F.call_function("div", F.coalesce(F.length("text"), F.lit(0)), F.lit(ROW_CHARS)) if "text" in df.columns else F.lit(1).cast("long")
+    kept = stored(df, "stream-rows")
+    total = kept.agg(F.sum(weight)).first()[0] or 0
+    batches = max(parts, -(-total // rows))
+    each = max(1, -(-total // (batches * (rows // BATCH_FILES))))
+    n = batches * each
+    weighed = kept.select("arrival", F.explode(F.sequence(F.lit(1).cast("long"), weight)))
+    bounds = weighed.agg(F.percentile_approx("arrival", [k / n for k in range(1, n)] or [1.0], 100 * n)).first()[0] or []
+    file = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<long>"), lambda b: b < F.col("arrival")))
     path = scratch(spark, "stream-in")
-    dealt = df.repartitionByRange(max(parts, -(-df.count() // STAGED_ROWS)), "arrival")
-    dealt.write.parquet(path)
+    kept.repartitionById(n, F.least(file, F.lit(n - 1))).write.parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files = sorted((f.getPath() for f in fs.listStatus(where) if f.getPath().getName().startswith("part-")), key=lambda f: f.getName())
     newest = min(f.getModificationTime() for f in fs.listStatus(where))
     for k, file in enumerate(files):
         fs.setTimes(file, newest - 1000 * (len(files) - k), -1)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
 def written_messages(spark: SparkSession, folder: str) -> DataFrame:

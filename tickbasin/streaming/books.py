@@ -10,6 +10,7 @@ import json
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -132,21 +133,22 @@ class LiveBook(StatefulProcessor):
         version, sequence, updated, has_book, last_key, filled, tops = self.head.get() if self.head.exists() else (0, 0, 0, False, "", "{}", "[]")
         filled, before = {int(k): v for k, v in json.loads(filled).items()}, {(s, p): z for s, p, z in json.loads(tops)}
         book = Levels(self.sizes, self.pages)
-        for row in frame.itertuples(index=False):
-            level, size = (int(row.side), int(row.price)), int(row.size)
-            if row.event_kind == SNAPSHOT:
-                name = f"{row.recv_timestamp_us}/{row.exchange_timestamp_us}/{'' if row.source_event_id is None else row.source_event_id}"
-                if name != last_key:
-                    book.clear()
-                    filled = {}
-                last_key, has_book = name, True
-                if size > 0:
-                    book.put(level, size, filled)
-            else:
-                last_key = ""
-                book.put(level, size, filled)
-            sequence = 0 if pd.isna(row.sequence) else int(row.sequence)
-            updated = int(row.recv_timestamp_us)
+        snapshot = (frame["event_kind"] == SNAPSHOT).to_numpy()
+        names = frame["recv_timestamp_us"].astype(str) + "/" + frame["exchange_timestamp_us"].astype(str) + "/" + frame["source_event_id"].fillna("").astype(str)
+        names = names.where(snapshot, "").to_numpy(dtype=object)
+        starts = np.flatnonzero(snapshot & (names != np.concatenate([[last_key], names[:-1]])))
+        if len(starts):
+            book.clear()
+            filled = {}
+            frame, snapshot = frame.iloc[starts[-1]:], snapshot[starts[-1]:]
+        # of each level only the last change counts
+        changed = frame[~snapshot | (frame["size"] > 0).to_numpy()].drop_duplicates(["side", "price"], keep="last")
+        for side, price, size in zip(changed["side"].tolist(), changed["price"].tolist(), changed["size"].tolist(), strict=True):
+            book.put((int(side), int(price)), int(size), filled)
+        last = frame.iloc[-1]
+        last_key, has_book = names[-1], has_book or bool(len(starts)) or bool(snapshot.any())
+        sequence = 0 if pd.isna(last["sequence"]) else int(last["sequence"])
+        updated = int(last["recv_timestamp_us"])
         version += 1
         now: dict[tuple[int, int], int] = {}
         if self.depth:
@@ -167,6 +169,33 @@ class LiveBook(StatefulProcessor):
         pass
 
 
+def numbers(rows: pd.DataFrame, head: np.ndarray, following: int, latest: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Numbers an asset's ordered heads of snapshots and levels: (sequence, after_us, following, latest).
+
+    following and latest are the next sequence and the newest accepted stamp,
+    before and after.  sequence is -1 on heads and on the levels of stale
+    snapshots; after_us is the stamp that a stale head came after, else 0.
+    """
+    stamp, arrival = rows["exchange_timestamp_us"].to_numpy("int64"), rows["arrival"].to_numpy("int64")
+    newest = np.maximum.accumulate(np.concatenate([[latest], np.where(head, stamp, 0)]))
+    stale = head & (stamp > 0) & (stamp <= newest[:-1])
+    kept = ~head & ~((rows["event_kind"] == SNAPSHOT).to_numpy() & np.isin(arrival, arrival[stale]))
+    so_far = np.cumsum(kept)
+    start = np.maximum.accumulate(np.where(head & ~stale, so_far, -following))
+    return np.where(kept, so_far - 1 - start, -1), np.where(stale, newest[:-1], 0), int(so_far[-1] - start[-1]), int(newest[-1])
+
+
+def numbered_frame(rows: pd.DataFrame, sequence: np.ndarray, after: np.ndarray) -> pd.DataFrame:
+    """The levels that have a number, and the stale heads, of which only the stamps and the event id are kept."""
+    put = (sequence >= 0) | (after > 0)
+    out, level = rows[put].copy(), sequence[put] >= 0
+    for name in ("event_kind", "side", "price", "size"):
+        out[name] = out[name].astype("Int64").where(level)
+    out["sequence"] = pd.Series(sequence[put], out.index, "Int64").where(level)
+    out["stale_after_us"] = pd.Series(after[put], out.index, "Int64").where(~level)
+    return out
+
+
 class Numberer(StatefulProcessor):
     """Numbers an asset's levels, starts anew at accepted snapshots and turns stale ones away.
 
@@ -180,22 +209,9 @@ class Numberer(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(["arrival", "pos"], kind="stable")
         following, latest = self.state.get() if self.state.exists() else (0, 0)
-        stale_arrival, out = None, []
-        for row in frame.itertuples(index=False):
-            if row.pos < 0:
-                stamp = int(row.exchange_timestamp_us)
-                if 0 < stamp <= latest:
-                    stale_arrival = row.arrival
-                    out.append((key[0], row.recv_timestamp_us, stamp, None, None, None, None, None, row.source_event_id, latest))
-                else:
-                    latest = stamp or latest
-                    following = 0
-            elif row.arrival != stale_arrival:
-                out.append((key[0], row.recv_timestamp_us, row.exchange_timestamp_us, row.event_kind, row.side, row.price, row.size, following, row.source_event_id, None))
-                following += 1
+        sequence, after, following, latest = numbers(frame, (frame["pos"] < 0).to_numpy(), following, latest)
         self.state.update((following, latest))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in NORMAL_OUT.split(", ")])
-        yield frame.astype({c: "Int64" for c in ("event_kind", "side", "price", "size", "sequence", "stale_after_us")})
+        yield numbered_frame(frame, sequence, after).assign(asset_id=key[0])[[c.split()[0] for c in NORMAL_OUT.split(", ")]]
 
     def close(self) -> None:
         pass

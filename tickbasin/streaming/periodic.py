@@ -20,7 +20,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..functions.codecs import levels_to_json, market_slug
 from ..schemas import ASK, BID, SNAPSHOT
-from .books import entries
+from .books import entries, numbered_frame, numbers
 
 # executors need not have this package: its processors travel with the plan
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -156,20 +156,9 @@ class MarketNumberer(StatefulProcessor):
         if not self.state.exists():
             self.handle.registerTimer((int(key[0]) + self.period) * 1000)
         following, latest = self.state.get() if self.state.exists() else (0, 0)
-        stale_arrival, out = None, []
-        for row in frame.itertuples(index=False):
-            stamp = int(row.exchange_timestamp_us)
-            if row.pos < 0 and 0 < stamp <= latest:
-                stale_arrival = row.arrival
-                out.append((*key, row.recv_timestamp_us, stamp, None, None, None, None, None, row.source_event_id, latest))
-            elif row.pos < 0:
-                following, latest = 0, stamp or latest
-            elif row.arrival != stale_arrival:
-                out.append((*key, row.recv_timestamp_us, stamp, row.event_kind, row.side, row.price, row.size, following, row.source_event_id, None))
-                following += 1
+        sequence, after, following, latest = numbers(frame, (frame["pos"] < 0).to_numpy(), following, latest)
         self.state.update((following, latest))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in ROTATED_OUT.split(", ")])
-        yield frame.astype({c: "Int64" for c in ("event_kind", "side", "price", "size", "sequence", "stale_after_us")})
+        yield numbered_frame(frame, sequence, after).assign(bucket=key[0], asset_id=key[1])[[c.split()[0] for c in ROTATED_OUT.split(", ")]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.state.clear()

@@ -13,6 +13,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -22,9 +23,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..functions.codecs import stale_text
 from ..operators import normalize
 from ..operators.normalize import RESET_TEXT
-from ..schemas import DATASETS, SNAPSHOT
+from ..schemas import DATASETS
 from ..sources import ledger
-from .books import STATE_STORE
+from .books import STATE_STORE, numbers
 
 # executors need not have this package: its processors travel with the plan
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -70,49 +71,33 @@ class Dispatcher(StatefulProcessor):
         self.assets = handle.getMapState("assets", "asset_id string", "next long, latest long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["arrival", "pos"], kind="stable")
-        frame = frame.astype(object).where(frame.notna(), None)
-        session = self.session.get()[0] if self.session.exists() else None
-        first = session
-        known: dict[str, list[int]] = {}
-        stale_arrival = None
-        out = []
-
-        def put(row, dataset: str, **more) -> None:
-            got = {"dataset": dataset, "session_id": session, **more}
-            out.append([got[c] if c in got else getattr(row, c, None) for c in _NAMES])
-
-        def asset(name: str) -> list[int]:
-            if name not in known:
-                known[name] = list(self.assets.getValue((name,))) if self.assets.containsKey((name,)) else [0, 0]
-            return known[name]
-
-        for row in frame.itertuples(index=False):
-            if row.what == "session":
-                if row.kind == "reconnect_success":
-                    session = row.session_id
-                if key[0] == 0:
-                    put(row, "ingest_events", session_id=row.session_id)
-                    if row.kind == "reconnect_success":
-                        put(row, "ingest_events", session_id=row.session_id, kind="source_reset", details=RESET_TEXT)
-            elif row.what == "trade":
-                put(row, "trade_events")
-            elif row.what == "book":
-                state, stamp = asset(row.asset_id), row.exchange_timestamp_us
-                if 0 < stamp <= state[1]:
-                    stale_arrival = row.arrival
-                    put(row, "ingest_events", kind="stale_snapshot_skip", after_us=state[1])
-                else:
-                    state[0], state[1] = 0, stamp or state[1]
-            elif row.event_kind != SNAPSHOT or row.arrival != stale_arrival:
-                state = asset(row.asset_id)
-                put(row, "book_events", sequence=state[0])
-                state[0] += 1
-        if session != first:
-            self.session.update((session,))
-        for name, state in known.items():
+        frame = pd.concat(list(rows), ignore_index=True).sort_values(["arrival", "pos"], kind="stable", ignore_index=True)
+        first = self.session.get()[0] if self.session.exists() else None
+        what = frame["what"].to_numpy(dtype=object)
+        change, success = what == "session", (frame["kind"] == "reconnect_success").to_numpy()
+        given = frame["session_id"].astype(object).where(frame["session_id"].notna(), None).to_numpy(dtype=object)
+        newest = np.maximum.accumulate(np.where(change & success, np.arange(len(frame)), -1))
+        carried = np.where(newest < 0, first, given[newest])
+        if carried[-1] != first:
+            self.session.update((carried[-1],))
+        frame["session_id"] = np.where(change, given, carried)
+
+        head = what == "book"
+        of_books = np.flatnonzero(head | (what == "level"))
+        sequence, after = np.full(len(frame), -1), np.zeros(len(frame), "int64")
+        for name, places in frame["asset_id"].iloc[of_books].groupby(frame["asset_id"].iloc[of_books], sort=False).indices.items():
+            at = of_books[places]
+            state = self.assets.getValue((name,)) if self.assets.containsKey((name,)) else (0, 0)
+            sequence[at], after[at], *state = numbers(frame.iloc[at], head[at], *map(int, state))
             self.assets.updateValue((name,), tuple(state))
-        frame = pd.DataFrame(out, columns=_NAMES)
+
+        dataset = np.select([what == "trade", sequence >= 0, (after > 0) | (change & (key[0] == 0))], ["trade_events", "book_events", "ingest_events"], "").astype(object)
+        frame = frame.assign(dataset=dataset, sequence=pd.array(sequence, "Int64"), after_us=pd.array(after, "Int64"))
+        frame["sequence"] = frame["sequence"].where(sequence >= 0)
+        frame["after_us"] = frame["after_us"].where(after > 0)
+        frame["kind"] = np.where(after > 0, "stale_snapshot_skip", frame["kind"].to_numpy(dtype=object))
+        resets = frame[change & success & (key[0] == 0)].assign(kind="source_reset", details=RESET_TEXT)
+        frame = pd.concat([frame[dataset != ""], resets])[_NAMES]
         yield frame.astype({c: "Int64" for c in ("event_kind", "side", "price", "size", "sequence", "after_us")})
 
     def close(self) -> None:
