@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tickbasin import sample_feed
+from tickbasin.sources import live_source
 from tickbasin.streaming import books
 
 
@@ -21,3 +22,24 @@ def test_long_texts_share_a_micro_batch_with_fewer_rows(spark):
     long = F.when(F.col("id") < 100, F.repeat(F.lit("x"), 128 * 19))
     found = _batches(sample_feed.staged(spark.range(2100).select(F.col("id").alias("arrival"), long.alias("text")), 2))
     assert max(found[0].n, found[1].n) > 1900 and found[0].n < 200
+
+
+def test_a_micro_batch_takes_several_segments(tmp_path):
+    class Venue:
+        left = [str(k) for k in range(25)]
+
+        def connect(self, assets):
+            pass
+
+        def receive(self, most, wait_s):
+            out, self.left = self.left[:most], self.left[most:]
+            return out
+
+        def close(self):
+            pass
+
+    reader = live_source.FeedReader(lambda: live_source.Client(Venue(), []), str(tmp_path), 5, 0, 4)
+    assert reader.latestOffset() == {"next": 20} and len(reader.partitions({"next": 0}, {"next": 20})) == 4
+    assert reader.latestOffset() == {"next": 26} and reader.latestOffset() == {"next": 26}
+    rows = [r for a, b, path in live_source.Journal(str(tmp_path)).segments() for r in live_source.Journal(str(tmp_path)).read(path, a, b)]
+    assert [r[0] for r in rows] == list(range(26)) and [r[2] for r in rows if r[1] == "raw"] == [str(k) for k in range(25)]

@@ -498,7 +498,7 @@ def routed_datasets(spark, folder):
     others = {}
     for name in ("book_checkpoints", "replay_validations", "execution_events"):
         rows = views.VIEWS[name](spark, folder)
-        others[name] = sample_feed.staged(rows.withColumn("arrival", F.col(PARTITION_TIME[name])), 2)
+        others[name] = sample_feed.staged(rows.withColumn("arrival", F.col(PARTITION_TIME[name])), 2, 4 * sample_feed.STAGED_ROWS)  # no state, so larger batches
     base = _routed(spark, folder, **others)
     parts = [ledger.read(spark, base, name).agg(F.lit(name).alias("dataset"), F.count("*").alias("n"), F.min(clock).alias("first_us"), F.max(clock).alias("last_us")) for name, clock in PARTITION_TIME.items()]
     out = parts[0]
@@ -512,7 +512,7 @@ def live_source_messages(spark, folder):
     texts, out = feed.scratch(spark, "texts"), feed.scratch(spark, "received")
     sample_feed.messages(spark, folder).where("kind = 'raw'").sort("arrival").select("text").write.text(texts)
     name = live_source.register(spark, sample_feed.recorded(texts))
-    stream = spark.readStream.format(name).option("journal", feed.scratch(spark, "journal")).option("most", 5000).option("wait_s", 0).load()
+    stream = spark.readStream.format(name).option("journal", feed.scratch(spark, "journal")).option("most", 5000).option("segments", 64).option("wait_s", 0).load()
     query = stream.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/part_id={n}")).option("checkpointLocation", feed.scratch(spark, "source-checkpoint")).start()
     query.processAllAvailable()
     query.stop()

@@ -204,8 +204,8 @@ class Segment(InputPartition):
 class FeedReader(DataSourceStreamReader):
     """Offsets are counts of messages; asking for the latest one receives and journals what has come."""
 
-    def __init__(self, client: Callable[[], Client], journal: str, most: int, wait_s: float):
-        self.make, self.folder, self.most, self.wait_s = client, journal, most, wait_s
+    def __init__(self, client: Callable[[], Client], journal: str, most: int, wait_s: float, segments: int = 1):
+        self.make, self.folder, self.most, self.wait_s, self.segments = client, journal, most, wait_s, segments
         self.client: Client | None = None
 
     def initialOffset(self) -> dict:
@@ -216,8 +216,12 @@ class FeedReader(DataSourceStreamReader):
         found = journal.segments()
         end = found[-1][1] if found else 0
         self.client = self.client or self.make()
-        rows = self.client.poll(self.most, self.wait_s)
-        return {"next": journal.append(end, rows) if rows else end}
+        for _ in range(self.segments):
+            rows = self.client.poll(self.most, self.wait_s)
+            end = journal.append(end, rows) if rows else end
+            if len(rows) < self.most:  # no more has come yet
+                break
+        return {"next": end}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         first, last = start["next"], end["next"]
@@ -238,8 +242,9 @@ def register(spark: SparkSession, client: Callable[[], Client], name: str = "liv
     """Registers a source that reads a client; gives its name for spark.readStream.format().
 
     client() is called where the source runs, once a run of a query.  Options:
-    journal (a shared folder, one for each query), most (messages of a
-    micro-batch, 10,000) and wait_s (seconds that a micro-batch waits, 1).
+    journal (a shared folder, one for each query), most (messages of a segment
+    of the journal, 10,000), segments (of a micro-batch, read by as many tasks,
+    as long as each is full, 1) and wait_s (seconds that a segment waits, 1).
     """
     class LiveFeed(DataSource):
         @classmethod
@@ -252,7 +257,7 @@ def register(spark: SparkSession, client: Callable[[], Client], name: str = "liv
         def streamReader(self, schema) -> DataSourceStreamReader:
             if "journal" not in self.options:
                 raise ValueError("the option journal must name a shared folder")
-            return FeedReader(client, self.options["journal"], int(self.options.get("most", 10_000)), float(self.options.get("wait_s", 1)))
+            return FeedReader(client, self.options["journal"], int(self.options.get("most", 10_000)), float(self.options.get("wait_s", 1)), int(self.options.get("segments", 1)))
 
     spark.dataSource.register(LiveFeed)
     return name
