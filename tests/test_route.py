@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tickbasin import sample_feed
 from tickbasin.errors import BadRequest
@@ -111,3 +112,26 @@ def test_scans_prune_committed_batches(spark, tmp_path):
     assert rows.count() == 3
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "event_date" in plan.split("PartitionFilters")[1][:200]
+
+
+def test_a_micro_batch_has_one_file_for_an_hour(spark, tmp_path):
+    base = f"file://{tmp_path}/base"
+    rows = trades(spark, 400).withColumn("asset_id", F.concat(F.lit("a"), F.spark_partition_id().cast("string")))
+    rows.repartition(8).write.parquet(str(tmp_path / "in"))
+    stream = route.tag(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "trade_events")
+    route.route(stream, base, str(tmp_path / "cp"), available_now=True).awaitTermination()
+    files = list((tmp_path / "base" / "trade_events").glob("batch=*/event_date=*/event_hour=*/*.parquet"))
+    assert ledger.read(spark, base, "trade_events").count() == 400 == len(files)
+
+
+def test_tasks_share_an_hour_if_hours_are_few(spark):
+    rows = trades(spark, 2000).withColumn("recv_timestamp_us", F.lit(BASE) + F.substring("trade_id", 2, 9).cast("long"))
+    sizes = [r[0] for r in route.dealt(rows, "trade_events", 1).groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(sizes) == 2000 and len(sizes) > 1
+    many = route.dealt(trades(spark, 2000), "trade_events", 2000).withColumn("at", F.spark_partition_id())
+    assert many.groupBy("recv_timestamp_us").agg(F.count_distinct("at").alias("n")).where("n > 1").count() == 0
+
+
+def test_starts_of_connections_go_to_one_shard(spark):
+    df = spark.createDataFrame([(k, kind, None, BASE + k, "s", None) for k, kind in enumerate(["reconnect_start", "reconnect_success"])], feed.SCHEMA)
+    assert sorted((r["kind"], r["count"]) for r in route.entries(df, 5).groupBy("kind").count().collect()) == [("reconnect_start", 1), ("reconnect_success", 5)]

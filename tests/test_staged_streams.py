@@ -43,3 +43,30 @@ def test_a_micro_batch_takes_several_segments(tmp_path):
     assert reader.latestOffset() == {"next": 26} and reader.latestOffset() == {"next": 26}
     rows = [r for a, b, path in live_source.Journal(str(tmp_path)).segments() for r in live_source.Journal(str(tmp_path)).read(path, a, b)]
     assert [r[0] for r in rows] == list(range(26)) and [r[2] for r in rows if r[1] == "raw"] == [str(k) for k in range(25)]
+
+
+def test_places_among_many_bounds(spark):
+    for bounds in ([], [3], [3, 3, 7], list(range(0, 3000, 3))):
+        found = spark.range(3010).select("id", sample_feed._places(F.col("id"), bounds).alias("n")).collect()
+        assert [r.n for r in found] == [sum(b < r.id for b in bounds) for r in found]
+    # the bounds are halved, not looked through: the filter that was there grew with their number
+    plan = spark.range(10).select(sample_feed._places(F.col("id"), list(range(1000))))._jdf.queryExecution().analyzed().toString()
+    assert "aggregate(" in plan and "filter(" not in plan
+
+
+def test_a_stream_has_few_states_whatever_the_session_says(spark, tmp_path):
+    before = {n: spark.conf.get(n) for n in ("spark.sql.shuffle.partitions", "spark.sql.streaming.stateStore.providerClass")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        rows = spark.range(30).selectExpr("id arrival", "concat('a', id % 3) asset_id", "2 event_kind", "1 side", "cast(id as int) price", "1L size", "id sequence", "id recv_timestamp_us", "id exchange_timestamp_us", "'e' source_event_id")
+        sample = sample_feed.staged(rows, 2)
+        checkpoint = tmp_path / "cp"
+        query = books.start_live(sample, f"file://{tmp_path}/out", str(checkpoint))
+        query.processAllAvailable()
+        query.stop()
+        assert len([p for p in (checkpoint / "state" / "0").iterdir() if p.name.isdigit()]) == books.STATE_PARTITIONS < 40
+        assert books.current_levels(spark.read.schema(books.CHANGES).parquet(f"file://{tmp_path}/out")).count() == 30
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)

@@ -176,12 +176,17 @@ def _ingest(rows: DataFrame, asset: Column, kind: Column, exchange: Column, even
     )
 
 
+def with_trade(rows: DataFrame) -> DataFrame:
+    """Adds price, size, side and fidelity of trade messages, and priced: whether it is a trade whose price and size are not bad."""
+    t = rows.withColumns({"price": price_from_text(F.col("m.price")), "size": size_from_text(F.col("m.size")), "side": side_code(F.col("m.side"))})
+    full = F.col("size").isNotNull() & F.col("side").isNotNull()
+    priced = (F.col("m.event_type") == "last_trade_price") & F.col("price").isNotNull() & (F.col("m.size").isNull() | F.col("size").isNotNull())
+    return t.withColumns({"fidelity": F.when(full, "full").otherwise("partial"), "priced": priced})
+
+
 def priced_trades(rows: DataFrame) -> DataFrame:
     """Trade messages with price, size, side and fidelity; one with a bad price or size is dropped, an unknown side is null."""
-    t = rows.where(F.col("m.event_type") == "last_trade_price").withColumns({"price": price_from_text(F.col("m.price")), "size": size_from_text(F.col("m.size")), "side": side_code(F.col("m.side"))})
-    t = t.where(F.col("price").isNotNull() & (F.col("m.size").isNull() | F.col("size").isNotNull()))
-    full = F.col("size").isNotNull() & F.col("side").isNotNull()
-    return t.withColumn("fidelity", F.when(full, "full").otherwise("partial"))
+    return with_trade(rows.where(F.col("m.event_type") == "last_trade_price")).where("priced")
 
 
 def trade_rows(rows: DataFrame) -> DataFrame:

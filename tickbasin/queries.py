@@ -495,10 +495,14 @@ def routed_ingest(spark, folder):
 
 def routed_datasets(spark, folder):
     """Rows and clocks of all six datasets of one stream that the other datasets' streams have joined."""
-    others = {}
-    for name in ("book_checkpoints", "replay_validations", "execution_events"):
-        rows = views.VIEWS[name](spark, folder)
-        others[name] = sample_feed.staged(rows.withColumn("arrival", F.col(PARTITION_TIME[name])), 2, 4 * sample_feed.STAGED_ROWS)  # no state, so larger batches
+    def stream(rows, clock):
+        return sample_feed.staged(rows.withColumn("arrival", clock), 2, 4 * sample_feed.STAGED_ROWS)  # no state, so larger batches
+
+    others = {name: stream(views.VIEWS[name](spark, folder), F.col(PARTITION_TIME[name])) for name in ("book_checkpoints", "replay_validations")}
+    # executions are made of the streams' rows, as those of the tables are much shorter
+    orders = spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey", "o_orderdate", "o_orderstatus")
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_linestatus", "l_shipdate")
+    others["execution_events"] = views.executions(stream(orders, views.stamp_us("o_orderdate")), stream(lines, views.stamp_us("l_shipdate")))
     base = _routed(spark, folder, **others)
     parts = [ledger.read(spark, base, name).agg(F.lit(name).alias("dataset"), F.count("*").alias("n"), F.min(clock).alias("first_us"), F.max(clock).alias("last_us")) for name, clock in PARTITION_TIME.items()]
     out = parts[0]

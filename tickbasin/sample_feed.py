@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.fixedpoint import price_text, size_text
@@ -13,8 +13,8 @@ from .sources.feed import SCHEMA, scratch, stored
 
 #: Rows of a micro-batch of a staged stream, about, and the files that it has then.
 STAGED_ROWS, BATCH_FILES = 2_000_000, 16
-#: Characters of a text that weigh as much as a row.
-ROW_CHARS = 128
+#: Characters of a message of one row at most, and those of each further level.
+SHORT_TEXT, ROW_CHARS = 256, 32
 
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,26 +58,37 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
     return raw(snaps, F.col("arrival"), book).unionByName(raw(deltas, F.col("number"), delta)).unionByName(raw(trades, F.col("number"), trade)).unionByName(junk).unionByName(life)
 
 
+def _places(number: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are below a number, by halving, so many bounds cost little more than few."""
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    listed = F.array(*map(F.lit, bounds)).cast("array<long>")
+    return F.aggregate(F.array(*map(F.lit, steps)).cast("array<int>"), F.lit(0), lambda found, step: F.when(F.get(listed, found + step - 1) < number, found + step).otherwise(found))
+
+
 def staged(df: DataFrame, parts: int = 3, rows: int = STAGED_ROWS) -> DataFrame:
     """The rows as a stream of files in order of arrival, at least so many micro-batches of about so many rows.
 
     A micro-batch is several files, so several tasks parse it.  Files are ranges
     of arrivals of about equal weight, as the levels of a long text are rows
     later on; their times of change are set in that order, as the source reads
-    by them.
+    by them.  Texts are computed once; of other rows only the arrivals are
+    computed again.
     """
     spark = df.sparkSession
-    weight = 1 + F.call_function("div", F.coalesce(F.length("text"), F.lit(0)), F.lit(ROW_CHARS)) if "text" in df.columns else F.lit(1).cast("long")
-    kept = stored(df, "stream-rows")
-    total = kept.agg(F.sum(weight)).first()[0] or 0
+    weight = F.lit(1).cast("long")
+    kept = df
+    if "text" in df.columns:
+        more = F.greatest(F.coalesce(F.length("text"), F.lit(0)) - SHORT_TEXT, F.lit(0))
+        kept = stored(df.withColumn("weight", weight + F.call_function("div", more, F.lit(ROW_CHARS))), "stream-rows")
+    total = kept.agg(F.sum("weight") if "text" in df.columns else F.count("*")).first()[0] or 0
     batches = max(parts, -(-total // rows))
     each = max(1, -(-total // (batches * (rows // BATCH_FILES))))
     n = batches * each
-    weighed = kept.select("arrival", F.explode(F.sequence(F.lit(1).cast("long"), weight)))
+    weighed = kept.select("arrival", F.explode(F.sequence(weight, F.col("weight")))) if "text" in df.columns else kept.select("arrival")
     bounds = weighed.agg(F.percentile_approx("arrival", [k / n for k in range(1, n)] or [1.0], 100 * n)).first()[0] or []
-    file = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<long>"), lambda b: b < F.col("arrival")))
+    file = _places(F.col("arrival"), bounds)
     path = scratch(spark, "stream-in")
-    kept.repartitionById(n, F.least(file, F.lit(n - 1))).write.parquet(path)
+    kept.select(*df.columns, F.least(file, F.lit(n - 1)).alias("file")).repartitionById(n, "file").drop("file").write.parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files = sorted((f.getPath() for f in fs.listStatus(where) if f.getPath().getName().startswith("part-")), key=lambda f: f.getName())

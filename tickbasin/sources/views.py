@@ -118,9 +118,11 @@ def replay_validations(spark: SparkSession, folder: str) -> DataFrame:
 
 def execution_events(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as submit intents, their lines as fills, with latency stamps."""
-    orders = spark.read.parquet(f"{folder}/orders.parquet")
-    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    return executions(spark.read.parquet(f"{folder}/orders.parquet"), spark.read.parquet(f"{folder}/lineitem.parquet"))
 
+
+def executions(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    """Rows of the orders and lineitem tables, or streams of them, as execution_events rows."""
     def row(stamp: Column, key: Column, line: Column, kind: str, side: Column, price: Column, size: Column, status: Column, fill: Column) -> list[Column]:
         key = key.cast("long")
         stamps = [stamp - 5, stamp - 2, stamp - 1, stamp, stamp + 200 + key % 50, fill]

@@ -9,11 +9,12 @@ from __future__ import annotations
 import json
 import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -29,12 +30,28 @@ from ..sources.feed import scratch
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Partitions of a stream's state: each is a task with a store of its own in every micro-batch, however few keys it has.
+STATE_PARTITIONS = 16
 BOOK_OUT = "asset_id string, version long, sequence long, last_update_us long, has_book boolean, full boolean, side int, price int, size long"
 #: Versions after which a reader of the best levels finds all of them again, and how far behind it may be to get changes.
 FULL_EVERY = BUFFER = 256
 NORMAL_OUT = "asset_id string, recv_timestamp_us long, exchange_timestamp_us long, event_kind int, side int, price int, size long, sequence long, source_event_id string, stale_after_us long"
 
 
+@contextmanager
+def stateful(spark: SparkSession, partitions: int = STATE_PARTITIONS):
+    """The settings that a stream with state takes from its session when it is started; its checkpoint keeps the partitions."""
+    mine = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE, "spark.sql.shuffle.partitions": str(partitions)}
+    before = {name: spark.conf.get(name) for name in mine}
+    for name, value in mine.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 class Levels:
     """An asset's book in state, of which a micro-batch touches only the levels that it changes.
 
@@ -297,13 +314,9 @@ def _finished(stream: DataFrame, mode: str) -> DataFrame:
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/part_id={batch_id}")  # a repeated batch replaces itself
 
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    try:
+    with stateful(spark):
         query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", scratch(spark, "stream-checkpoint")).trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    query.awaitTermination()
     return spark.read.schema(schema + ", part_id long").parquet(out)
 
 
@@ -331,8 +344,8 @@ def start_live(events: DataFrame, path: str, checkpoint: str, depth: int | None
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/part_id={batch_id}")
 
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    return live_books(events, depth).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).start()
+    with stateful(events.sparkSession):
+        return live_books(events, depth).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).start()
 
 
 #: Columns of the folders of start_live().

@@ -3,8 +3,8 @@
 Messages are parsed by Spark, and a stateful processor numbers levels, turns
 stale snapshots away and stamps every row with the session of the last
 connection, which its state carries.  Its keys are shards of assets, so a busy
-connection is shared by several tasks; connection changes go to every shard, and
-the first one puts their rows out.  Checkpoints, validations and executions join
+connection is shared by several tasks; new connections go to every shard, and
+the first one puts the rows of all connection changes out.  Checkpoints, validations and executions join
 behind the processor.
 """
 
@@ -20,12 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.codecs import stale_text
+from ..functions.codecs import date_and_hour, stale_text
 from ..operators import normalize
 from ..operators.normalize import RESET_TEXT
-from ..schemas import DATASETS
+from ..schemas import DATASETS, PARTITION_TIME
 from ..sources import ledger
-from .books import STATE_STORE, numbers
+from .books import numbers, stateful
 
 # executors need not have this package: its processors travel with the plan
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -44,18 +44,17 @@ def entries(messages: DataFrame, shards: int = SHARDS) -> DataFrame:
         return [known.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in (c.split() for c in ENTRY.split(", "))]
 
     clocks = ["arrival", "recv_timestamp_us", "exchange_timestamp_us"]
-    rows = normalize.parsed(messages)
     kind = F.col("m.event_type")
+    rows = normalize.with_trade(normalize.cut_levels(normalize.parsed(messages)))  # a text is parsed once for all
     head = F.struct(*entry(what=F.lit("book"), asset_id=F.col("m.asset_id"), source_event_id=F.col("m.hash")))
     traded = F.struct(*entry(what=F.lit("trade"), asset_id=F.col("m.asset_id"), side=F.col("side"), price=F.col("price"), size=F.col("size"), source_event_id=F.col("m.transaction_hash"), fidelity=F.col("fidelity")))
-    listed = normalize.cut_levels(rows.where(kind.isin("book", "price_change")))
     levels = F.transform("l", lambda x: F.struct(*entry(what=F.lit("level"), **{c: x[c] for c in ("asset_id", "event_kind", "side", "price", "size", "source_event_id")})))
-    books = listed.select(*clocks, F.posexplode(F.when(F.col("m.event_type") == "book", F.concat(F.array(head), levels)).otherwise(levels)).alias("pos", "e"))
-    trades = normalize.priced_trades(rows).select(*clocks, F.lit(0).alias("pos"), traded.alias("e"))
-    of_assets = books.unionByName(trades).withColumn("shard", F.pmod(F.xxhash64("e.asset_id"), F.lit(shards)).cast("int"))
+    listed = F.when(kind == "book", F.concat(F.array(head), levels)).when(kind == "price_change", levels).when(F.col("priced"), F.array(traded))
+    of_assets = rows.select(*clocks, F.posexplode(listed).alias("pos", "e")).withColumn("shard", F.pmod(F.xxhash64("e.asset_id"), F.lit(shards)).cast("int"))
     changes = messages.where("kind in ('reconnect_start', 'reconnect_success')")
     change = F.struct(*entry(what=F.lit("session"), session_id=F.col("session_id"), kind=F.col("kind"), details=F.col("details")))
-    of_all = changes.select("arrival", "recv_timestamp_us", F.lit(0).cast("long").alias("exchange_timestamp_us"), F.lit(0).alias("pos"), change.alias("e"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    concerned = F.when(F.col("kind") == "reconnect_success", F.sequence(F.lit(0), F.lit(shards - 1))).otherwise(F.array(F.lit(0)))
+    of_all = changes.select("arrival", "recv_timestamp_us", F.lit(0).cast("long").alias("exchange_timestamp_us"), F.lit(0).alias("pos"), change.alias("e"), F.explode(concerned).alias("shard"))
     return of_assets.unionByName(of_all).select("shard", *clocks, "pos", "e.*")
 
 
@@ -144,6 +143,18 @@ def fan_in(messages: DataFrame, shards: int = SHARDS, **others: DataFrame) -> Da
     return out
 
 
+def dealt(rows: DataFrame, dataset: str, hours: int) -> DataFrame:
+    """A micro-batch's rows of about so many hours dealt by hour, as streams pass over the rebalancing of storage.write().
+
+    Without it every task would write a file for every hour.  If the hours are
+    fewer than the tasks, several of these share an hour.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    clock = PARTITION_TIME[dataset]
+    share = F.pmod(F.xxhash64("asset_id", clock), F.lit(-(-tasks // max(1, hours))))
+    return rows.repartition(tasks, *date_and_hour(F.col(clock)), share)
+
+
 def route(tagged: DataFrame, base: str, checkpoint: str, seconds: int = FLUSH_SECONDS, available_now: bool = False):
     """Starts the query that commits every micro-batch of a tagged stream to the datasets under base.
 
@@ -156,12 +167,13 @@ def route(tagged: DataFrame, base: str, checkpoint: str, seconds: int = FLUSH_SE
         query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
         batch.persist()
         try:
-            there = [r.dataset for r in batch.groupBy("dataset").count().collect()]
-            ledger.commit(spark, base, f"{query}-{batch_id:012d}", {name: untagged(batch, name) for name in DATASETS if name in there})
+            hour = F.call_function("div", F.coalesce(*[F.col(f"{name}.{clock}") for name, clock in PARTITION_TIME.items()]), F.lit(3_600_000_000))
+            hours = {r.dataset: r.n for r in batch.groupBy("dataset").agg(F.approx_count_distinct(hour).alias("n")).collect()}
+            ledger.commit(spark, base, f"{query}-{batch_id:012d}", {name: dealt(untagged(batch, name), name, hours[name]) for name in DATASETS if name in hours})
         finally:
             batch.unpersist()
 
-    spark = tagged.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     writer = tagged.writeStream.outputMode("append").foreachBatch(each).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{seconds} seconds")).start()
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{seconds} seconds")
+    with stateful(tagged.sparkSession):
+        return writer.start()
