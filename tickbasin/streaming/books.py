@@ -13,6 +13,8 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,7 @@ from ..operators import normalize
 from ..sample_feed import staged
 from ..schemas import ASK, BID, DELTA, SNAPSHOT
 from ..sources.feed import scratch
+from .packed import only, packed, put_out, unpacked, whole
 
 # executors need not have this package: its processors travel with the plan
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -146,26 +149,30 @@ class LiveBook(StatefulProcessor):
         self.head = handle.getValueState("head", "version long, sequence long, last_update_us long, has_book boolean, last_key string, filled string, tops string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("arrival", kind="stable")
+        table = unpacked(rows, "arrival")
         version, sequence, updated, has_book, last_key, filled, tops = self.head.get() if self.head.exists() else (0, 0, 0, False, "", "{}", "[]")
         filled, before = {int(k): v for k, v in json.loads(filled).items()}, {(s, p): z for s, p, z in json.loads(tops)}
         book = Levels(self.sizes, self.pages)
-        snapshot = (frame["event_kind"] == SNAPSHOT).to_numpy()
-        names = frame["recv_timestamp_us"].astype(str) + "/" + frame["exchange_timestamp_us"].astype(str) + "/" + frame["source_event_id"].fillna("").astype(str)
-        names = names.where(snapshot, "").to_numpy(dtype=object)
-        starts = np.flatnonzero(snapshot & (names != np.concatenate([[last_key], names[:-1]])))
+        snapshot = whole(table, "event_kind") == SNAPSHOT
+        recv, exchange, ids = whole(table, "recv_timestamp_us"), whole(table, "exchange_timestamp_us"), pc.fill_null(table["source_event_id"], "").combine_chunks()
+
+        def name(k: int) -> str:
+            return f"{recv[k]}/{exchange[k]}/{ids[k].as_py()}" if snapshot[k] else ""
+
+        same = snapshot[:-1] & (recv[1:] == recv[:-1]) & (exchange[1:] == exchange[:-1]) & pc.equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(snapshot & np.concatenate([[name(0) != last_key], ~same]))
+        frame = pd.DataFrame({c: whole(table, c) for c in ("side", "price", "size")})
+        first = starts[-1] if len(starts) else 0
         if len(starts):
             book.clear()
             filled = {}
-            frame, snapshot = frame.iloc[starts[-1]:], snapshot[starts[-1]:]
         # of each level only the last change counts
-        changed = frame[~snapshot | (frame["size"] > 0).to_numpy()].drop_duplicates(["side", "price"], keep="last")
+        changed = frame[first:][~snapshot[first:] | (frame["size"][first:] > 0).to_numpy()].drop_duplicates(["side", "price"], keep="last")
         for side, price, size in zip(changed["side"].tolist(), changed["price"].tolist(), changed["size"].tolist(), strict=True):
             book.put((int(side), int(price)), int(size), filled)
-        last = frame.iloc[-1]
-        last_key, has_book = names[-1], has_book or bool(len(starts)) or bool(snapshot.any())
-        sequence = 0 if pd.isna(last["sequence"]) else int(last["sequence"])
-        updated = int(last["recv_timestamp_us"])
+        last_key, has_book = name(len(table) - 1), has_book or bool(snapshot[first:].any())
+        sequence = int(whole(table, "sequence")[-1])
+        updated = int(recv[-1])
         version += 1
         now: dict[tuple[int, int], int] = {}
         if self.depth:
@@ -186,31 +193,29 @@ class LiveBook(StatefulProcessor):
         pass
 
 
-def numbers(rows: pd.DataFrame, head: np.ndarray, following: int, latest: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+def numbers(stamp: np.ndarray, arrival: np.ndarray, snapshot: np.ndarray, head: np.ndarray, following: int, latest: int) -> tuple[np.ndarray, np.ndarray, int, int]:
     """Numbers an asset's ordered heads of snapshots and levels: (sequence, after_us, following, latest).
 
     following and latest are the next sequence and the newest accepted stamp,
     before and after.  sequence is -1 on heads and on the levels of stale
     snapshots; after_us is the stamp that a stale head came after, else 0.
     """
-    stamp, arrival = rows["exchange_timestamp_us"].to_numpy("int64"), rows["arrival"].to_numpy("int64")
     newest = np.maximum.accumulate(np.concatenate([[latest], np.where(head, stamp, 0)]))
     stale = head & (stamp > 0) & (stamp <= newest[:-1])
-    kept = ~head & ~((rows["event_kind"] == SNAPSHOT).to_numpy() & np.isin(arrival, arrival[stale]))
+    kept = ~head & ~(snapshot & np.isin(arrival, arrival[stale]))
     so_far = np.cumsum(kept)
     start = np.maximum.accumulate(np.where(head & ~stale, so_far, -following))
     return np.where(kept, so_far - 1 - start, -1), np.where(stale, newest[:-1], 0), int(so_far[-1] - start[-1]), int(newest[-1])
 
 
-def numbered_frame(rows: pd.DataFrame, sequence: np.ndarray, after: np.ndarray) -> pd.DataFrame:
-    """The levels that have a number, and the stale heads, of which only the stamps and the event id are kept."""
-    put = (sequence >= 0) | (after > 0)
-    out, level = rows[put].copy(), sequence[put] >= 0
-    for name in ("event_kind", "side", "price", "size"):
-        out[name] = out[name].astype("Int64").where(level)
-    out["sequence"] = pd.Series(sequence[put], out.index, "Int64").where(level)
-    out["stale_after_us"] = pd.Series(after[put], out.index, "Int64").where(~level)
-    return out
+def numbered_table(rows: pa.Table, following: int, latest: int) -> tuple[pa.Table, int, int]:
+    """The levels that have a number, and the stale heads, of which only the stamps and the event id are kept; following and latest."""
+    clocks = whole(rows, "exchange_timestamp_us"), whole(rows, "arrival")
+    sequence, after, following, latest = numbers(*clocks, whole(rows, "event_kind") == SNAPSHOT, whole(rows, "pos") < 0, following, latest)
+    level = sequence >= 0
+    out = only(rows, level, "event_kind", "side", "price", "size")
+    out = out.append_column("sequence", pa.array(sequence, mask=~level)).append_column("stale_after_us", pa.array(after, mask=level | (after == 0)))
+    return out.filter(pa.array(level | (after > 0))), following, latest
 
 
 class Numberer(StatefulProcessor):
@@ -224,11 +229,11 @@ class Numberer(StatefulProcessor):
         self.state = handle.getValueState("state", "next long, latest long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["arrival", "pos"], kind="stable")
         following, latest = self.state.get() if self.state.exists() else (0, 0)
-        sequence, after, following, latest = numbers(frame, (frame["pos"] < 0).to_numpy(), following, latest)
+        table, following, latest = numbered_table(unpacked(rows, "arrival", "pos"), following, latest)
         self.state.update((following, latest))
-        yield numbered_frame(frame, sequence, after).assign(asset_id=key[0])[[c.split()[0] for c in NORMAL_OUT.split(", ")]]
+        table = table.append_column("asset_id", pa.repeat(key[0], len(table)).cast("string"))
+        yield from put_out(table.select([c.split()[0] for c in NORMAL_OUT.split(", ")]))
 
     def close(self) -> None:
         pass
@@ -237,7 +242,7 @@ class Numberer(StatefulProcessor):
 def live_books(events: DataFrame, depth: int | None = None, full_every: int = FULL_EVERY) -> DataFrame:
     """The stream of changes of the books of a stream of book events with arrival; with a depth, of their best levels."""
     columns = ["asset_id", "arrival", "event_kind", "side", "price", "size", "sequence", "recv_timestamp_us", "exchange_timestamp_us", "source_event_id"]
-    return events.select(*columns).groupBy("asset_id").transformWithStateInPandas(LiveBook(depth, full_every), BOOK_OUT, "Update", "None")
+    return packed(events.select(*columns), "asset_id").groupBy("asset_id").transformWithStateInPandas(LiveBook(depth, full_every), BOOK_OUT, "Update", "None")
 
 
 def current_levels(changes: DataFrame) -> DataFrame:
@@ -302,7 +307,7 @@ def normalized(messages: DataFrame) -> DataFrame:
     The session is the source row's own, as a connection stamps its rows; the
     batch form looks it up instead.
     """
-    return entries(messages).groupBy("asset_id").transformWithStateInPandas(Numberer(), NORMAL_OUT, "Append", "None")
+    return packed(entries(messages), "asset_id").groupBy("asset_id").transformWithStateInPandas(Numberer(), NORMAL_OUT, "Append", "None")
 
 
 def _finished(stream: DataFrame, mode: str) -> DataFrame:

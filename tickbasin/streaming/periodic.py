@@ -13,6 +13,7 @@ import sys
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..functions.codecs import levels_to_json, market_slug
 from ..schemas import ASK, BID, SNAPSHOT
-from .books import entries, numbered_frame, numbers
+from .books import entries, numbered_table
+from .packed import packed, put_out, unpacked
 
 # executors need not have this package: its processors travel with the plan
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -152,13 +154,13 @@ class MarketNumberer(StatefulProcessor):
         self.state = handle.getValueState("state", "next long, latest long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["arrival", "pos"], kind="stable")
         if not self.state.exists():
             self.handle.registerTimer((int(key[0]) + self.period) * 1000)
         following, latest = self.state.get() if self.state.exists() else (0, 0)
-        sequence, after, following, latest = numbers(frame, (frame["pos"] < 0).to_numpy(), following, latest)
+        table, following, latest = numbered_table(unpacked(rows, "arrival", "pos"), following, latest)
         self.state.update((following, latest))
-        yield numbered_frame(frame, sequence, after).assign(bucket=key[0], asset_id=key[1])[[c.split()[0] for c in ROTATED_OUT.split(", ")]]
+        table = table.append_column("bucket", pa.repeat(int(key[0]), len(table))).append_column("asset_id", pa.repeat(key[1], len(table)).cast("string"))
+        yield from put_out(table.select([c.split()[0] for c in ROTATED_OUT.split(", ")]))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.state.clear()
@@ -170,9 +172,11 @@ class MarketNumberer(StatefulProcessor):
 
 def rotated(messages: DataFrame, period_s: int = MARKET_SECONDS, early_s: int = EARLY_SECONDS, delay: str = "1 second") -> DataFrame:
     """The stream of numbered levels and stale snapshots of a stream of messages, each market's on its own, with bucket and slug."""
-    rows = on_clock(entries(messages), delay).withColumn("bucket", market_bucket(F.col("recv_timestamp_us"), period_s, early_s))
+    rows = entries(messages).withColumn("bucket", market_bucket(F.col("recv_timestamp_us"), period_s, early_s))
+    # the clock of packed rows is that of their newest one, so the watermark is the same
+    clocked = on_clock(packed(rows, "bucket", "asset_id", clock="recv_timestamp_us"), delay)
     # a market's timer must not fire before its last row, so it waits for the end of the period
-    found = rows.groupBy("bucket", "asset_id").transformWithStateInPandas(MarketNumberer(period_s), ROTATED_OUT, "Append", "EventTime")
+    found = clocked.groupBy("bucket", "asset_id").transformWithStateInPandas(MarketNumberer(period_s), ROTATED_OUT, "Append", "EventTime")
     return found.withColumn("slug", market_slug(F.col("bucket")))
 
 

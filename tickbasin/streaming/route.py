@@ -15,6 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,9 +25,10 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..functions.codecs import date_and_hour, stale_text
 from ..operators import normalize
 from ..operators.normalize import RESET_TEXT
-from ..schemas import DATASETS, PARTITION_TIME
+from ..schemas import DATASETS, PARTITION_TIME, SNAPSHOT
 from ..sources import ledger
 from .books import numbers, stateful
+from .packed import equals, packed, put_out, unpacked, whole
 
 # executors need not have this package: its processors travel with the plan
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -70,34 +73,41 @@ class Dispatcher(StatefulProcessor):
         self.assets = handle.getMapState("assets", "asset_id string", "next long, latest long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows), ignore_index=True).sort_values(["arrival", "pos"], kind="stable", ignore_index=True)
+        table = unpacked(rows, "arrival", "pos")
         first = self.session.get()[0] if self.session.exists() else None
-        what = frame["what"].to_numpy(dtype=object)
-        change, success = what == "session", (frame["kind"] == "reconnect_success").to_numpy()
-        given = frame["session_id"].astype(object).where(frame["session_id"].notna(), None).to_numpy(dtype=object)
-        newest = np.maximum.accumulate(np.where(change & success, np.arange(len(frame)), -1))
-        carried = np.where(newest < 0, first, given[newest])
-        if carried[-1] != first:
-            self.session.update((carried[-1],))
-        frame["session_id"] = np.where(change, given, carried)
-
-        head = what == "book"
-        of_books = np.flatnonzero(head | (what == "level"))
-        sequence, after = np.full(len(frame), -1), np.zeros(len(frame), "int64")
-        for name, places in frame["asset_id"].iloc[of_books].groupby(frame["asset_id"].iloc[of_books], sort=False).indices.items():
-            at = of_books[places]
+        change, success, given = equals(table, "what", "session"), equals(table, "kind", "reconnect_success"), table["session_id"].combine_chunks()
+        newest = np.maximum.accumulate(np.where(change & success, np.arange(len(table)), -1))
+        carried = pc.if_else(pa.array(newest < 0), pa.scalar(first, pa.string()), given.take(pa.array(newest, mask=newest < 0)))
+        if carried[-1].as_py() != first:
+            self.session.update((carried[-1].as_py(),))
+
+        head = equals(table, "what", "book")
+        of_books = head | equals(table, "what", "level")
+        stamp, arrival, snapshot = whole(table, "exchange_timestamp_us"), whole(table, "arrival"), whole(table, "event_kind") == SNAPSHOT
+        assets = table["asset_id"].combine_chunks().dictionary_encode()
+        code = np.where(of_books, pc.fill_null(assets.indices, -1).to_numpy(), -1)
+        by_asset = np.argsort(code, kind="stable")
+        ends = np.searchsorted(code[by_asset], np.arange(len(assets.dictionary) + 1))
+        sequence, after = np.full(len(table), -1), np.zeros(len(table), "int64")
+        for name, low, high in zip(assets.dictionary.to_pylist(), ends, ends[1:], strict=False):
+            if low == high:
+                continue
+            at = by_asset[low:high]
             state = self.assets.getValue((name,)) if self.assets.containsKey((name,)) else (0, 0)
-            sequence[at], after[at], *state = numbers(frame.iloc[at], head[at], *map(int, state))
+            sequence[at], after[at], *state = numbers(stamp[at], arrival[at], snapshot[at], head[at], *map(int, state))
             self.assets.updateValue((name,), tuple(state))
 
-        dataset = np.select([what == "trade", sequence >= 0, (after > 0) | (change & (key[0] == 0))], ["trade_events", "book_events", "ingest_events"], "").astype(object)
-        frame = frame.assign(dataset=dataset, sequence=pd.array(sequence, "Int64"), after_us=pd.array(after, "Int64"))
-        frame["sequence"] = frame["sequence"].where(sequence >= 0)
-        frame["after_us"] = frame["after_us"].where(after > 0)
-        frame["kind"] = np.where(after > 0, "stale_snapshot_skip", frame["kind"].to_numpy(dtype=object))
-        resets = frame[change & success & (key[0] == 0)].assign(kind="source_reset", details=RESET_TEXT)
-        frame = pd.concat([frame[dataset != ""], resets])[_NAMES]
-        yield frame.astype({c: "Int64" for c in ("event_kind", "side", "price", "size", "sequence", "after_us")})
+        dataset = np.select([equals(table, "what", "trade"), sequence >= 0, (after > 0) | (change & (key[0] == 0))], [0, 1, 2], -1)
+        columns = {c: table[c] for c in table.column_names} | {
+            "dataset": pa.array(["trade_events", "book_events", "ingest_events"]).take(pa.array(dataset, mask=dataset < 0)),
+            "session_id": pc.if_else(pa.array(change), given, carried), "sequence": pa.array(sequence, mask=sequence < 0), "after_us": pa.array(after, mask=after <= 0),
+            "kind": pc.if_else(pa.array(after > 0), "stale_snapshot_skip", table["kind"]),
+        }
+        tagged = pa.table({c: columns[c] for c in _NAMES})
+        yield from put_out(tagged, dataset >= 0)
+        resets = tagged.filter(pa.array(change & success & (key[0] == 0)))
+        text = {"kind": "source_reset", "details": RESET_TEXT}
+        yield from put_out(pa.table({c: pa.repeat(text[c], len(resets)) if c in text else resets[c] for c in _NAMES}))
 
     def close(self) -> None:
         pass
@@ -121,7 +131,7 @@ def untagged(tagged: DataFrame, dataset: str) -> DataFrame:
 
 def dispatched(messages: DataFrame, shards: int = SHARDS) -> DataFrame:
     """The tagged stream of a stream of messages."""
-    flat = entries(messages, shards).groupBy("shard").transformWithStateInPandas(Dispatcher(), FLAT, "Append", "None")
+    flat = packed(entries(messages, shards), "shard").groupBy("shard").transformWithStateInPandas(Dispatcher(), FLAT, "Append", "None")
     none = F.lit(None)
     stale = F.when(F.col("after_us").isNotNull(), stale_text(F.col("exchange_timestamp_us"), F.col("after_us"))).otherwise(F.col("details"))
     more = {"source": F.lit("websocket"), "source_session_id": F.col("session_id"), "trade_id": F.col("source_event_id"), "details": stale, "expected_sequence": none, "observed_sequence": none}
