@@ -16,6 +16,7 @@ import uuid
 from collections.abc import Iterable
 
 from py4j.protocol import Py4JJavaError
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import BadRequest
@@ -78,8 +79,22 @@ def commit(spark: SparkSession, base: str, token: str, tables: dict[str, DataFra
         raise BadRequest(f"unknown datasets: {', '.join(unknown)}")
     if committed(spark, base, token):
         return False
-    for name, rows in tables.items():
-        storage.write(rows, f"{base}/{name}", f"batch={token}", "overwrite", dataset=name)
+    failures: list[BaseException] = []
+
+    def write(name: str) -> None:
+        try:
+            storage.write(tables[name], f"{base}/{name}", f"batch={token}", "overwrite", dataset=name)
+        except BaseException as e:
+            failures.append(e)
+
+    # side by side: a dataset of many hours waits for its many small files rather than for cores
+    threads = [InheritableThread(target=write, args=(name,), session=spark) for name in tables]
+    for thread in threads:
+        thread.start()
+    for thread in threads:
+        thread.join()
+    if failures:
+        raise failures[0]
     return _create(spark, f"{base}/{LEDGER}/{token}", json.dumps({"token": token, "datasets": sorted(tables), "replaces": sorted(replaces)}))
 
 
